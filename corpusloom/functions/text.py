@@ -70,7 +70,7 @@ def parse_ref(ref: Column) -> Column:
 
 
 def split_refs(refs: Column) -> Column:
-    return F.filter(F.transform(F.split(refs, ","), F.trim), lambda r: r != "")
+    return F.filter(F.transform(F.split(refs, ","), lambda r: F.trim(r)), lambda r: r != "")
 
 
 def ref_path(ref: Column) -> Column:

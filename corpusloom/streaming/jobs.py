@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from corpusloom.operators import sections as SE
 from corpusloom.operators import snapshots as SN
 from corpusloom.operators.filters import consented
+from corpusloom.operators.paths import known_paths
 
 
 def telemetry_counts_stream(events: DataFrame, window: str = "1 day", lateness: str = "1 hour") -> DataFrame:
@@ -56,33 +57,49 @@ def start_complete(stream: DataFrame, path: str, checkpoint: str) -> StreamingQu
         availableNow=True).start()
 
 
-def staleness_batch(docs: DataFrame, read_baseline: Callable[[], DataFrame], status_path: str, baseline_path: str):
-    """``foreachBatch`` body: check the changed files' documents, write their status, then the new baseline.
+def staleness_batch(
+    docs: DataFrame,
+    read_files: Callable[[], DataFrame],
+    read_baseline: Callable[[], DataFrame],
+    status_path: str,
+    baseline_path: str,
+):
+    """``foreachBatch`` body: check the sections that cite a changed file, write their status, then the new baseline.
 
+    A section is touched when a changed file is one of its references or lies below a referenced directory.
     Output is keyed by the batch number and replaces its own partition, so a repeated batch is harmless.
     """
+    keys = ["repo", "doc", "section", "section_ord"]
+
+    def replace(df: DataFrame, path: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
     def check(changes: DataFrame, batch_id: int) -> None:
-        changes.persist()
         repos = changes.select("repo").distinct()
         sections = SE.parse_sections(docs.join(repos, "repo", "left_semi"))
         refs = SE.section_refs(sections)
-        touched = refs.join(changes.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+        touched = refs.join(known_paths(changes), ["repo", "path"], "left_semi").select(*keys).distinct()
+        refs = refs.join(touched, keys, "left_semi")
+        files = read_files().join(repos, "repo", "left_semi")
         baseline = read_baseline()
-        states = SN.ref_changes(touched, SN.file_hashes(changes), baseline)
-        mine = sections.join(touched.select("repo", "doc", "section", "section_ord").distinct(), ["repo", "doc", "section", "section_ord"], "left_semi")
-        status = SE.section_status(mine, states, baseline.select("repo"))
-        status.select("repo", "doc", "section", "status", "n_refs", "n_changed", F.lit(batch_id).alias("batch_id")).write.mode(
-            "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(status_path)
-        SN.baseline_rows(touched, changes, F.current_timestamp()).withColumn("batch_id", F.lit(batch_id)).write.mode(
-            "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(baseline_path)
-        changes.unpersist()
+        states = SN.ref_changes(refs, SN.path_hashes(files), baseline)
+        status = SE.section_status(sections.join(touched, keys, "left_semi"), states, baseline.select("repo"))
+        numbered = F.lit(batch_id).cast("bigint").alias("batch_id")
+        replace(status.select("repo", "doc", "section", "status", "n_refs", "n_changed", numbered), status_path)
+        replace(SN.baseline_rows(refs, files, F.current_timestamp()).select("*", numbered), baseline_path)
 
     return check
 
 
 def staleness_stream(
-    changes: DataFrame, docs: DataFrame, read_baseline: Callable[[], DataFrame], status_path: str, baseline_path: str, checkpoint: str
+    changes: DataFrame,
+    docs: DataFrame,
+    read_files: Callable[[], DataFrame],
+    read_baseline: Callable[[], DataFrame],
+    status_path: str,
+    baseline_path: str,
+    checkpoint: str,
 ) -> StreamingQuery:
     """Check documentation whenever files change: only sections that cite a changed file are looked at."""
-    body = staleness_batch(docs, read_baseline, status_path, baseline_path)
+    body = staleness_batch(docs, read_files, read_baseline, status_path, baseline_path)
     return changes.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
