@@ -2,3 +2,5 @@
 
 from catalog import scan  # noqa: F401
 from catalog import snapshots  # noqa: F401
+from catalog import surface  # noqa: F401
+from catalog import history  # noqa: F401

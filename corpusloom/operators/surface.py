@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom import fixed_values as fv
@@ -41,18 +41,26 @@ def family_total(counts: DataFrame, value: str) -> DataFrame:
     return counts.groupBy("repo").agg(F.sum(value).alias(value))
 
 
-def _lines(files: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """Lines of files that match at all; others are dropped before their text is split."""
+GUARDED_ROUTER = r"\.use\([^\n]*" + C.AUTH_HINT.removeprefix("(?i)")
+
+
+def _lines(files: DataFrame, patterns: dict[str, str], *extra: Column) -> DataFrame:
+    """Lines of files that match at all; others are dropped before their text is split.
+
+    ``extra`` columns are facts of the whole file, computed once per file and carried to its lines.
+    """
     union = "|".join(f"(?:{p})" for p in patterns.values())
-    return files.filter(F.col("content").rlike("(?m)" + union)).select(
-        "repo", "path", "content", F.posexplode(F.split("content", "\n")).alias("pos", "text")
-    ).filter(F.col("text").rlike(union))
+    return (
+        files.filter(F.col("content").rlike("(?m)" + union))
+        .select("repo", "path", *extra, F.posexplode(F.split("content", "\n")).alias("pos", "text"))
+        .filter(F.col("text").rlike(union))
+    )
 
 
 def endpoints(files: DataFrame, variant: str = "coverage") -> DataFrame:
     """One row per route registration with method, route, resource and a hint on authentication."""
-    guarded = F.col("content").rlike(r"\.use\([^\n]*" + C.AUTH_HINT.removeprefix("(?i)"))
-    rows = _lines(files, fv.ENDPOINT_PATTERNS[variant]).withColumn(
+    guarded = F.col("content").rlike("(?i)" + GUARDED_ROUTER).alias("guarded")
+    rows = _lines(files, fv.ENDPOINT_PATTERNS[variant], guarded).withColumn(
         "family", C.endpoint_family(F.col("path"), F.col("text"), variant)
     ).filter(F.col("family").isNotNull())
     route = C.route_path(F.col("text"))
@@ -60,7 +68,7 @@ def endpoints(files: DataFrame, variant: str = "coverage") -> DataFrame:
         "repo", "path", (F.col("pos") + 1).alias("line"), F.col("family").alias("framework"),
         C.route_method(F.col("text")).alias("method"), route.alias("route"),
         C.resource_of(route, F.col("path")).alias("resource"),
-        F.coalesce(C.auth_hint(F.col("text")), F.when(guarded, F.lit(True))).alias("auth"),
+        F.coalesce(C.auth_hint(F.col("text")), F.when(F.col("guarded"), F.lit(True))).alias("auth"),
     )
 
 
