@@ -271,6 +271,6 @@ def _(t):
         SU.endpoints(t.code).select("repo", "path", "line", F.col("framework").alias("kind")), SU.exports(t.code).select("repo", "path", "line", "kind"))
 
 
-@query("f_repo_features", "SELECT repo, false AS has_manifest, false AS has_license FROM v_files GROUP BY repo")
+@query("j13_repo_features", "SELECT repo, false AS has_manifest, false AS has_license FROM v_files GROUP BY repo")
 def _(t):
     return V.repo_features(t.files)

@@ -23,10 +23,6 @@ DIGEST_SQL = f"""SELECT repo, dir AS path, n AS n_files, sha256(n || '|' || lane
     FROM v_hashes h JOIN v_dirs d ON h.repo = d.repo AND (d.path = '.' OR starts_with(h.path, d.path || '/')) GROUP BY h.repo, d.path)"""
 
 
-def ntz(name: str):
-    return F.to_timestamp_ntz(F.lit(name))
-
-
 def utc(name: str):
     return F.lit(name).cast("timestamp")
 
@@ -120,9 +116,9 @@ def _(t):
     return SN.ref_changes(refs, SN.path_hashes(t.files), t.baseline2).select("repo", "doc", "section", "path", "changed")
 
 
-@query("j14_dir_hash", f"SELECT repo, path, n_files, sha256 FROM ({DIGEST_SQL}) WHERE path LIKE 'src/%'")
+@query("j14_dir_hash", f"SELECT repo, path, n_files, sha256 FROM ({DIGEST_SQL}) WHERE path IN (SELECT regexp_replace(path, '/[^/]*$', '') FROM v_files)")
 def _(t):
-    refs = t.files.filter(F.col("path").startswith("src/")).select("repo", T.dirname(F.col("path")).alias("path"))
+    refs = t.files.select("repo", T.dirname(F.col("path")).alias("path"))
     return SN.dir_hash(refs, t.files)
 
 
@@ -171,10 +167,11 @@ def _(t):
 @query("c2_check_no_baseline", """
     SELECT f.repo, CASE WHEN s.n IS NULL THEN 'no_docs' ELSE 'slightly-stale' END AS overall, coalesce(s.n, 0) AS total, CAST(0 AS BIGINT) AS current,
       coalesce(s.n, 0) AS possibly_stale, CAST(0 AS BIGINT) AS stale
-    FROM (SELECT DISTINCT repo FROM v_files) f LEFT JOIN (SELECT repo, count(*) AS n FROM v_sections WHERE doc LIKE 'docs/de/%' GROUP BY repo) s ON s.repo = f.repo""")
+    FROM (SELECT repo FROM v_files UNION SELECT repo FROM v_commits) f LEFT JOIN (SELECT repo, count(*) AS n FROM v_sections GROUP BY repo) s ON s.repo = f.repo""")
 def _(t):
-    some = t.docs.filter("doc LIKE 'docs/de/%'")
-    return verbs.check(some, t.files, t.baseline2.filter("1 = 0"), t.files)
+    """Without any baseline; the repositories of the commits have no documents at all."""
+    none = t.spark.createDataFrame([], "repo string, ref_path string, sha256 string, saved_at timestamp")
+    return verbs.check(t.docs, t.files, none, t.files.select("repo").union(t.commits.select("repo")))
 
 
 @query("c3_update_plan", "SELECT repo, doc, section, 'writer' AS writer, n_changed, changed_refs FROM v_section_status WHERE status = 'stale'")
@@ -314,9 +311,6 @@ def _(t):
     return CH.cost_report(SN.changed_files(t.files, t.manifest), t.files, repo_languages(t))
 
 
-RATIOS = "SELECT repo, path, n_lines, {0} AS n FROM v_files JOIN documents USING (doc_id)"
-
-
 @query("f7_estimate_tokens", """SELECT repo, path, CAST((n_lines * 400 // 35) * 40 // 100 + 3000 AS BIGINT) AS analysis, CAST((n_lines * 400 // 35) * 40 // 100 + 3000 + 9000 + 14400 AS BIGINT) AS total FROM v_files""")
 def _(t):
     passes = B.estimate_tokens(F.col("n_lines"), F.array(F.lit("python"), F.lit("javascript")), "thorough")

@@ -223,10 +223,10 @@ COMPOSED_SQL: dict[str, str] = {
     "v_bench": "SELECT date_trunc('day', ts) AS run_ts, event_type AS stage, count(*) AS ms FROM events GROUP BY 1, 2",
     "v_pkg_deps": """
         SELECT DISTINCT 'n' || a.s_nationkey AS repo, 'packages/' || a.s_suppkey AS path, b.s_name AS dep
-        FROM lineitem JOIN supplier a ON a.s_suppkey = l_suppkey JOIN supplier b ON b.s_suppkey = l_partkey % 100 WHERE l_linenumber = 1""",
+        FROM lineitem JOIN supplier a ON a.s_suppkey = l_suppkey JOIN supplier b ON b.s_suppkey = l_partkey % 100""",
     "v_ext_deps": """
-        SELECT DISTINCT 'n' || s_nationkey AS repo, 'packages/' || s_suppkey AS path, p_brand AS dep
-        FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 2""",
+        SELECT DISTINCT 'n' || s_nationkey AS repo, 'packages/' || s_suppkey AS path, p_name AS dep
+        FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey""",
     "v_ws_files": """
         SELECT 'n' || s_nationkey AS repo, 'packages/' || s_suppkey || '/package.json' AS path,
           '{"name":"' || s_name || '","version":"' || (s_suppkey % 9) || '.' || s_nationkey || '.0","description":"Package ' || s_suppkey ||
@@ -385,15 +385,15 @@ class Tables:
     @property
     def pkg_deps(self) -> DataFrame:
         other = self.supplier.select(F.col("s_suppkey").alias("o_key"), F.col("s_name").alias("dep"))
-        firsts = self.lineitem.filter("l_linenumber = 1").select("l_suppkey", (F.col("l_partkey") % 100).alias("o_key")).distinct()
+        firsts = self.lineitem.select("l_suppkey", (F.col("l_partkey") % 100).alias("o_key")).distinct()
         return firsts.join(self.supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(other, "o_key").selectExpr(
             "'n' || s_nationkey AS repo", "'packages/' || s_suppkey AS path", "dep").distinct()
 
     @property
     def ext_deps(self) -> DataFrame:
-        used = self.lineitem.filter("l_linenumber = 2").select("l_suppkey", "l_partkey").distinct()
+        used = self.lineitem.select("l_suppkey", "l_partkey").distinct()
         return used.join(self.supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(self.part, F.col("p_partkey") == F.col("l_partkey")).selectExpr(
-            "'n' || s_nationkey AS repo", "'packages/' || s_suppkey AS path", "p_brand AS dep").distinct()
+            "'n' || s_nationkey AS repo", "'packages/' || s_suppkey AS path", "p_name AS dep").distinct()
 
     @property
     def ws_files(self) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import claims as CL
 from corpusloom.functions import text as T
 from corpusloom.operators.filters import non_merge
-from corpusloom.runtime import cut_lineage, ordered_lag, ordered_next, ordered_sum, top_per_group
+from corpusloom.runtime import cut_lineage, order_is_plain, ordered_lag, ordered_next, ordered_sum, top_per_group
 
 
 def newest_first() -> list[Column]:
@@ -97,14 +97,19 @@ def review_counts(reviews: DataFrame) -> DataFrame:
 
 
 def decision_sessions(decided: DataFrame, gap_days: int = 3, hot_group_rows: int | None = None) -> DataFrame:
-    """Number the runs of decisions of a repo that follow each other within the gap."""
-    base = decided.select("repo", "hash", "ts", "subject", "reason")
+    """Number the runs of decisions of a repo that follow each other within the gap.
+
+    The few columns needed are materialised once, so the size check and both ordered steps read that, not the
+    commits.
+    """
+    base = cut_lineage(decided.select("repo", "hash", "ts", "subject", "reason"))
+    plain = order_is_plain(base, ["repo"], hot_group_rows)
     day = F.date_trunc("day", F.col("ts"))
-    lagged = ordered_lag(base, ["repo"], ["ts", "hash"], ["ts"], day, hot_group_rows)
+    lagged = ordered_lag(base, ["repo"], ["ts", "hash"], ["ts"], day, hot_group_rows, plain)
     opens = F.col("prev_ts").isNull() | (F.col("ts") > F.col("prev_ts") + F.make_interval(days=F.lit(gap_days)))
     flagged = lagged.withColumn("_new", opens.cast("int")).drop("prev_ts")
     return ordered_sum(
-        flagged, ["repo"], [F.col("ts"), F.col("hash")], F.col("_new"), "session", day, hot_group_rows).drop("_new")
+        flagged, ["repo"], [F.col("ts"), F.col("hash")], F.col("_new"), "session", day, hot_group_rows, plain).drop("_new")
 
 
 def connected_labels(edges: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators.filters import pending_items
 from corpusloom.operators.paths import known_paths
+from corpusloom.runtime import broadcast_if_small
 
 RULES_PER_SET = 64
+MAX_BROADCAST_SETS = 5_000
 
 
 def grep_rules(items: DataFrame) -> DataFrame:
@@ -25,9 +27,11 @@ def grep_hits(items: DataFrame, files: DataFrame) -> DataFrame:
     """Search rules that match any file below their root: (repo, regex, root).
 
     A file meets each bounded rule set of its repo once and keeps only the rules that match, so the pairs of
-    files and rules never become rows. Repos without search rules drop out in the join.
+    files and rules never become rows. Repos without search rules drop out in the join, and the rule sets are
+    broadcast when a bounded count shows them to be few, so that the texts stay where they are.
     """
-    met = files.select("repo", "path", "content").join(grep_rules(items), "repo")
+    rules = broadcast_if_small(grep_rules(items), MAX_BROADCAST_SETS)
+    met = files.select("repo", "path", "content").join(rules, "repo")
     below = lambda root: (root == ".") | (F.col("path") == root) | F.startswith(F.col("path"), F.concat(F.rtrim(root, F.lit("/")), F.lit("/")))
     hits = F.filter("rules", lambda r: below(r["root"]) & F.rlike(F.col("content"), r["regex"]))
     return met.select("repo", F.explode(hits).alias("r")).select("repo", "r.regex", "r.root").distinct()

@@ -49,7 +49,8 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return row[0] or 0
 
 
-def _plain_order_is_safe(df: DataFrame, keys: list[str], limit: int | None) -> bool:
+def order_is_plain(df: DataFrame, keys: list[str], limit: int | None = None) -> bool:
+    """Whether every group fits one task, by a map-side count. Callers with several steps check once and pass it on."""
     return largest_group(df, keys) <= (HOT_GROUP_ROWS if limit is None else limit)
 
 
@@ -63,7 +64,7 @@ def _order_buckets(
     """
     if coarse is not None:
         bucketed = df.withColumn("_b", coarse)
-        if _plain_order_is_safe(bucketed, [*keys, "_b"], limit):
+        if order_is_plain(bucketed, [*keys, "_b"], limit):
             return bucketed
     ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
     return cut_lineage(ranged.withColumn("_b", F.spark_partition_id()))
@@ -77,6 +78,7 @@ def ordered_sum(
     out: str,
     coarse: Column | None = None,
     hot_group_rows: int | None = None,
+    plain: bool | None = None,
 ) -> DataFrame:
     """Running sum of ``value`` per ``keys`` in a total order, for groups of any size.
 
@@ -84,7 +86,7 @@ def ordered_sum(
     and the bucket totals (one row per key and bucket, combined map-side) give the offsets.
     """
     running = (W.unboundedPreceding, W.currentRow)
-    if _plain_order_is_safe(df, keys, hot_group_rows):
+    if order_is_plain(df, keys, hot_group_rows) if plain is None else plain:
         window = W.partitionBy(*keys).orderBy(*order).rowsBetween(*running)
         return df.withColumn(out, F.sum(value).over(window).cast("bigint"))
     spread = _order_buckets(df.withColumn("_v", value.cast("bigint")), keys, order, coarse, hot_group_rows)
@@ -109,12 +111,13 @@ def ordered_lag(
     fields: list[str],
     coarse: Column | None = None,
     hot_group_rows: int | None = None,
+    plain: bool | None = None,
 ) -> DataFrame:
     """Add ``prev_<field>``, the value one row earlier per key, for groups of any size.
 
     In a hot group only the last row of each bucket, found by a map-side aggregate, crosses to the next bucket.
     """
-    if _plain_order_is_safe(df, keys, hot_group_rows):
+    if order_is_plain(df, keys, hot_group_rows) if plain is None else plain:
         window = W.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[F.lag(f).over(window).alias(f"prev_{f}") for f in fields])
     spread = _order_buckets(df, keys, [F.col(c) for c in order], coarse, hot_group_rows)
@@ -142,10 +145,11 @@ def ordered_next(
     out: str,
     coarse: Column | None = None,
     hot_group_rows: int | None = None,
+    plain: bool | None = None,
 ) -> DataFrame:
     """Add ``out``: the first non-NULL ``field`` at or after each row, per key in order, for groups of any size."""
     ahead = (W.currentRow, W.unboundedFollowing)
-    if _plain_order_is_safe(df, keys, hot_group_rows):
+    if order_is_plain(df, keys, hot_group_rows) if plain is None else plain:
         window = W.partitionBy(*keys).orderBy(*order).rowsBetween(*ahead)
         return df.withColumn(out, F.first(field, ignorenulls=True).over(window))
     spread = _order_buckets(df, keys, [F.col(c) for c in order], coarse, hot_group_rows)
