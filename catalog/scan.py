@@ -18,7 +18,7 @@ from corpusloom.operators import workspace as WS
 from corpusloom.runtime import scratch_path
 from corpusloom.sources import files as SF
 
-BARE = SecretPattern(17, "Bare Token", r"""token\s*=\s*"[a-f0-9]{40}\"""", "medium")
+BARE = SecretPattern(17, "Bare Token", r"""token\s*=\s*"[a-f0-9]{40}\"""", "medium", ("token",))
 PATTERNS = [*fv.SECRET_PATTERNS, BARE]
 
 

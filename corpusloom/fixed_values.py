@@ -6,34 +6,44 @@ from typing import NamedTuple
 
 
 class SecretPattern(NamedTuple):
+    """A pattern and, where known, texts of which one must be there for it to match at all."""
+
     pattern_id: int
     name: str
     regex: str
     severity: str = "high"
+    needles: tuple[str, ...] = ()
 
 
-# Secret patterns (id, name, regular expression).
+# Secret patterns (id, name, regular expression, severity, texts that a match must contain).
 SECRET_PATTERNS: list[SecretPattern] = [
-    SecretPattern(1, "AWS Access Key", r"AKIA[0-9A-Z]{16}", "critical"),
-    SecretPattern(2, "OpenAI API Key", r"sk-[a-zA-Z0-9]{20,}"),
-    SecretPattern(3, "GitHub Token", r"ghp_[A-Za-z0-9]{36}"),
-    SecretPattern(4, "GitHub Token", r"gho_[A-Za-z0-9]{36}"),
-    SecretPattern(5, "GitHub Token", r"ghu_[A-Za-z0-9]{36}"),
-    SecretPattern(6, "GitLab Token", r"glpat-[A-Za-z0-9_-]{20}"),
-    SecretPattern(7, "Stripe Key", r"sk_live_[a-zA-Z0-9]{24,}", "critical"),
-    SecretPattern(8, "Stripe Key", r"pk_live_[a-zA-Z0-9]{24,}"),
-    SecretPattern(9, "Twilio", r"SK[a-f0-9]{32}"),
-    SecretPattern(10, "Slack Token", r"xox[bpors]-[0-9a-zA-Z-]{10,}"),
-    SecretPattern(11, "Private Key Header", r"-----BEGIN.*PRIVATE KEY-----", "critical"),
-    SecretPattern(12, "JWT Token", r"eyJ[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+"),
-    SecretPattern(13, "Database URL", r"(mongodb|postgresql|postgres|mysql|redis|amqp)://[^\s]{8,}", "critical"),
+    SecretPattern(1, "AWS Access Key", r"AKIA[0-9A-Z]{16}", "critical", ("AKIA",)),
+    SecretPattern(2, "OpenAI API Key", r"sk-[a-zA-Z0-9]{20,}", "high", ("sk-",)),
+    SecretPattern(3, "GitHub Token", r"ghp_[A-Za-z0-9]{36}", "high", ("ghp_",)),
+    SecretPattern(4, "GitHub Token", r"gho_[A-Za-z0-9]{36}", "high", ("gho_",)),
+    SecretPattern(5, "GitHub Token", r"ghu_[A-Za-z0-9]{36}", "high", ("ghu_",)),
+    SecretPattern(6, "GitLab Token", r"glpat-[A-Za-z0-9_-]{20}", "high", ("glpat-",)),
+    SecretPattern(7, "Stripe Key", r"sk_live_[a-zA-Z0-9]{24,}", "critical", ("sk_live_",)),
+    SecretPattern(8, "Stripe Key", r"pk_live_[a-zA-Z0-9]{24,}", "high", ("pk_live_",)),
+    SecretPattern(9, "Twilio", r"SK[a-f0-9]{32}", "high", ("SK",)),
+    SecretPattern(10, "Slack Token", r"xox[bpors]-[0-9a-zA-Z-]{10,}", "high", ("xox",)),
+    SecretPattern(11, "Private Key Header", r"-----BEGIN.*PRIVATE KEY-----", "critical", ("PRIVATE KEY-----",)),
+    SecretPattern(12, "JWT Token", r"eyJ[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+", "high", ("eyJ",)),
+    SecretPattern(
+        13, "Database URL", r"(mongodb|postgresql|postgres|mysql|redis|amqp)://[^\s]{8,}", "critical",
+        ("mongodb://", "postgresql://", "postgres://", "mysql://", "redis://", "amqp://"),
+    ),
     SecretPattern(
         14,
         "Generic Secret",
         r"""(api_key|api_secret|secret_key|private_key|auth_token|access_token)\s*[=:]\s*['"][^'"]{8,}""",
+        "high",
+        ("api_key", "api_secret", "secret_key", "private_key", "auth_token", "access_token"),
+    ),
+    SecretPattern(
+        15, "Generic Password", r"""(password|passwd|pwd)\s*[=:]\s*['"][^'"]{8,}""", "high", ("password", "passwd", "pwd")
     ),
-    SecretPattern(15, "Generic Password", r"""(password|passwd|pwd)\s*[=:]\s*['"][^'"]{8,}"""),
-    SecretPattern(16, "Google API Key", r"AIza[0-9A-Za-z_-]{35}"),
+    SecretPattern(16, "Google API Key", r"AIza[0-9A-Za-z_-]{35}", "high", ("AIza",)),
 ]
 
 # Directories and file names that are never analysed.
@@ -103,6 +113,14 @@ ENDPOINT_PATTERNS = {
     },
 }
 
+# Texts of which one must occur in any line that an endpoint pattern matches.
+ENDPOINT_NEEDLES = {
+    "js": [".get", ".post", ".put", ".patch", ".delete", ".options", ".head", ".all"],
+    "python": ["@app.", "@router.", "@api."],
+    "go": ["HandleFunc(", ".GET(", ".POST(", ".PUT(", ".DELETE(", ".PATCH("],
+    "rust": ["#["],
+}
+
 # Export declarations by language family.
 EXPORT_PATTERNS = {
     "js": r"(module\.exports|export (default )?(async )?(function|class|const|let|var|interface|type|enum))\s",
@@ -111,8 +129,12 @@ EXPORT_PATTERNS = {
     "rust": r"^pub (fn|struct|enum|trait|type|const)",
 }
 
+# Texts of which one must occur in any line that an export pattern matches.
+EXPORT_NEEDLES = {"js": ["export"], "python": ["def ", "class "], "go": ["func ", "type "], "rust": ["pub "]}
+
 # What counts as an export when looking for undocumented files, and in which files.
 GAP_EXPORT = r"^(?:.*module\.exports|.*export |pub |func [A-Z]|type [A-Z]|def |class )"
+GAP_NEEDLES = ["module.exports", "export ", "pub ", "func ", "type ", "def ", "class "]
 GAP_SUFFIXES = ["js", "ts", "tsx", "py", "go", "rs"]
 
 # Bytes per token in tenths, first match wins; average bytes per line; pass sizes in tokens.
@@ -165,6 +187,7 @@ VERSION_CLAIM = (
     r"(?i)(express|react|next|vue|angular|fastify|nestjs|django|flask|fastapi|gin|actix|axum)[ \t]+v?([0-9]+)"
 )
 DOC_ENDPOINT_MENTION = r"(GET|POST|PUT|PATCH|DELETE)[ \t]+/"
+DOC_ENDPOINT_NEEDLES = ["GET", "POST", "PUT", "PATCH", "DELETE"]
 ENDPOINT_TOLERANCE = 2
 
 # Sections a document is expected to have, each with its accepted aliases.

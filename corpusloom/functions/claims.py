@@ -9,22 +9,26 @@ from corpusloom import fixed_values as fv
 from corpusloom.functions import text as T
 
 
+FRAMEWORK_NAMES = fv.VERSION_CLAIM[len("(?i)("):].split(")")[0].split("|")
+
+
 def doc_endpoint_mentions(content: Column) -> Column:
     """Number of lines that mention ``METHOD /path``."""
-    return T.matching_lines(content, fv.DOC_ENDPOINT_MENTION)
+    return T.matching_lines(content, fv.DOC_ENDPOINT_MENTION, fv.DOC_ENDPOINT_NEEDLES)
 
 
 def count_claims(content: Column) -> Column:
     """Every ``N endpoints`` style claim, as whole numbers in text order (a number beyond 18 digits is NULL)."""
     return F.transform(
-        F.regexp_extract_all(content, F.lit(fv.COUNT_CLAIM), F.lit(1)), lambda n: n.try_cast("bigint")
+        F.regexp_extract_all(T.candidate_lines(content, ["endpoint", "route", "api"], True), F.lit(fv.COUNT_CLAIM), F.lit(1)), lambda n: n.try_cast("bigint")
     )
 
 
 def version_claims(content: Column) -> Column:
     """Every ``Framework N`` claim as (name, major)."""
-    names = F.regexp_extract_all(content, F.lit(fv.VERSION_CLAIM), F.lit(1))
-    majors = F.regexp_extract_all(content, F.lit(fv.VERSION_CLAIM), F.lit(2))
+    lines = T.candidate_lines(content, FRAMEWORK_NAMES, True)
+    names = F.regexp_extract_all(lines, F.lit(fv.VERSION_CLAIM), F.lit(1))
+    majors = F.regexp_extract_all(lines, F.lit(fv.VERSION_CLAIM), F.lit(2))
     return F.transform(
         F.arrays_zip(names.alias("name"), majors.alias("major")),
         lambda c: F.struct(F.lower(c["name"]).alias("name"), c["major"].try_cast("bigint").alias("major")),
@@ -37,7 +41,8 @@ def first_int(version: Column) -> Column:
 
 
 def mentioned_paths(content: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(content, F.lit(fv.MENTIONED_PATH), F.lit(0)))
+    lines = T.candidate_lines(content, ["/"])
+    return F.array_distinct(F.regexp_extract_all(lines, F.lit(fv.MENTIONED_PATH), F.lit(0)))
 
 
 def decision_reason(subject: Column, files: Column, insertions: Column, deletions: Column) -> Column:

@@ -119,6 +119,10 @@ def import_target(path: Column, line: Column) -> Column:
     )
 
 
+# Texts of which one must occur in any import line, by language family.
+IMPORT_NEEDLES = {"js": ["require(", "import", "export"], "python": ["import"], "go": ["import"], "rust": ["use "]}
+
+
 def is_internal_import(target: Column) -> Column:
     return target.startswith(".") | target.rlike(r"^(crate|self|super)(::|$)")
 
@@ -130,9 +134,13 @@ ENV_VAR = (
 )
 
 
+ENV_NEEDLES = ["process.env.", "os.environ", "os.getenv(", "os.Getenv(", "env::var("]
+
+
 def env_vars(content: Column) -> Column:
     """Distinct names of environment variables a file reads."""
-    return F.array_distinct(F.regexp_extract_all(content, F.lit(ENV_VAR), F.lit(1)))
+    lines = T.candidate_lines(content, ENV_NEEDLES)
+    return F.array_distinct(F.regexp_extract_all(lines, F.lit(ENV_VAR), F.lit(1)))
 
 
 AUTH_HINT = (
@@ -147,4 +155,5 @@ def auth_hint(line: Column) -> Column:
 
 
 def graphql_hint(path: Column, content: Column) -> Column:
-    return path.rlike(r"\.(graphql|gql)$") | content.rlike(r"typeDefs|resolvers|@(Query|Mutation|Subscription)\b")
+    decorated = content.contains("@") & content.rlike(r"@(Query|Mutation|Subscription)\b")
+    return path.rlike(r"\.(graphql|gql)$") | T.holds_any(content, ["typeDefs", "resolvers"]) | decorated

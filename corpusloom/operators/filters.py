@@ -13,7 +13,7 @@ from corpusloom.functions import text as T
 
 
 def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+    return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)
 
 
 def hard_exclude_regex() -> str:

@@ -10,7 +10,6 @@ from corpusloom.functions import text as T
 from corpusloom.runtime import top_per_group
 
 JS_SUFFIX = r"\.(js|jsx|ts|tsx|mjs|cjs)$"
-ANY_IMPORT = r"(?m)require\(|^\s*(import|export|from|use|pub use)\b"
 
 
 def normal_path(path: Column) -> Column:
@@ -29,23 +28,32 @@ def module_key(path: Column) -> Column:
 
 def imports(files: DataFrame) -> DataFrame:
     """Import edges (repo, src, dst, is_internal); relative imports are resolved to files where they exist."""
-    lines = files.filter(F.col("content").rlike(ANY_IMPORT)).select(
-        "repo", F.col("path").alias("src"), F.explode(F.split("content", "\n")).alias("text")
-    )
+    family = C.language_family(F.col("path"))
+    marked = files.select("repo", F.col("path").alias("src"), "content", family.alias("family")).filter(
+        "family is not null").filter(import_candidate(F.col("content")))
+    lines = marked.select("repo", "src", "family", F.explode(F.split("content", "\n")).alias("text")).filter(import_candidate(F.col("text")))
     edges = lines.withColumn("target", C.import_target(F.col("src"), F.col("text"))).filter("target is not null")
     return resolve_imports(edges.select("repo", "src", "target"), files)
 
 
+def import_candidate(text: Column) -> Column:
+    rule = None
+    for family, needles in C.IMPORT_NEEDLES.items():
+        hit = (F.col("family") == family) & T.holds_any(text, needles)
+        rule = hit if rule is None else rule | hit
+    return rule
+
+
 def resolve_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
     relative = F.col("target").startswith(".") & (C.language_family(F.col("src")) == "js")
     joined = F.concat_ws("/", T.dirname(F.col("src")), F.col("target"))
-    keyed = edges.withColumn("key", F.when(relative, module_key(normal_path(joined))))
+    key = F.when(relative, module_key(normal_path(joined)))
+    # Targets that are no file get a key of their own: they match nothing and do not gather in one partition.
+    keyed = edges.withColumn("key", F.coalesce(key, F.concat(F.lit("\u0000"), "src", "target")))
     scripts = files.filter(F.col("path").rlike(JS_SUFFIX)).groupBy("repo", module_key(F.col("path")).alias("key")).agg(
         F.min("path").alias("file")
     )
-    external = keyed.filter(F.col("key").isNull()).select("repo", "src", "target", F.lit(None).cast("string").alias("file"))
-    internal = keyed.filter(F.col("key").isNotNull()).join(scripts, ["repo", "key"], "left").select("repo", "src", "target", "file")
-    return internal.unionByName(external).select(
+    return keyed.join(scripts, ["repo", "key"], "left").select(
         "repo", "src", F.coalesce("file", "target").alias("dst"), C.is_internal_import(F.col("target")).alias("is_internal")
     ).distinct()
 

@@ -146,7 +146,7 @@ def group_decisions(
     Sessions sharing a path are linked through the smallest of them, which keeps the link table linear.
     """
     sessions = cut_lineage(decision_sessions(decided, gap_days, hot_group_rows))
-    touched = commit_files.join(sessions.select("repo", "hash", "session"), ["repo", "hash"]).select("repo", "path", "session").distinct()
+    touched = commit_files.join(sessions.select("repo", "hash", "session"), ["repo", "hash"]).select("repo", "path", "session")
     hub = touched.groupBy("repo", "path").agg(F.min("session").alias("v"))
     links = touched.join(hub, ["repo", "path"]).select("repo", F.col("session").alias("u"), "v").filter("u <> v").distinct()
     labels = connected_labels(links).withColumnRenamed("node", "session")
@@ -184,9 +184,9 @@ def decision_context(
     merged = prs.filter(F.col("merged_at").isNotNull()).select(
         "repo", F.explode("files").alias("path"), F.col("merged_at").alias("ts"), "number").distinct()
     walk = touched.withColumn("number", F.lit(None).cast("bigint")).unionByName(merged.withColumn("hash", F.lit(None).cast("string")))
-    stamped = walk.withColumn("is_pr", F.col("number").isNotNull().cast("int")).withColumn("tie", F.coalesce(F.col("number").cast("string"), F.col("hash")))
+    stamped = cut_lineage(walk.withColumn("is_pr", F.col("number").isNotNull().cast("int")))
     ahead = ordered_next(
-        stamped, ["repo", "path"], ["ts", "is_pr", "number", "tie"], "number", "next_pr",
+        stamped, ["repo", "path"], ["ts", "is_pr", "number", "hash"], "number", "next_pr",
         F.date_trunc("day", F.col("ts")), hot_group_rows)
     votes = ahead.filter("hash is not null and next_pr is not null").groupBy("repo", "hash", "next_pr").agg(F.count("*").alias("overlap"))
     best = top_per_group(votes, ["repo", "hash"], [F.desc("overlap"), F.col("next_pr")], 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed_values as fv
 from corpusloom.fixed_values import SecretPattern
-from corpusloom.operators.filters import skip_non_code
+from corpusloom.operators.filters import any_of, skip_non_code
 
 MAX_PATTERN_ROWS = 2_000
 
@@ -23,29 +23,31 @@ def patterns_from_table(patterns: DataFrame) -> list[SecretPattern]:
     return [SecretPattern(r["pattern_id"], r["name"], r["regex"], r["severity"]) for r in rows]
 
 
-def any_pattern(patterns: list[SecretPattern]) -> str:
-    return "|".join(f"(?:{p.regex})" for p in patterns)
+def may_hold(text: Column, pattern: SecretPattern) -> Column:
+    """Whether a text matches; the regex only runs where one of the pattern's needles is found by a byte search."""
+    if not pattern.needles:
+        return text.rlike(pattern.regex)
+    return any_of([text.contains(n) for n in pattern.needles]) & text.rlike(pattern.regex)
 
 
 def scan_secrets(files: DataFrame, patterns: list[SecretPattern] | None = None) -> DataFrame:
     """One finding per (line, pattern).
 
-    Map-only: files without any hit are dropped before their text is split, surviving lines are tested against
-    literal regexes, and the hits of a line fan out from a small array. Nothing is joined or shuffled.
+    Map-only: a file is first tested as a whole, which leaves the patterns it can match at all; only such files
+    are split, and the hits of a line fan out from a small array. Nothing is joined or shuffled.
     """
     chosen = patterns or fv.SECRET_PATTERNS
-    combined = any_pattern(chosen)
+    text = F.col("content")
     lines = (
         skip_non_code(files)
-        .filter(F.col("content").rlike(combined))
+        .filter(any_of([may_hold(text, p) for p in chosen]))
         .select("repo", "path", F.posexplode(F.split("content", "\n")).alias("pos", "text"))
-        .filter(F.col("text").rlike(combined))
     )
     hits = F.array_compact(
         F.array(
             *[
                 F.when(
-                    F.col("text").rlike(p.regex),
+                    may_hold(F.col("text"), p),
                     F.struct(F.lit(p.pattern_id).alias("pattern_id"), F.lit(p.name).alias("pattern"),
                              F.lit(p.severity).alias("severity")),
                 )
@@ -61,7 +63,8 @@ def scan_secrets(files: DataFrame, patterns: list[SecretPattern] | None = None)
 def redact(content: Column, patterns: list[SecretPattern] | None = None) -> Column:
     """Replace every secret by a note that names its kind."""
     for p in patterns or fv.SECRET_PATTERNS:
-        content = F.regexp_replace(content, p.regex, f"[REDACTED: {p.name} detected]")
+        replaced = F.regexp_replace(content, p.regex, f"[REDACTED: {p.name} detected]")
+        content = F.when(any_of([content.contains(n) for n in p.needles]), replaced).otherwise(content) if p.needles else replaced
     return content
 
 

@@ -36,14 +36,17 @@ def parse_sections(docs: DataFrame, namespace: str = T.DEFAULT_NAMESPACE) -> Dat
     )
 
 
-def section_refs(sections: DataFrame) -> DataFrame:
-    """One row per reference of a section; directories lose their trailing slash."""
-    return (
-        sections.select("repo", "doc", "section", "section_ord", F.explode("refs").alias("ref"))
-        .select("repo", "doc", "section", "section_ord",
-                F.regexp_replace("ref.path", r"(.)/+$", "$1").alias("path"), "ref.line_start", "ref.line_end")
-        .filter(F.col("path") != "")
-    )
+def section_refs(sections: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """One row per reference of a section; directories lose their trailing slash.
+
+    With ``keep_empty`` a section without references keeps one row whose path is NULL, so that a single pass
+    over the documents feeds both the references and the sections.
+    """
+    fan = F.explode_outer if keep_empty else F.explode
+    rows = sections.select("repo", "doc", "section", "section_ord", fan("refs").alias("ref")).select(
+        "repo", "doc", "section", "section_ord", F.regexp_replace("ref.path", r"(.)/+$", "$1").alias("path"),
+        "ref.line_start", "ref.line_end")
+    return rows if keep_empty else rows.filter(F.col("path") != "")
 
 
 def document_refs(docs: DataFrame, namespace: str = T.DEFAULT_NAMESPACE) -> DataFrame:
@@ -53,21 +56,19 @@ def document_refs(docs: DataFrame, namespace: str = T.DEFAULT_NAMESPACE) -> Data
     return docs.select("repo", "doc", F.explode(F.transform(refs, T.ref_path)).alias("path")).filter(F.col("path") != "")
 
 
-def section_status(sections: DataFrame, changes: DataFrame, has_baseline: DataFrame) -> DataFrame:
+def section_status(changes: DataFrame, has_baseline: DataFrame) -> DataFrame:
     """Status per section: possibly-stale without refs or without a baseline, else current or stale.
 
-    ``has_baseline`` holds the repos that have one. Sections without references have no change rows and are
-    carried by the union, so sections and their changes meet in one aggregate instead of a join.
+    ``changes`` are the reference rows of all sections (see ``section_refs(keep_empty=True)``) with ``changed``;
+    ``has_baseline`` holds the repos that have a baseline.
     """
     keys = ["repo", "doc", "section", "section_ord"]
-    none = sections.select(
-        *keys, F.lit(None).cast("string").alias("path"), F.lit(0).alias("is_ref"), F.lit(False).alias("changed")
-    )
-    hits = changes.select(*keys, "path", F.lit(1).alias("is_ref"), "changed")
-    counted = none.unionByName(hits).groupBy(*keys).agg(
-        F.sum("is_ref").alias("n_refs"),
-        F.count_if(F.col("changed")).alias("n_changed"),
-        F.sort_array(F.collect_set(F.when(F.col("changed"), F.col("path")))).alias("changed_refs"),
+    is_ref = F.col("path").isNotNull() & (F.col("path") != "")
+    hit = is_ref & F.col("changed")
+    counted = changes.groupBy(*keys).agg(
+        F.count_if(is_ref).alias("n_refs"),
+        F.count_if(hit).alias("n_changed"),
+        F.sort_array(F.collect_set(F.when(hit, F.col("path")))).alias("changed_refs"),
     )
     marked = counted.join(has_baseline.select("repo", F.lit(True).alias("_b")).distinct(), "repo", "left")
     status = (

@@ -15,9 +15,11 @@ def file_hashes(files: DataFrame) -> DataFrame:
     return files.select("repo", "path", T.content_hash(F.col("content")).alias("sha256"))
 
 
-def _lanes(path: Column, sha256: Column) -> list[Column]:
-    digest = F.sha2(F.concat_ws("\n", path, sha256), 256)
-    return [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("bigint").alias(f"lane{i}") for i in range(LANES)]
+def _with_lanes(hashes: DataFrame) -> DataFrame:
+    """Add the 60-bit lanes of the hash of (path, content hash), one SHA-256 per file."""
+    digest = hashes.withColumn("_d", F.sha2(F.concat_ws("\n", "path", "sha256"), 256))
+    lanes = {f"lane{i}": F.conv(F.substring("_d", 1 + 15 * i, 15), 16, 10).cast("bigint") for i in range(LANES)}
+    return digest.withColumns(lanes).drop("_d")
 
 
 def _combined(count: Column) -> Column:
@@ -32,12 +34,8 @@ def dir_digest(hashes: DataFrame) -> DataFrame:
     map-side and never listed in one task. Files are first reduced to their own directory, and only those
     directory rows fan out to the ancestors.
     """
-    own = (
-        hashes.select("repo", T.dirname(F.col("path")).alias("dir"), F.lit(1).alias("one"),
-                      *_lanes(F.col("path"), F.col("sha256")))
-        .groupBy("repo", "dir")
-        .agg(F.sum("one").alias("n_files"), *[F.bit_xor(f"lane{i}").alias(f"lane{i}") for i in range(LANES)])
-    )
+    own = _with_lanes(hashes).groupBy("repo", T.dirname(F.col("path")).alias("dir")).agg(
+        F.count("*").alias("n_files"), *[F.bit_xor(f"lane{i}").alias(f"lane{i}") for i in range(LANES)])
     up = F.when(F.col("dir") == ".", F.array(F.lit("."))).otherwise(
         F.concat(T.ancestors(F.col("dir")), F.array(F.col("dir")))
     )
@@ -55,14 +53,12 @@ def path_hashes(files: DataFrame) -> DataFrame:
     Each file counts for itself and for its ancestors, so files and directories come out of one aggregate that
     is already partitioned on (repo, path) for the joins that follow.
     """
-    hashed = file_hashes(files)
+    hashed = _with_lanes(file_hashes(files))
     targets = F.concat(
         F.array(F.struct(F.col("path").alias("path"), F.lit(True).alias("is_file"))),
         F.transform(T.ancestors(F.col("path")), lambda d: F.struct(d.alias("path"), F.lit(False).alias("is_file"))),
     )
-    fanned = hashed.select(
-        "repo", "sha256", *_lanes(F.col("path"), F.col("sha256")), F.explode(targets).alias("t")
-    )
+    fanned = hashed.select("repo", "sha256", *[f"lane{i}" for i in range(LANES)], F.explode(targets).alias("t"))
     return (
         fanned.groupBy("repo", F.col("t.path").alias("path"))
         .agg(
@@ -133,11 +129,18 @@ def baseline_counts(compared: DataFrame) -> DataFrame:
 
 
 def ref_changes(refs: DataFrame, hashes: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Every reference of every section with ``changed``: gone, not in the baseline, or hashed differently."""
-    states = compare_baseline(refs, hashes, baseline).withColumnRenamed("ref_path", "path")
-    return refs.join(
-        states.select("repo", "path", (F.col("state") != "unchanged").alias("changed")), ["repo", "path"], "left"
-    )
+    """Every reference row with ``changed``: gone, not in the baseline, or hashed differently.
+
+    The references are joined as they are, so the documents behind them are read once. Rows without a path get
+    a key of their own: they match nothing and spread evenly instead of meeting in one NULL partition.
+    """
+    key = F.coalesce("path", F.concat(F.lit("\u0000"), F.xxhash64(*refs.columns).cast("string")))
+    keyed = refs.withColumn("_key", key)
+    current = hashes.select("repo", F.col("path").alias("_key"), F.col("sha256").alias("_now"))
+    saved = baseline.select("repo", F.col("ref_path").alias("_key"), F.col("sha256").alias("_then"))
+    joined = keyed.join(current, ["repo", "_key"], "left").join(saved, ["repo", "_key"], "left")
+    same = F.coalesce(F.col("_now") == F.col("_then"), F.lit(False))
+    return joined.select(*refs.columns, (~same).alias("changed"))
 
 
 def latest_snapshot(table: DataFrame, keys: list[str], ts: str = "saved_at", as_of: Column | None = None) -> DataFrame:

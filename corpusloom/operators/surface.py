@@ -19,10 +19,10 @@ def union_detections(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _family_counts(files: DataFrame, patterns: dict[str, str], scope, out: str) -> DataFrame:
+def _family_counts(files: DataFrame, patterns: dict[str, str], needles: dict[str, list[str]], scope, out: str) -> DataFrame:
     """Matching lines per repo and language family, counted inside each row and summed map-side."""
     sums = [
-        F.coalesce(F.sum(F.when(scope(F.col("path"), f), T.matching_lines(F.col("content"), p))), F.lit(0)).cast("bigint").alias(f)
+        F.coalesce(F.sum(F.when(scope(F.col("path"), f), T.matching_lines(F.col("content"), p, needles[f]))), F.lit(0)).cast("bigint").alias(f)
         for f, p in patterns.items()
     ]
     wide = files.groupBy("repo").agg(*sums)
@@ -30,39 +30,46 @@ def _family_counts(files: DataFrame, patterns: dict[str, str], scope, out: str)
 
 
 def endpoint_counts(files: DataFrame, variant: str = "coverage") -> DataFrame:
-    return _family_counts(files, fv.ENDPOINT_PATTERNS[variant], lambda p, f: C.endpoint_scope(p, f, variant), "endpoints")
+    scope = lambda p, f: C.endpoint_scope(p, f, variant)
+    return _family_counts(files, fv.ENDPOINT_PATTERNS[variant], fv.ENDPOINT_NEEDLES, scope, "endpoints")
 
 
 def export_counts(files: DataFrame) -> DataFrame:
-    return _family_counts(files, fv.EXPORT_PATTERNS, C.export_scope, "exports")
+    return _family_counts(files, fv.EXPORT_PATTERNS, fv.EXPORT_NEEDLES, C.export_scope, "exports")
 
 
 def family_total(counts: DataFrame, value: str) -> DataFrame:
     return counts.groupBy("repo").agg(F.sum(value).alias(value))
 
 
+# A router-wide guard, such as ``router.use(authenticate)``.
 GUARDED_ROUTER = r"\.use\([^\n]*" + C.AUTH_HINT.removeprefix("(?i)")
 
 
-def _lines(files: DataFrame, patterns: dict[str, str], *extra: Column) -> DataFrame:
-    """Lines of files that match at all; others are dropped before their text is split.
+def _matching_lines(files: DataFrame, patterns: dict[str, str], needles: dict[str, list[str]], scope, *extra: Column) -> DataFrame:
+    """(repo, path, pos, text, family) of lines that match a pattern of their file's language family.
 
-    ``extra`` columns are facts of the whole file, computed once per file and carried to its lines.
+    Which families a file can match is settled once per file, by its path and a search for the needles of the
+    pattern; other files are dropped before any text is split, and regexes only run on lines with a needle. ``extra`` columns are facts of the file carried to its lines.
     """
-    union = "|".join(f"(?:{p})" for p in patterns.values())
-    return (
-        files.filter(F.col("content").rlike("(?m)" + union))
-        .select("repo", "path", *extra, F.posexplode(F.split("content", "\n")).alias("pos", "text"))
-        .filter(F.col("text").rlike(union))
-    )
+    path, content = F.col("path"), F.col("content")
+    able = [(scope(path, f) & T.holds_any(content, needles[f])).alias(f"in_{f}") for f in patterns]
+    marked = files.select("repo", "path", "content", *able, *extra)
+    some = reduce(lambda a, b: a | b, [F.col(f"in_{f}") for f in patterns])
+    kept = [c for c in marked.columns if c != "content"]
+    lines = marked.filter(some).select(*kept, F.posexplode(F.split("content", "\n")).alias("pos", "text"))
+    family = None
+    for f, p in patterns.items():
+        hit = F.col(f"in_{f}") & T.line_matches(F.col("text"), p, needles[f])
+        family = F.when(hit, f) if family is None else family.when(hit, f)
+    return lines.withColumn("family", family).filter("family is not null").drop(*[f"in_{f}" for f in patterns])
 
 
 def endpoints(files: DataFrame, variant: str = "coverage") -> DataFrame:
     """One row per route registration with method, route, resource and a hint on authentication."""
-    guarded = F.col("content").rlike("(?i)" + GUARDED_ROUTER).alias("guarded")
-    rows = _lines(files, fv.ENDPOINT_PATTERNS[variant], guarded).withColumn(
-        "family", C.endpoint_family(F.col("path"), F.col("text"), variant)
-    ).filter(F.col("family").isNotNull())
+    guarded = (F.col("content").contains(".use(") & F.col("content").rlike("(?i)" + GUARDED_ROUTER)).alias("guarded")
+    scope = lambda p, f: C.endpoint_scope(p, f, variant)
+    rows = _matching_lines(files, fv.ENDPOINT_PATTERNS[variant], fv.ENDPOINT_NEEDLES, scope, guarded)
     route = C.route_path(F.col("text"))
     return rows.select(
         "repo", "path", (F.col("pos") + 1).alias("line"), F.col("family").alias("framework"),
@@ -74,9 +81,8 @@ def endpoints(files: DataFrame, variant: str = "coverage") -> DataFrame:
 
 def exports(files: DataFrame) -> DataFrame:
     """One row per exported declaration."""
-    rows = _lines(files, fv.EXPORT_PATTERNS).withColumn("language", C.export_family(F.col("path"), F.col("text")))
-    return rows.filter(F.col("language").isNotNull()).select(
-        "repo", "path", (F.col("pos") + 1).alias("line"), "language",
+    return _matching_lines(files, fv.EXPORT_PATTERNS, fv.EXPORT_NEEDLES, C.export_scope).select(
+        "repo", "path", (F.col("pos") + 1).alias("line"), F.col("family").alias("language"),
         C.export_kind(F.col("text")).alias("kind"), C.export_name(F.col("text")).alias("name"),
     )
 
@@ -113,15 +119,15 @@ def entity_inventory(files: DataFrame, docs: DataFrame, refs: DataFrame) -> Data
     names = ["files", "endpoints", "exports", "doc_files", "documented_files", "documented_endpoints"]
     part = lambda df, **cols: df.select("repo", *[cols.get(n, F.lit(0)).cast("bigint").alias(n) for n in names])
     path, content = F.col("path"), F.col("content")
-    count_lines = lambda patterns, scope: reduce(
+    count_lines = lambda patterns, needles, scope: reduce(
         lambda a, b: a + b,
-        [F.when(scope(path, f), T.matching_lines(content, p)).otherwise(F.lit(0)) for f, p in patterns.items()],
+        [F.when(scope(path, f), T.matching_lines(content, p, needles[f])).otherwise(F.lit(0)) for f, p in patterns.items()],
     )
     is_source = C.top_dir(path).isin(fv.ALL_SOURCE_ROOTS) & ~path.rlike(C.TEST_PATH + "|__pycache__|node_modules")
     code = part(
         files, files=F.when(is_source, F.lit(1)).otherwise(F.lit(0)),
-        endpoints=count_lines(fv.ENDPOINT_PATTERNS["coverage"], lambda p, f: C.endpoint_scope(p, f, "coverage")),
-        exports=count_lines(fv.EXPORT_PATTERNS, C.export_scope),
+        endpoints=count_lines(fv.ENDPOINT_PATTERNS["coverage"], fv.ENDPOINT_NEEDLES, lambda p, f: C.endpoint_scope(p, f, "coverage")),
+        exports=count_lines(fv.EXPORT_PATTERNS, fv.EXPORT_NEEDLES, C.export_scope),
     )
     prose = part(docs, doc_files=F.lit(1), documented_endpoints=CL.doc_endpoint_mentions(content))
     documented = part(referenced_existing(refs, files), documented_files=F.lit(1))
@@ -149,7 +155,7 @@ def gap_candidates(files: DataFrame) -> DataFrame:
     """Source files with exports and how many export lines they hold."""
     path = F.col("path")
     chosen = P.source_dirs(files).filter(T.suffix(path).isin(fv.GAP_SUFFIXES) & ~path.rlike(C.TEST_PATH))
-    counted = chosen.select("repo", "path", T.matching_lines(F.col("content"), fv.GAP_EXPORT).cast("bigint").alias("exports"))
+    counted = chosen.select("repo", "path", T.matching_lines(F.col("content"), fv.GAP_EXPORT, fv.GAP_NEEDLES).alias("exports"))
     return counted.filter(F.col("exports") > 0)
 
 

@@ -93,13 +93,14 @@ def section_coverage(docs: DataFrame, features: DataFrame, namespace: str = T.DE
     """
     def found(aliases: list[str]) -> Column:
         names = "|".join(aliases)
-        return F.col("content").rlike(rf"(?i)## [^\n]*({names})|<!-- {namespace}:start:({names})")
+        return F.col("headings").rlike(rf"(?i)## [^\n]*({names})|<!-- {namespace}:start:({names})")
 
     entry = lambda name, aliases: F.struct(F.lit(name).alias("section"), found(aliases).alias("found"))
     base = F.array(*[entry(n, a) for n, a in fv.EXPECTED_SECTIONS.items()])
     with_manifest = F.array(*[entry(n, a) for n, a in fv.EXPECTED_IF_MANIFEST.items()])
     with_license = F.array(*[entry(n, a) for n, a in fv.EXPECTED_IF_LICENSE.items()])
-    tested = docs.select("repo", "doc", base.alias("base"), with_manifest.alias("m"), with_license.alias("l"))
+    headings = T.candidate_lines(F.col("content"), ["## ", f"<!-- {namespace.lower()}:start:"], True)
+    tested = docs.select("repo", "doc", headings.alias("headings")).select("repo", "doc", base.alias("base"), with_manifest.alias("m"), with_license.alias("l"))
     joined = tested.join(features, "repo", "left")
     none = F.slice("base", 1, 0)
     expected = F.concat(
@@ -109,7 +110,7 @@ def section_coverage(docs: DataFrame, features: DataFrame, namespace: str = T.DE
 
 
 def anchor_count(docs: DataFrame, namespace: str = T.DEFAULT_NAMESPACE) -> DataFrame:
-    return docs.select("repo", "doc", T.matching_lines(F.col("content"), f"<!-- {namespace}:refs:").cast("bigint").alias("refs"))
+    return docs.select("repo", "doc", T.matching_lines(F.col("content"), f"<!-- {namespace}:refs:", [f"{namespace}:refs:"]).alias("refs"))
 
 
 def quality_score(checks: DataFrame, coverage: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -60,8 +60,8 @@ def generate_context(
 def check_sections(docs: DataFrame, files: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(section status, reference changes) of marked documents against the newest baseline."""
     sections = SE.parse_sections(P.docs_with_markers(docs))
-    changes = SN.ref_changes(SE.section_refs(sections), SN.path_hashes(files), baseline)
-    return SE.section_status(sections, changes, baseline.select("repo")), changes
+    changes = SN.ref_changes(SE.section_refs(sections, keep_empty=True), SN.path_hashes(files), baseline)
+    return SE.section_status(changes, baseline.select("repo")), changes.filter("path is not null")
 
 
 def check(docs: DataFrame, files: DataFrame, baseline: DataFrame, repos: DataFrame | None = None) -> DataFrame:

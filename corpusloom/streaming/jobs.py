@@ -83,7 +83,7 @@ def staleness_batch(
         files = read_files().join(repos, "repo", "left_semi")
         baseline = read_baseline()
         states = SN.ref_changes(refs, SN.path_hashes(files), baseline)
-        status = SE.section_status(sections.join(touched, keys, "left_semi"), states, baseline.select("repo"))
+        status = SE.section_status(states, baseline.select("repo"))
         numbered = F.lit(batch_id).cast("bigint").alias("batch_id")
         replace(status.select("repo", "doc", "section", "status", "n_refs", "n_changed", numbered), status_path)
         replace(SN.baseline_rows(refs, files, F.current_timestamp()).select("*", numbered), baseline_path)
