@@ -61,11 +61,14 @@ def scan_secrets(files: DataFrame, patterns: list[SecretPattern] | None = None)
 
 
 def redact(content: Column, patterns: list[SecretPattern] | None = None) -> Column:
-    """Replace every secret by a note that names its kind."""
-    for p in patterns or fv.SECRET_PATTERNS:
-        replaced = F.regexp_replace(content, p.regex, f"[REDACTED: {p.name} detected]")
-        content = F.when(any_of([content.contains(n) for n in p.needles]), replaced).otherwise(content) if p.needles else replaced
-    return content
+    """Replace every secret by a note that names its kind; texts without any needle are passed through untouched."""
+    chosen = patterns or fv.SECRET_PATTERNS
+    cleaned = content
+    for p in chosen:
+        cleaned = F.regexp_replace(cleaned, p.regex, f"[REDACTED: {p.name} detected]")
+    if not all(p.needles for p in chosen):
+        return cleaned
+    return F.when(any_of([content.contains(n) for p in chosen for n in p.needles]), cleaned).otherwise(content)
 
 
 def secret_summary(findings: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ MANIFEST_KINDS = {
 def _pairs_to_map(names: Column, values: Column) -> Column:
     """A map from two parallel arrays; the first value of a repeated name wins."""
     keys = F.array_distinct(names)
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(values, (F.array_position(names, k) - 1).cast("int"))))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.trim(F.get(values, (F.array_position(names, k) - 1).cast("int")))))
 
 
 def _line_map(text: Column, pattern: str) -> Column:
