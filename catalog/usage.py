@@ -99,14 +99,17 @@ def _(t):
     return t.spark.read.schema(schema).parquet(status).drop("batch_id")
 
 
-@query("st4_response_cache_stream", """SELECT repo, key FROM (SELECT DISTINCT 'r' || (user_id % 40) AS repo, event_type || '-' || user_id AS key FROM events)""")
+@query("st4_response_cache_stream", """
+    WITH RECURSIVE e AS (SELECT 'r' || (user_id % 40) AS repo, event_type || '-' || user_id AS key, ts FROM events),
+    r AS (SELECT repo, key, min(ts) AS ts FROM e GROUP BY repo, key
+      UNION SELECT r.repo, r.key, min(e.ts) FROM r JOIN e ON e.repo = r.repo AND e.key = r.key AND e.ts > r.ts + INTERVAL 1 HOUR GROUP BY r.repo, r.key, r.ts)
+    SELECT repo, key, ts FROM r""")
 def _(t):
-    """All rows arrive in one batch, before any key can expire: one response per key is kept."""
     path, mark = scratch_path(t.spark, "responses"), scratch_path(t.spark, "mark")
     responses = event_stream(t).select(
         "ts", F.concat(F.lit("r"), (F.col("user_id") % 40).cast("string")).alias("repo"), F.concat("command", F.lit("-"), F.col("user_id").cast("string")).alias("key"))
     finish(J.start_append(J.response_cache_stream(responses), path, mark))
-    return t.spark.read.schema("ts timestamp, repo string, key string").parquet(path).select("repo", "key")
+    return t.spark.read.schema("ts timestamp, repo string, key string").parquet(path)
 
 
 def line_totals(files):

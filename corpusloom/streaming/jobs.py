@@ -6,11 +6,14 @@ which on a cluster is the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.operators import sections as SE
 from corpusloom.operators import snapshots as SN
@@ -32,12 +35,32 @@ def activity_30d_stream(commits: DataFrame, window: str = "30 days", slide: str
     return counted.select(F.col("w.start").alias("window_start"), "repo", "n")
 
 
-def response_cache_stream(responses: DataFrame, ttl: str = "1 hour") -> DataFrame:
-    """First response per (repo, key) within the time to live; repeats inside it are served from the cache.
+def response_cache_stream(responses: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
+    """Responses (repo, key, ts) that had to be fetched: the first per key, then the first once the stored one is too old.
 
-    Keys expire in event time, and rows later than the watermark are dropped.
+    The state of a key is one number, the time of its stored response, and it leaves with the watermark. Only the
+    key columns and the time enter the Python step; rows older than the watermark are dropped before it.
     """
-    return responses.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["repo", "key"])
+    ttl = ttl_seconds * 1_000_000
+
+    def fetch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        stored = state.get[0] if state.exists else None
+        kept = []
+        for us in np.sort(np.concatenate([b["us"].to_numpy() for b in batches])):
+            if stored is None or us - stored > ttl:
+                stored = int(us)
+                kept.append(stored)
+        state.update((stored,))
+        state.setTimeoutTimestamp((stored + ttl) // 1000 + 1)
+        yield pd.DataFrame({"repo": key[0], "key": key[1], "us": kept})
+
+    narrow = responses.withWatermark("ts", f"{ttl_seconds} seconds").select("repo", "key", "ts", F.unix_micros("ts").alias("us"))
+    fetched = narrow.groupBy("repo", "key").applyInPandasWithState(
+        fetch, "repo string, key string, us bigint", "stored bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return fetched.select("repo", "key", F.timestamp_micros("us").alias("ts"))
 
 
 def start_append(stream: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None) -> StreamingQuery:
