@@ -383,11 +383,10 @@ class Tables:
 
     @cached_property
     def commit_files(self) -> DataFrame:
-        return self.lineitem.select("l_orderkey", "l_partkey").join(
-            self.orders.select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey")
-        ).select(
-            F.expr("'r' || (o_custkey % 40)").alias("repo"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("hash"),
-            F.expr("'src/m' || (l_partkey % 50) || '/p' || l_partkey || '.py'").alias("path"))
+        owners = self.orders.select(
+            "o_orderkey", F.expr("'r' || (o_custkey % 40)").alias("repo"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("hash"))
+        return self.lineitem.select("l_orderkey", "l_partkey").join(owners, F.col("o_orderkey") == F.col("l_orderkey")).select(
+            "repo", "hash", F.expr("'src/m' || (l_partkey % 50) || '/p' || l_partkey || '.py'").alias("path"))
 
     @cached_property
     def imports(self) -> DataFrame:

@@ -180,15 +180,15 @@ def decision_context(
     or after the commit; the request that wins most files is taken. Commits and requests of a path are walked
     once in time order, so a file everybody touches costs its rows, never their product.
     """
-    touched = commit_files.join(decided.select("repo", "hash", "ts"), ["repo", "hash"]).select("repo", "path", "ts", "hash").distinct()
+    touched = commit_files.join(decided.select("repo", "hash", "ts"), ["repo", "hash"]).select("repo", "path", "ts", "hash")
     merged = prs.filter(F.col("merged_at").isNotNull()).select(
-        "repo", F.explode("files").alias("path"), F.col("merged_at").alias("ts"), "number").distinct()
+        "repo", F.explode("files").alias("path"), F.col("merged_at").alias("ts"), "number")
     walk = touched.withColumn("number", F.lit(None).cast("bigint")).unionByName(merged.withColumn("hash", F.lit(None).cast("string")))
     stamped = cut_lineage(walk.withColumn("is_pr", F.col("number").isNotNull().cast("int")))
     ahead = ordered_next(
         stamped, ["repo", "path"], ["ts", "is_pr", "number", "hash"], "number", "next_pr",
         F.date_trunc("day", F.col("ts")), hot_group_rows)
-    votes = ahead.filter("hash is not null and next_pr is not null").groupBy("repo", "hash", "next_pr").agg(F.count("*").alias("overlap"))
+    votes = ahead.filter("hash is not null and next_pr is not null").groupBy("repo", "hash", "next_pr").agg(F.countDistinct("path").alias("overlap"))
     best = top_per_group(votes, ["repo", "hash"], [F.desc("overlap"), F.col("next_pr")], 1)
     context = prs.select(
         "repo", F.col("number").alias("next_pr"), "title", F.array_join("labels", ",").alias("labels"),
