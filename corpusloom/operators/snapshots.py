@@ -51,23 +51,26 @@ def path_hashes(files: DataFrame) -> DataFrame:
     """Current hash of every file and every directory, from one scan of the contents.
 
     Each file counts for itself and for its ancestors, so files and directories come out of one aggregate that
-    is already partitioned on (repo, path) for the joins that follow.
+    is already partitioned on (repo, path) for the joins that follow. A file's own hash travels as whole numbers
+    (15 hexadecimal digits each): with a string in it the aggregate would have to sort instead of hash.
     """
     hashed = _with_lanes(file_hashes(files))
+    own = {f"own{i}": F.conv(F.substring("sha256", 1 + 15 * i, 15), 16, 10).cast("bigint") for i in range(LANES + 1)}
     targets = F.concat(
         F.array(F.struct(F.col("path").alias("path"), F.lit(True).alias("is_file"))),
         F.transform(T.ancestors(F.col("path")), lambda d: F.struct(d.alias("path"), F.lit(False).alias("is_file"))),
     )
-    fanned = hashed.select("repo", "sha256", *[f"lane{i}" for i in range(LANES)], F.explode(targets).alias("t"))
-    return (
-        fanned.groupBy("repo", F.col("t.path").alias("path"))
-        .agg(
-            F.max(F.when(F.col("t.is_file"), F.col("sha256"))).alias("own"),
-            F.count("*").alias("n_files"),
-            *[F.bit_xor(f"lane{i}").alias(f"lane{i}") for i in range(LANES)],
-        )
-        .select("repo", "path", F.coalesce(F.col("own"), _combined(F.col("n_files"))).alias("sha256"))
-    )
+    fanned = hashed.withColumns(own).select("repo", *own, *[f"lane{i}" for i in range(LANES)], F.explode(targets).alias("t"))
+    is_file = F.col("t.is_file")
+    mixed = [
+        F.bit_xor(F.when(is_file, F.col(f"own{i}")).otherwise(F.col(f"lane{i}") if i < LANES else F.lit(0))).alias(f"lane{i}")
+        for i in range(LANES + 1)
+    ]
+    summed = fanned.groupBy("repo", F.col("t.path").alias("path")).agg(
+        F.bool_or(is_file).alias("is_file"), F.count("*").alias("n_files"), *mixed)
+    digits = [F.lpad(F.lower(F.hex(f"lane{i}")), 15 if i < LANES else 4, "0") for i in range(LANES + 1)]
+    return summed.select(
+        "repo", "path", F.when(F.col("is_file"), F.concat(*digits)).otherwise(_combined(F.col("n_files"))).alias("sha256"))
 
 
 def dir_hash(refs: DataFrame, files: DataFrame) -> DataFrame:
