@@ -16,11 +16,15 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+#: The training-data operators have tests of their own.
+NAMES = list(entry.QUERIES)
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, name):
     _, problems = compare(entry.queries()[name](spark, SF_DIR), SF_DIR, entry.oracle_sql().get(name))
     assert not problems
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(NAMES) <= set(entry.oracle_sql())
