@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,38 +62,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return labels.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-@functools.cache
-def popcount_table():
-    import numpy as np
-
-    return np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
-
-
 def popcount64(x):
     """Set bits of each unsigned 64-bit integer of an array."""
     import numpy as np
 
-    if hasattr(np, "bitwise_count"):
-        return np.bitwise_count(x)
-    return popcount_table()[np.ascontiguousarray(x).view(np.uint16).reshape(-1, 4)].sum(axis=1)
+    return np.bitwise_count(x)
 
 
-def forest(n: int, i, j):
-    """Positions in (i, j) of the links of a spanning forest over nodes 0..n-1: at most n - 1, same components."""
+def local_components(n: int, a, b):
+    """For nodes 0..n-1 the smallest node reachable over the links (a[k], b[k]): labels sink along the links."""
     import numpy as np
 
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    keep = []
-    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            keep.append(k)
-    return np.array(keep, dtype=np.int64)
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        apart = label[a] != label[b]
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+    while True:
+        nxt = label[label]
+        if (nxt == label).all():
+            return label
+        label = nxt

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import mixing, packing, token_files
-from corpusloom.llm.common import require, table
+from corpusloom.llm import langid, mixing, packing, simhash, substrings, token_files, toxicity
+from corpusloom.llm.common import held_out, require, stored, table
 from corpusloom.runtime import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,20 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = require(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    found = langid.identify(docs, langid.fit(docs), ["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = require(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = toxicity.rate(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
@@ -33,8 +47,6 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces of all documents with their place in the packed sequences; ids as a checksum."""
-    from corpusloom.llm.common import stored
-
     pieces = packing.cut_documents(docs, tokenizer_file("word_bpe_49k.json"))
     narrow = stored(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), "pieces")
     return packing.pack(narrow)
@@ -46,6 +58,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(mixing.mix(docs)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
