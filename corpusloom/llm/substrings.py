@@ -9,33 +9,37 @@ reach into the document id, so a window in very many documents is split as well;
 joined with the other groups' by their words.
 
 Most windows are unique, and sending them all would cost many times the input. So suffixes are sent only where a
-repeat is possible: equal windows have the same minimizer (the run of five words inside them with the least hash),
-so a window can only be repeated if its minimizer is one in more than one document. That filter never loses a
+repeat is possible: equal windows have the same minimizer (the run of some of their words with the least hash), so a window can only be repeated if its minimizer is one in more than one document too. That filter never loses a
 repeat; what it lets through by chance, the trees reject, as they compare words.
 
 Exact copies of a text need no tree: all their windows start in the document with the smallest id.
 
 Defined cases: null text has no words; texts shorter than a window keep all words; rows that share a doc_id are
-one document for each other (never smaller) but are cut each; rows with a null doc_id come after all others and
-are not compared with each other; an empty table gives no rows; other columns of the input are ignored.
+one document for each other (never smaller) but are cut each; rows with a null doc_id come after all others, in
+the order of a hash of their texts; an empty table gives no rows; other columns of the input are ignored unless asked
+for.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import zlib
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusloom.llm.common import partitions, require, stored
+from corpusloom.llm.common import partitions, stored
 
 WINDOW = 13
-#: Words of a minimizer's run.
-RUN = 5
+#: A window has so many runs of words, the least of which is its minimizer: more are fewer to send, but unsurer.
+RUNS = 6
 #: Anchors that a task looks at together before it sends them.
 ANCHORS_AT_ONCE = 500_000
 ROWS_AT_ONCE = 256
-#: The id under which null doc_ids are sorted.
+#: Null doc_ids are numbered downwards from here.
 LAST_ID = (1 << 63) - 1
-POSITION_BITS = 31
+POSITION_BITS = 40
+POSITION = (1 << POSITION_BITS) - 1
 
 
 class WordHash:
@@ -46,7 +50,7 @@ class WordHash:
 
         draw = np.random.default_rng(20_24)
         self.values = draw.integers(1, 1 << 64, 256, dtype=np.uint64)
-        self.mixers = draw.integers(1, 1 << 64, RUN, dtype=np.uint64) | np.uint64(1)
+        self.mixers = draw.integers(1, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
         self.base, self.size = 0x9E3779B97F4A7C15, 0
         self.space = np.zeros(256, bool)
         self.space[[9, 10, 11, 12, 13, 32]] = True
@@ -85,14 +89,15 @@ class WordHash:
         """(hash of the run at each position, position of the minimizer of each window)."""
         import numpy as np
 
-        n = len(words) - RUN + 1
+        length = max(1, window - RUNS + 1)
+        n = len(words) - length + 1
         runs = np.zeros(n, np.uint64)
-        for k, m in enumerate(self.mixers):
-            runs += words[k : k + n] * m
+        for k in range(length):
+            runs += (words[k : k + n] ^ (words[k : k + n] >> np.uint64(k % 61 + 1))) * self.mixers[k % 64]
         runs ^= runs >> np.uint64(31)
         runs *= np.uint64(0x9FB21C651E98DF25)
         runs ^= runs >> np.uint64(30)
-        reach = window - RUN + 1
+        reach = window - length + 1
         return runs, np.arange(n - reach + 1) + np.lib.stride_tricks.sliding_window_view(runs, reach).argmin(axis=1)
 
 
@@ -106,16 +111,22 @@ def _hasher():
 _HASHER: WordHash | None = None
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, tag, text): ``doc`` sorts null last; ``tag`` tells apart the texts of rows that share an id."""
-    return require(docs, "doc_id", "text").select(
-        F.col("doc_id").cast("bigint"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("doc"),
-        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("tag"), F.col("text").cast("binary").alias("text"),
+def keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """(doc_id, doc, text) and the columns to keep as one; ``doc`` numbers null ids too."""
+    last = F.lit(LAST_ID) - F.xxhash64("text").bitwiseAND(0xFFFFFFFF)
+    return docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), last).alias("doc"),
+        F.col("text").cast("binary").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("others")] if keep else []),
     )
 
 
+def tag_of(text: Column) -> Column:
+    """Tells apart the texts of rows that share an id."""
+    return F.coalesce(F.crc32(text), F.lit(0))
+
+
 def repeated_anchors(rows: DataFrame, window: int) -> DataFrame:
-    """(doc, tag, position) of minimizers whose run of words is a minimizer in more than one document.
+    """(doc, position) of minimizers whose run of words is a minimizer in more than one document.
 
     A task first looks among its own anchors: those found in two documents there are settled and travel under a key of
     their own, with one mark for the rest. So no run, however frequent, sends more rows to one key than there are tasks.
@@ -135,22 +146,22 @@ def repeated_anchors(rows: DataFrame, window: int) -> DataFrame:
             size = np.diff(np.append(start, len(h)))
             settled = np.repeat(doc[start] != doc[start + size - 1], size)
             marks = start[doc[start] != doc[start + size - 1]]
-            key = np.where(settled, (doc.astype(np.uint64) * np.uint64(hasher.base)) ^ ref.astype(np.uint64), h)
-            kind = np.where(settled, 2, 0).astype(np.int8)
-            for k, r, d, f in ((key, kind, doc, ref), (h[marks], np.ones(len(marks), np.int8), doc[marks], ref[marks])):
+            key = np.where(settled, (doc.astype(np.uint64) + ref.astype(np.uint64)) * np.uint64(hasher.base), h)
+            ref = ref | (settled.astype(np.int64) << POSITION_BITS + 1)
+            for k, d, r in ((key, doc, ref), (h[marks], doc[marks], np.full(len(marks), POSITION + 1))):
                 for a in range(0, len(k), 50_000):
                     s = slice(a, a + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(k[s].view(np.int64)), pa.array(r[s]), pa.array(d[s]), pa.array(f[s])], names=["key", "kind", "doc", "ref"])
+                    yield pa.RecordBatch.from_arrays([pa.array(k[s].view(np.int64)), pa.array(d[s]), pa.array(r[s])], names=["key", "doc", "ref"])
 
         for batch in batches:
-            for doc, tag, text in zip(batch.column("doc").to_pylist(), batch.column("tag").to_pylist(), batch.column("text"), strict=True):
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
                 data = text.as_py() or b""
                 starts, ends = hasher.words(data)
                 if len(starts) < window:
                     continue
                 runs, least = hasher.minimizers(hasher.hashes(data, starts, ends), window)
                 at = least[np.concatenate([[True], least[1:] != least[:-1]])]
-                held.append((runs[at], np.full(len(at), doc, np.int64), (tag << POSITION_BITS) | at))
+                held.append((runs[at], np.full(len(at), doc, np.int64), at.astype(np.int64)))
                 count += len(at)
                 if count >= ANCHORS_AT_ONCE:
                     yield from combined()
@@ -163,44 +174,58 @@ def repeated_anchors(rows: DataFrame, window: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        def given(doc, ref):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc), pa.array(ref >> POSITION_BITS), pa.array((ref & ((1 << POSITION_BITS) - 1)).astype(np.int32))], names=["doc", "tag", "position"]
-            )
+        def given(out, doc, ref):
+            return pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array((ref[out] & POSITION).astype(np.int32))], names=["doc", "position"])
 
         rest = None
         for batch in batches:
-            new = [batch.column(c).to_numpy() for c in ("key", "kind", "doc", "ref")]
-            key, kind, doc, ref = new if rest is None else [np.concatenate([a, b]) for a, b in zip(rest, new, strict=True)]
+            if not batch.num_rows:
+                continue
+            new = [batch.column(c).to_numpy() for c in ("key", "doc", "ref")]
+            key, doc, ref = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
+            kind = ref >> POSITION_BITS  # 0: open, 1: a mark, 2: settled
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            several = (np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)) | (np.maximum.reduceat(kind, start) == 1)
+            several = (np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)) | np.logical_or.reduceat(kind == 1, start)
             size = np.diff(np.append(start, len(key)))
             out = (np.repeat(several, size) & (kind == 0)) | (kind == 2)
-            last = start[-1]
-            if several[-1]:  # the run may go on: one row of each of its ends stands for it
-                yield from given(doc[out], ref[out])
-                rest = [key[-1:], np.ones(1, np.int8), doc[-1:], ref[-1:]]
+            if several[-1]:  # the run may go on: a mark stands for it
+                rest = key[-1:], doc[-1:], np.full(1, POSITION + 1)
             else:
-                out[last:] &= kind[last:] == 2
-                yield from given(doc[out], ref[out])
-                stay = slice(last, None)
-                rest = [x[stay][kind[stay] != 2] for x in (key, kind, doc, ref)]
+                rest = [x[start[-1] :][kind[start[-1] :] == 0] for x in (key, doc, ref)]
                 rest = rest if len(rest[0]) else None
+            yield given(out, doc, ref)
 
-    sent = rows.select("doc", "tag", "text").mapInArrow(send, "key bigint, kind tinyint, doc bigint, ref bigint")
+    sent = rows.select("doc", "text").mapInArrow(send, "key bigint, doc bigint, ref bigint")
     dealt = sent.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(receive, "doc bigint, tag bigint, position int")
+    return dealt.mapInArrow(receive, "doc bigint, position int")
 
 
 def later_copies(rows: DataFrame) -> DataFrame:
     """(doc, tag) of rows whose whole text a document with a smaller id has."""
-    narrow = rows.filter("text is not null").select("doc", "tag", F.sha2("text", 256).alias("sha"))
+    narrow = rows.filter("text is not null").select("doc", tag_of(F.col("text")).alias("tag"), F.sha2("text", 256).alias("sha"))
     first = narrow.groupBy("sha").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return narrow.join(first, "sha").filter("doc > first").select("doc", "tag").distinct()
+    return narrow.join(first, "sha").filter("doc > first").select("doc", "tag")
+
+
+def hints(rows: DataFrame, window: int) -> DataFrame:
+    """What is known of a document before its words are compared: ``positions`` of repeated minimizers, ``copies``
+    (tags of texts that are later copies), and ``tags`` in order, where rows share an id."""
+    anchors = repeated_anchors(rows, window).groupBy("doc").agg(F.collect_set("position").alias("positions"))
+    copies = later_copies(rows).groupBy("doc").agg(F.collect_set("tag").alias("copies"))
+    tags = rows.select("doc", tag_of(F.col("text")).alias("tag")).groupBy("doc").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
+    return anchors.join(copies, "doc", "full").join(tags.filter(F.size("tags") > 1), "doc", "full")
+
+
+def place(text: bytes, copies, tags) -> tuple[bool, int]:
+    """Whether a row's text is a later copy, and the number of its text among those under its id."""
+    if not copies.is_valid and not tags.is_valid:
+        return False, 0
+    tag = zlib.crc32(text)
+    return copies.is_valid and tag in copies.as_py(), tags.as_py().index(tag) if tags.is_valid else 0
 
 
 def suffixes(texts: DataFrame, window: int) -> DataFrame:
-    """(words, doc, ref) of the windows that may be repeated, from (doc, tag, text, positions, is_copy)."""
+    """(words, doc, ref) of the windows that may be repeated; ``ref`` is the position with the text's number above."""
 
     def send(batches):
         import numpy as np
@@ -211,9 +236,12 @@ def suffixes(texts: DataFrame, window: int) -> DataFrame:
             for k in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(k, ROWS_AT_ONCE)
                 words, docs, refs = [], [], []
-                for doc, tag, text, hits in zip(*(part.column(c) for c in ("doc", "tag", "text", "positions")), strict=True):
+                for doc, text, hits, copies, tags in zip(*(part.column(c) for c in ("doc", "text", "positions", "copies", "tags")), strict=True):
                     data, hits = text.as_py(), hits.values.to_numpy()
                     starts, ends = hasher.words(data)
+                    is_copy, number = place(data, copies, tags)
+                    if is_copy or len(starts) < window:
+                        continue
                     _, least = hasher.minimizers(hasher.hashes(data, starts, ends), window)
                     shared = np.zeros(len(starts), bool)
                     shared[hits[hits < len(starts)]] = True
@@ -223,19 +251,20 @@ def suffixes(texts: DataFrame, window: int) -> DataFrame:
                         begin = np.concatenate([[0], np.cumsum(ends - starts + 1)])
                         words += [joined[a:b] for a, b in zip(begin[at].tolist(), (begin[at + window] - 1).tolist(), strict=True)]
                         docs.append(np.full(len(at), doc.as_py(), np.int64))
-                        refs.append((tag.as_py() << POSITION_BITS) | at)
+                        refs.append((number << POSITION_BITS) | at)
                 if words:
                     yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.concatenate(docs)), pa.array(np.concatenate(refs))], names=["words", "doc", "ref"])
 
-    picked = texts.filter("positions is not null and not is_copy").select("doc", "tag", "text", "positions")
-    return picked.mapInArrow(send, "words binary, doc bigint, ref bigint")
+    picked = texts.filter("positions is not null and text is not null")
+    return picked.select("doc", "text", "positions", "copies", "tags").mapInArrow(send, "words binary, doc bigint, ref bigint")
 
 
 def repeats(sent: DataFrame) -> DataFrame:
     """(doc, ref) of the suffixes whose window starts in a document with a smaller id.
 
-    Groups come sorted by words and document, so the first row of a run has the smallest document. Runs at both
-    ends of a group go on to other groups perhaps: they are settled by a join on the words with the runs' minima.
+    Groups come sorted by words and document, so the first row of a run has its smallest document; all rows of later
+    documents are settled by it. The first document of a group's first and last run may still be a later one of
+    another group's: only its rows are joined, by their words, with the other groups'.
     """
 
     def nodes(batches):
@@ -243,16 +272,12 @@ def repeats(sent: DataFrame) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        first = None  # words and smallest document of the run that the last batch ended with
-        begun = False  # whether the group's first run is over
-        waiting = None
+        last = None  # words and smallest document of the run that goes on
+        open_ = []  # that document's rows
+        first_over = False
 
-        def rows(kind, words, doc, ref, low):
-            n = len(doc)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, kind, np.int8)), words if words is not None else pa.nulls(n, pa.binary()), pa.array(doc), pa.array(ref), pa.array(low)],
-                names=["kind", "words", "doc", "ref", "low"],
-            )
+        def rows(words, doc, ref):
+            return pa.RecordBatch.from_arrays([words, pa.array(doc), pa.array(ref)], names=["words", "doc", "ref"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -260,66 +285,46 @@ def repeats(sent: DataFrame) -> DataFrame:
             words, doc, ref = batch.column("words"), batch.column("doc").to_numpy(), batch.column("ref").to_numpy()
             new = np.ones(len(doc), bool)
             new[1:] = pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
-            if first is not None and words[0].as_py() == first[0]:
-                new[0] = False
-            run = np.cumsum(new)
+            new[0] = last is None or words[0].as_py() != last[0]
             start = np.flatnonzero(new)
-            low = np.concatenate([[first[1] if first else doc[0]], doc[start]])[run]
-            if waiting is not None and new.any():  # the run that was last is not the last of the group
-                for part in waiting if begun else ():
-                    yield rows(0, None, *part[1:])
-                if not begun:
-                    for part in waiting:
-                        yield rows(1, *part)
-                waiting, begun = None, True
-            elif waiting is not None:
-                waiting.append((words, doc, ref, low))
-                if sum(len(x[1]) for x in waiting) > 1_000_000:  # a run this long is settled by the join
-                    for part in waiting:
-                        yield rows(1, *part)
-                    waiting, begun = [], False
-                first = (first[0], low[-1])
-                continue
-            last = run[-1]
-            is_first, is_last = (run == run[0]) & (not begun), run == last
-            if is_first.any() and run[0] != last:
-                yield rows(1, words.filter(pa.array(is_first)), doc[is_first], ref[is_first], low[is_first])
-                begun = True
-            inner = ~is_first & ~is_last
-            later = inner & (doc > low)
+            low = np.concatenate([[last[1] if last else 0], doc[start]])[np.cumsum(new)]
+            later = doc > low
             if later.any():
-                yield rows(0, None, doc[later], ref[later], low[later])
-            waiting = [(words.filter(pa.array(is_last)), doc[is_last], ref[is_last], low[is_last])]
-            first = (words[len(words) - 1].as_py(), low[-1])
-        for part in waiting or ():
-            yield rows(1, *part)
-
-    n = partitions(sent.sparkSession)
-    groups = sent.repartitionByRange(n, "words", "doc").sortWithinPartitions("words", "doc")
-    found = stored(groups.mapInArrow(nodes, "kind tinyint, words binary, doc bigint, ref bigint, low bigint"), "suffix-runs")
-    inner = found.filter("kind = 0 and doc > low").select("doc", "ref")
-    ends = found.filter("kind = 1")
+                yield rows(pa.nulls(int(later.sum()), pa.binary()), doc[later], ref[later])
+            for k, (a, b) in enumerate(zip([0, *start], [*start, len(doc)], strict=True)):
+                if k:  # a run begins at a: the one before is over
+                    if open_ and not first_over:
+                        yield from open_
+                        first_over = True
+                    open_ = []
+                if 0 < k < len(start) and first_over:
+                    continue  # a run inside the group needs no other
+                least = np.flatnonzero(~later[a:b]) + a
+                if len(least):
+                    open_.append(rows(words.take(pa.array(least)), doc[least], ref[least]))
+            last = words[len(words) - 1].as_py(), low[-1]
+        yield from open_
+
+    groups = sent.repartitionByRange(partitions(sent.sparkSession), "words", "doc").sortWithinPartitions("words", "doc")
+    found = stored(groups.mapInArrow(nodes, "words binary, doc bigint, ref bigint"), "suffix-runs")
+    ends = found.filter("words is not null")
     least = ends.groupBy("words").agg(F.min("doc").alias("least"))
-    return inner.unionByName(ends.join(least, "words").filter("doc > least").select("doc", "ref"))
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) for every row of ``docs``: ``kept`` has the words that no window covers
-    whose word sequence also starts in a document with a smaller doc_id, joined by one blank."""
-    if window <= RUN:
-        raise ValueError(f"a window has more than {RUN} words")
-    rows = keyed(docs)
-    n = partitions(rows.sparkSession)
-    texts = rows.repartition(n, "doc", "tag")
-    copies = stored(later_copies(rows), "copies").withColumn("is_copy", F.lit(True))
-    anchors = repeated_anchors(rows, window).groupBy("doc", "tag").agg(F.collect_set("position").alias("positions"))
-    hints = stored(anchors.join(copies, ["doc", "tag"], "full"), "anchors")
-    hinted = texts.join(hints, ["doc", "tag"], "left").withColumn("is_copy", F.coalesce("is_copy", F.lit(False)))
-    later = repeats(suffixes(hinted, window))
-    ref = F.col("ref")
-    cover = later.select("doc", F.shiftright(ref, POSITION_BITS).alias("tag"), ref.bitwiseAND((1 << POSITION_BITS) - 1).cast("int").alias("position"))
-    cover = cover.groupBy("doc", "tag").agg(F.collect_list("position").alias("covered"))
-    marked = texts.join(cover, ["doc", "tag"], "left").join(copies, ["doc", "tag"], "left")
+    return found.filter("words is null").select("doc", "ref").unionByName(
+        ends.join(least, "words").filter("doc > least").select("doc", "ref")
+    )
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None = None, as_written: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) for every row of ``docs``: ``kept`` has the words that no window covers whose
+    word sequence also starts in a document with a smaller doc_id, joined by one blank. With ``as_written``, texts
+    that lose no word stay as they are. Columns to ``keep`` come along in the struct ``others``."""
+    keep = keep or []
+    rows = keyed(docs, keep)
+    texts = rows.repartition(partitions(rows.sparkSession), "doc")
+    known = stored(hints(rows, window), "repeat-hints")
+    later = repeats(suffixes(texts.drop("others").join(known, "doc"), window))
+    covered = later.groupBy("doc").agg(F.collect_list("ref").alias("covered"))
+    marked = texts.join(known.drop("positions"), "doc", "left").join(covered, "doc", "left")
 
     def cut(batches):
         import numpy as np
@@ -329,23 +334,33 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             for k in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(k, ROWS_AT_ONCE)
                 total, removed, kept = [], [], []
-                for text, covered, copy in zip(*(part.column(c) for c in ("text", "covered", "is_copy")), strict=True):
-                    words = (text.as_py() or b"").split()
+                for text, refs, copies, tags in zip(*(part.column(c) for c in ("text", "covered", "copies", "tags")), strict=True):
+                    data = text.as_py()
+                    words = (data or b"").split()
                     gone = np.zeros(len(words) + 1, np.int32)
-                    if copy.as_py() and len(words) >= window:
+                    is_copy, number = place(data or b"", copies, tags)
+                    if is_copy and len(words) >= window:
                         gone[0] = 1
-                    elif covered.is_valid:
-                        at = np.unique(covered.values.to_numpy())
+                    elif refs.is_valid:
+                        at = np.unique(refs.values.to_numpy())
+                        at = (at & POSITION)[at >> POSITION_BITS == number]
                         gone[at] += 1
-                        gone[at + window] -= 1
+                        np.subtract.at(gone, at + window, 1)
                     gone = np.cumsum(gone)[:-1] > 0
                     total.append(len(words))
                     removed.append(int(gone.sum()))
-                    kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if removed[-1] else words))
+                    if removed[-1]:
+                        kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
+                    else:
+                        kept.append(data if as_written else b" ".join(words))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())],
-                    names=["doc_id", "n_words", "n_removed", "kept"],
+                    [part.column("doc_id"), *([part.column("others")] if keep else []), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())],
+                    names=["doc_id", *(["others"] if keep else []), "n_words", "n_removed", "kept"],
                 )
 
-    out = marked.select("doc_id", "text", "covered", "is_copy").mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept binary")
+    others = [rows.schema["others"]] if keep else []
+    kinds = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())]
+    out = marked.select("doc_id", *[f.name for f in others], "text", "covered", "copies", "tags").mapInArrow(
+        cut, T.StructType([T.StructField("doc_id", T.LongType()), *others, *kinds])
+    )
     return out.withColumn("kept", F.col("kept").cast("string"))
