@@ -8,7 +8,7 @@ its last block the source starts again.
 
 Defined cases: a null source is a source of its own and comes last; null text has size 0; documents without words
 are taken 0 times; rows that share a doc_id are documents of their own; an empty table gives no rows; other
-columns of the input are kept.
+columns of the input are ignored, or kept with the documents.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SLOTS, BLOCK_WORDS = 65_536, 4096
 #: Bits of a slot number that the bit reversal covers.
 SLOT_BITS = 48
+HASH_BITS = 60
 #: Documents or slots that one ordered group holds on average.
 GROUP = 4096
 
@@ -75,6 +76,16 @@ def van_der_corput(j: Column) -> Column:
     return mirrored / F.lit(float(1 << SLOT_BITS))
 
 
+def shuffled(seed: int, doc_id: Column) -> Column:
+    """A hash of ``HASH_BITS`` bits that orders a source's documents."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+
+
+def row_of_text() -> Column:
+    return F.xxhash64("doc_id", "text").alias("_row")
+
+
 def schedule(targets: DataFrame, block: int, n_slots: int) -> DataFrame:
     """(slot, source, turn): the source whose stretch of the cumulative targets holds the slot's point, and the
     slot's number among that source's slots. Stretches are cut at a grid of cells, so the lookup is an equi-join."""
@@ -95,15 +106,15 @@ def schedule(targets: DataFrame, block: int, n_slots: int) -> DataFrame:
     return ranked(chunked, "source", "chunk", [F.col("slot")], F.lit(1), "turn").drop("chunk")
 
 
-def mix(docs: DataFrame, share: float = 1.5, repeat: int = 2, weights: tuple[float, ...] = WEIGHTS, block_words: int | None = None, seed: int = 17) -> DataFrame:
-    """One row per document and block of the mix that holds some of it: a ``row_id``, the columns of ``docs`` but the
-    text, ``size``, ``source_size``, ``target``, and ``slot``, ``turn``, ``pass`` (0 for the source's first run), ``word_from`` and
+def mix(
+    docs: DataFrame, share: float = 1.5, repeat: int = 2, weights: tuple[float, ...] = WEIGHTS, block_words: int | None = None, seed: int = 17
+) -> DataFrame:
+    """One row per document and block of the mix that holds some of it: ``row_id``, ``doc_id``, ``source``, ``_row``
+    (a hash of doc_id and text), ``size``, ``source_size``, ``target``, and ``slot``, ``turn``, ``pass`` (0 for the source's first run), ``word_from`` and
     ``word_to`` in the document. A document that the mix doesn't take has one row with null there.
-
-    Document columns should be narrow; texts are better joined to the result.
     """
-    rows = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")) if "size" not in docs.columns else docs
-    rows = rows.drop("text").withColumn("_hash", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")
+    rows = docs.select("doc_id", "source", row_of_text(), size).withColumn("_hash", shuffled(seed, F.col("doc_id")))
     rows = stored(rows.withColumn("row_id", F.monotonically_increasing_id()), "mix-documents")
     targets = source_targets(
         rows.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size")), share, float(repeat), weights
@@ -113,7 +124,7 @@ def mix(docs: DataFrame, share: float = 1.5, repeat: int = 2, weights: tuple[flo
     block = block_words or int(min(BLOCK_WORDS, max(1, total // SLOTS)))
     slots = schedule(targets, block, int(-(-total // block)))
     bits = max(0, (n_docs // GROUP).bit_length())
-    chunk = F.shiftrightunsigned("_hash", 64 - bits) if bits else F.lit(0).cast("bigint")
+    chunk = F.shiftright("_hash", HASH_BITS - bits) if bits else F.lit(0).cast("bigint")
     laid = ranked(rows.withColumn("_chunk_no", chunk), "source", "_chunk_no", [F.col("_hash"), F.col("doc_id")], F.col("size"), "_from").drop("_chunk_no")
     by_source = targets.select(F.col("source").alias("_source"), "source_size", "target")
     laid = laid.join(by_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -129,7 +140,7 @@ def mix(docs: DataFrame, share: float = 1.5, repeat: int = 2, weights: tuple[flo
     start = F.greatest(F.lit(0), F.col("_block") * block - F.col("_from"))
     end = F.least(F.col("size"), (F.col("_block") + 1) * block - F.col("_from"))
     return joined.select(
-        "row_id", *[c for c in docs.columns if c not in ("text", "size")], "size", "source_size", "target", "slot", "turn", "pass",
+        "row_id", "doc_id", "source", "_row", "size", "source_size", "target", "slot", "turn", "pass",
         F.when(F.col("slot").isNotNull(), start).alias("word_from"), F.when(F.col("slot").isNotNull(), end).alias("word_to"),
     )
 
@@ -139,3 +150,23 @@ def mixed_sizes(parts: DataFrame) -> DataFrame:
     words = F.coalesce(F.col("word_to") - F.col("word_from"), F.lit(0))
     keys = ["row_id", "doc_id", "source", "size", "source_size", "target"]
     return parts.groupBy(*keys).agg(F.sum(words).cast("bigint").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: the columns of ``docs``, once for each pass over the source that takes the document.
+
+    A document at the edge of what its source gives is cut to the words taken, joined by one blank; ``n_chars`` then
+    follows the text. Rows that share doc_id and text count each, with the first one's other columns.
+    """
+    parts = mix(docs, **options)
+    ranges = parts.filter(F.col("slot").isNotNull() & (F.col("word_to") > F.col("word_from"))).groupBy("row_id", "_row", "pass").agg(
+        F.min("word_from").alias("_from"), F.max("word_to").alias("_to"), F.first("size").alias("_size")
+    )
+    texts = docs.withColumn("_row", row_of_text()).dropDuplicates(["_row"])
+    joined = texts.join(ranges, "_row")
+    whole = F.col("_to") - F.col("_from") == F.col("_size")
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    cut = F.array_join(F.slice(words, (F.col("_from") + 1).cast("int"), (F.col("_to") - F.col("_from")).cast("int")), " ")
+    text = F.when(whole, F.col("text")).otherwise(cut)
+    out = {"text": text} | ({"n_chars": F.when(whole, F.col("n_chars")).otherwise(F.length(cut).cast(dict(docs.dtypes)["n_chars"]))} if "n_chars" in docs.columns else {})
+    return joined.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])

@@ -228,11 +228,14 @@ def stem_counts(texts: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
 
 
 def log_odds(toxic: float, clean: float, n_toxic: float, n_clean: float) -> tuple[float, float]:
-    """How much likelier toxic texts have it (log), and that over its standard error."""
+    """How much likelier toxic texts have it (log), and the root of the likelihood ratio statistic of that, which is
+    about as many standard errors."""
     import math
 
     weight = math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
-    return weight, weight / math.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    share = (toxic + clean) / max(n_toxic + n_clean, 1)
+    ratio = sum(x * math.log(x / (share * n)) for x, n in ((toxic, n_toxic), (clean, n_clean)) if x and n)
+    return weight, math.copysign(math.sqrt(max(0.0, 2 * ratio)), weight)
 
 
 def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
