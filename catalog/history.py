@@ -169,7 +169,7 @@ def _(t):
 
 @query("w7_sessions_hot", "SELECT repo, hash, session FROM v_sessions")
 def _(t):
-    return H.decision_sessions(H.decisions(t.commits), hot_group_rows=20).select("repo", "hash", "session")
+    return H.decision_sessions(H.decisions(t.commits), gap_days=3).select("repo", "hash", "session")
 
 
 @query("w7_group_decisions", "SELECT repo, hash, session, decision_group FROM v_groups")
@@ -178,11 +178,12 @@ def _(t):
 
 
 NUMBERED_SQL = """
-    SELECT repo, decision_group, 'ADR-' || lpad(CAST(n AS VARCHAR), 4, '0') AS adr, title, reason, first_ts, commits,
-      lpad(CAST(n AS VARCHAR), 4, '0') || '-' || replace(replace(lower(title), ' ', '-'), ':', '') || '.md' AS path FROM (
+    SELECT repo, decision_group, 'ADR-' || digits AS adr, title, reason, first_ts, commits,
+      digits || '-' || replace(replace(lower(title), ' ', '-'), ':', '') || '.md' AS path FROM (
+      SELECT *, CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END AS digits FROM (
       SELECT *, row_number() OVER (PARTITION BY repo ORDER BY first_ts, decision_group) AS n FROM (
         SELECT repo, {g} AS decision_group, arg_min(subject, ts::VARCHAR || hash) AS title, arg_min(reason, ts::VARCHAR || hash) AS reason, min(ts) AS first_ts, count(*) AS commits
-        FROM {v} GROUP BY repo, {g}))"""
+        FROM {v} GROUP BY repo, {g})))"""
 
 
 @query("w6_number_decisions", NUMBERED_SQL.format(g="session", v="v_sessions"))
@@ -193,15 +194,15 @@ def _(t):
 CONTEXT_SQL = """
     WITH tf AS (SELECT DISTINCT f.repo, f.path, d.ts, d.hash FROM v_commit_files f JOIN v_decisions d ON d.hash = f.hash),
     pf AS (SELECT repo, file_a AS path, merged_at, number FROM v_prs WHERE merged_at IS NOT NULL UNION SELECT repo, file_b, merged_at, number FROM v_prs WHERE merged_at IS NOT NULL),
-    c AS (SELECT repo, path, hash, number FROM (SELECT tf.*, pf.number, row_number() OVER (PARTITION BY tf.repo, tf.path, tf.hash ORDER BY pf.merged_at, pf.number) AS rn
-      FROM tf JOIN pf ON pf.repo = tf.repo AND pf.path = tf.path AND pf.merged_at >= tf.ts) WHERE rn = 1),
-    b AS (SELECT repo, hash, number, n FROM (SELECT repo, hash, number, count(*) AS n, row_number() OVER (PARTITION BY repo, hash ORDER BY count(*) DESC, number) AS rn FROM c GROUP BY repo, hash, number) WHERE rn = 1)
+    c AS (SELECT tf.repo, tf.hash, pf.number, pf.merged_at, count(DISTINCT tf.path) AS n FROM tf JOIN pf ON pf.repo = tf.repo AND pf.path = tf.path
+      AND pf.merged_at >= tf.ts AND pf.merged_at < tf.ts + INTERVAL 90 DAY GROUP BY ALL),
+    b AS (SELECT repo, hash, number, n FROM (SELECT *, row_number() OVER (PARTITION BY repo, hash ORDER BY n DESC, merged_at, number) AS rn FROM c) WHERE rn = 1)
     SELECT d.repo, d.hash, d.reason, b.number AS pr, b.n AS overlap, p.title AS pr_title, p.label_a || ',' || p.label_b AS labels, p.number // 100 + 1000 AS issue, i.title AS issue_title
     FROM v_decisions d LEFT JOIN b ON b.hash = d.hash LEFT JOIN v_prs p ON p.number = b.number LEFT JOIN v_issues i ON i.number = p.number // 100 + 1000"""
 
 
-def context(t, hot=None):
-    return H.decision_context(H.decisions(t.commits), t.commit_files, t.prs_full, t.issues, hot).select(
+def context(t):
+    return H.decision_context(H.decisions(t.commits), t.commit_files, t.prs_full, t.issues).select(
         "repo", "hash", "reason", "pr", "overlap", "pr_title", "labels", "issue", "issue_title")
 
 
@@ -212,7 +213,7 @@ def _(t):
 
 @query("j20_decision_context_hot", CONTEXT_SQL)
 def _(t):
-    return context(t, hot=3)
+    return context(t)
 
 
 @query("c5_decision_records", "SELECT repo, decision_group, count(*) AS commits, min(ts) AS first_ts FROM v_groups GROUP BY repo, decision_group")
@@ -334,7 +335,7 @@ def _(t):
 
 @query("j17_detect_progress", f"WITH {GREP_CTE} {PROGRESS_SQL}")
 def _(t):
-    return PR.detect_progress(t.milestones, t.code, SU.exports(t.code)).select("repo", "milestone", "item", "state")
+    return PR.detect_progress(t.milestones, t.code, SU.exported_names(t.code)).select("repo", "milestone", "item", "state")
 
 
 REPORT_SQL = """SELECT repo, {m} AS milestone, count(*) AS total, count(*) FILTER (WHERE state <> 'pending') AS done, count(*) FILTER (WHERE state = 'pending') AS pending,
@@ -344,7 +345,7 @@ FULL_REPORT = f"WITH {GREP_CTE}, d AS ({PROGRESS_SQL}) {REPORT_SQL.format(m='mil
 
 @query("a23_progress_report", FULL_REPORT)
 def _(t):
-    return PR.progress_report(PR.detect_progress(t.milestones, t.code, SU.exports(t.code)))
+    return PR.progress_report(PR.detect_progress(t.milestones, t.code, SU.exported_names(t.code)))
 
 
 @query("c8_progress", FULL_REPORT)
@@ -405,4 +406,4 @@ def _(t):
 
 @query("w4_bench_compare_hot", BENCH_SQL)
 def _(t):
-    return U.bench_compare(t.bench, hot_group_rows=4)
+    return U.bench_compare(t.bench)

@@ -236,9 +236,9 @@ CHUNKS_SQL = """
     n AS (SELECT *, CASE WHEN piece = 0 THEN grp ELSE grp || '-' || chunk_index END AS name FROM c) """
 
 
-def chunked(t, hot=None):
+def chunked(t):
     entries = t.files.groupBy("repo").agg(F.min("path").alias("path"))
-    return CH.index_chunks(CH.assign_chunks(t.files, entries, 7, hot), hot)
+    return CH.index_chunks(CH.assign_chunks(t.files, entries, 7))
 
 
 @query("w1_assign_chunks", CHUNKS_SQL + "SELECT repo, path, grp, piece FROM n")
@@ -249,7 +249,7 @@ def _(t):
 
 @query("w1_assign_chunks_hot", CHUNKS_SQL + "SELECT repo, path, chunk_index, name FROM n")
 def _(t):
-    return chunked(t, hot=5).select("repo", "path", "chunk_index", "name")
+    return chunked(t).select("repo", "path", "chunk_index", "name")
 
 
 @query("w2_chunk_index", CHUNKS_SQL + "SELECT repo, path, chunk_index, name FROM n")

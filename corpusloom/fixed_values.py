@@ -183,9 +183,10 @@ DECISION_KEYWORDS = [
 # Claims found in prose.
 MENTIONED_PATH = r"(?:src|lib|app|cmd|pkg|internal|tests?|scripts?)/[a-zA-Z0-9_./-]+\.[a-zA-Z]{1,5}"
 COUNT_CLAIM = r"(?i)([0-9]+) (?:api )?(?:endpoints?|routes?|apis?)"
-VERSION_CLAIM = (
-    r"(?i)(express|react|next|vue|angular|fastify|nestjs|django|flask|fastapi|gin|actix|axum)[ \t]+v?([0-9]+)"
-)
+VERSION_CLAIM_NAMES = [
+    "express", "react", "next", "vue", "angular", "fastify", "nestjs", "django", "flask", "fastapi", "gin", "actix", "axum",
+]
+VERSION_CLAIM = rf"(?i)({'|'.join(VERSION_CLAIM_NAMES)})[ \t]+v?([0-9]+)"
 DOC_ENDPOINT_MENTION = r"(GET|POST|PUT|PATCH|DELETE)[ \t]+/"
 DOC_ENDPOINT_NEEDLES = ["GET", "POST", "PUT", "PATCH", "DELETE"]
 ENDPOINT_TOLERANCE = 2

@@ -9,7 +9,7 @@ from corpusloom import fixed_values as fv
 from corpusloom.functions import text as T
 
 
-FRAMEWORK_NAMES = fv.VERSION_CLAIM[len("(?i)("):].split(")")[0].split("|")
+FRAMEWORK_NAMES = fv.VERSION_CLAIM_NAMES
 
 
 def doc_endpoint_mentions(content: Column) -> Column:

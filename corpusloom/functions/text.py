@@ -112,8 +112,14 @@ def slug(title: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(title), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
+def four_digits(number: Column) -> Column:
+    """At least four digits; larger numbers keep all of theirs."""
+    digits = number.cast("string")
+    return F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)
+
+
 def adr_path(number: Column, title: Column) -> Column:
-    return F.concat(F.lpad(number.cast("string"), 4, "0"), F.lit("-"), slug(title), F.lit(".md"))
+    return F.concat(four_digits(number), F.lit("-"), slug(title), F.lit(".md"))
 
 
 def glob_body(glob: str) -> str:

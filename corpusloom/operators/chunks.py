@@ -38,11 +38,11 @@ def assign_chunks(
     files: DataFrame,
     entry_points: DataFrame | None = None,
     max_files: int = fv.MAX_FILES_PER_CHUNK,
-    hot_group_rows: int | None = None,
 ) -> DataFrame:
     """Each file with its group (entry points or directory) and the piece of that group it falls into."""
     narrow = files.select("repo", "path", "n_lines")
-    directory = T.dirname(F.col("path"))
+    path = F.col("path")
+    directory = T.dirname(path)
     if entry_points is None:
         grouped = narrow.withColumn("grp", directory).withColumn("grp_rank", F.lit(1))
     else:
@@ -54,19 +54,19 @@ def assign_chunks(
             .drop("_e")
         )
     numbered = ordered_sum(
-        grouped, ["repo", "grp_rank", "grp"], [F.col("path")], F.lit(1), "_n", hot_group_rows=hot_group_rows
+        grouped, ["repo", "grp_rank", "grp"], [F.col("path")], F.lit(1), "_n", path.substr(F.lit(1), F.length("grp") + 3)
     )
     return numbered.withColumn("piece", B.int_div(F.col("_n") - 1, max_files)).drop("_n")
 
 
-def index_chunks(assigned: DataFrame, hot_group_rows: int | None = None) -> DataFrame:
+def index_chunks(assigned: DataFrame) -> DataFrame:
     """Zero-based chunk index and name per repo: entry points, then directories in order.
 
     The order is resolved on one row per group (its number of pieces); files only look their offset up.
     """
     groups = assigned.groupBy("repo", "grp_rank", "grp").agg((F.max("piece") + 1).alias("pieces"))
     offsets = ordered_sum(
-        groups, ["repo"], [F.col("grp_rank"), F.col("grp")], F.col("pieces"), "_end", hot_group_rows=hot_group_rows
+        groups, ["repo"], [F.col("grp_rank"), F.col("grp")], F.col("pieces"), "_end", F.struct("grp_rank", F.substring("grp", 1, 8))
     ).select("repo", "grp_rank", "grp", (F.col("_end") - F.col("pieces")).alias("_offset"))
     index = F.col("_offset") + F.col("piece")
     name = F.when(F.col("piece") == 0, F.col("grp")).otherwise(F.concat_ws("-", "grp", index.cast("string")))

@@ -76,7 +76,7 @@ def select_docs(files: DataFrame, docs_dir: str = "docs") -> DataFrame:
     """Markdown at the root or directly in the docs directory, as (repo, doc, content)."""
     root = docs_dir.rstrip("/")
     path = F.col("path")
-    in_docs = path.startswith(root + "/") & ~F.substring(path, len(root) + 2, 10_000).contains("/")
+    in_docs = path.startswith(root + "/") & ~F.expr(f"substring(path, {len(root) + 2})").contains("/")
     return files.filter(path.endswith(".md") & (~path.contains("/") | in_docs)).select(
         "repo", path.alias("doc"), "content"
     )

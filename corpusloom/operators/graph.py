@@ -31,9 +31,8 @@ def imports(files: DataFrame) -> DataFrame:
     family = C.language_family(F.col("path"))
     marked = files.select("repo", F.col("path").alias("src"), "content", family.alias("family")).filter(
         "family is not null").filter(import_candidate(F.col("content")))
-    lines = marked.select("repo", "src", "family", F.explode(F.split("content", "\n")).alias("text")).filter(import_candidate(F.col("text")))
-    edges = lines.withColumn("target", C.import_target(F.col("src"), F.col("text"))).filter("target is not null")
-    return resolve_imports(edges.select("repo", "src", "target"), files)
+    edges = marked.select("repo", "src", F.explode(C.import_targets(F.col("src"), F.col("content"))).alias("target"))
+    return resolve_imports(edges, files)
 
 
 def import_candidate(text: Column) -> Column:
@@ -44,16 +43,26 @@ def import_candidate(text: Column) -> Column:
     return rule
 
 
+def python_key(src: Column, target: Column) -> Column:
+    """The path, without suffix, that a Python import names from a file."""
+    dots = F.length(F.regexp_extract(target, r"^(\.*)", 1))
+    rest = F.translate(target.substr(dots + 1, F.length(target)), ".", "/")
+    return normal_path(F.when(dots > 0, F.concat_ws("/", T.dirname(src), F.repeat(F.lit("../"), dots - 1), rest)).otherwise(rest))
+
+
 def resolve_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
-    relative = F.col("target").startswith(".") & (C.language_family(F.col("src")) == "js")
+    """Targets become files of the repo where there are such; script and Python modules are looked up by their key."""
+    family = C.language_family(F.col("src"))
     joined = F.concat_ws("/", T.dirname(F.col("src")), F.col("target"))
-    key = F.when(relative, module_key(normal_path(joined)))
+    key = F.when((family == "js") & F.col("target").startswith("."), F.concat(F.lit("js:"), module_key(normal_path(joined)))).when(
+        family == "python", F.concat(F.lit("py:"), python_key(F.col("src"), F.col("target"))))
     # Targets that are no file get a key of their own: they match nothing and do not gather in one partition.
     keyed = edges.withColumn("key", F.coalesce(key, F.concat(F.lit("\u0000"), "src", "target")))
-    scripts = files.filter(F.col("path").rlike(JS_SUFFIX)).groupBy("repo", module_key(F.col("path")).alias("key")).agg(
-        F.min("path").alias("file")
-    )
-    return keyed.join(scripts, ["repo", "key"], "left").select(
+    path = F.col("path")
+    own = F.when(path.rlike(JS_SUFFIX), F.concat(F.lit("js:"), module_key(path))).when(
+        path.endswith(".py"), F.concat(F.lit("py:"), F.regexp_replace(path, r"(/__init__)?\.py$", "")))
+    modules = files.select("repo", "path", own.alias("key")).filter("key is not null").groupBy("repo", "key").agg(F.min("path").alias("file"))
+    return keyed.join(modules, ["repo", "key"], "left").select(
         "repo", "src", F.coalesce("file", "target").alias("dst"), C.is_internal_import(F.col("target")).alias("is_internal")
     ).distinct()
 

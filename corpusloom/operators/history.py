@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import claims as CL
 from corpusloom.functions import text as T
 from corpusloom.operators.filters import non_merge
-from corpusloom.runtime import cut_lineage, order_is_plain, ordered_lag, ordered_next, ordered_sum, top_per_group
+from corpusloom.runtime import cut_lineage, ordered_lag, ordered_sum, top_per_group
 
 
 def newest_first() -> list[Column]:
@@ -75,7 +75,7 @@ def version_key(tag: Column) -> Column:
 def tags_by_version(tags: DataFrame) -> DataFrame:
     """All tags with their position from the newest version down."""
     keyed = tags.withColumn("_k", version_key(F.col("tag")))
-    return ordered_sum(keyed, ["repo"], [F.desc("_k"), F.desc("tag")], F.lit(1), "position").drop("_k")
+    return ordered_sum(keyed, ["repo"], [F.desc("_k"), F.desc("tag")], F.lit(1), "position", F.slice("_k", 1, 2), descending=True).drop("_k")
 
 
 def recent_prs(prs: DataFrame, k: int = 20) -> DataFrame:
@@ -96,20 +96,15 @@ def review_counts(reviews: DataFrame) -> DataFrame:
         F.count_if(F.col("kind") == "review").alias("reviews"), F.count_if(F.col("body").isNotNull()).alias("comments"))
 
 
-def decision_sessions(decided: DataFrame, gap_days: int = 3, hot_group_rows: int | None = None) -> DataFrame:
-    """Number the runs of decisions of a repo that follow each other within the gap.
-
-    The few columns needed are materialised once, so the size check and both ordered steps read that, not the
-    commits.
-    """
-    base = cut_lineage(decided.select("repo", "hash", "ts", "subject", "reason"))
-    plain = order_is_plain(base, ["repo"], hot_group_rows)
+def decision_sessions(decided: DataFrame, gap_days: int = 3) -> DataFrame:
+    """Number the runs of decisions of a repo that follow each other within the gap."""
+    base = decided.select("repo", "hash", "ts", "subject", "reason")
     day = F.date_trunc("day", F.col("ts"))
-    lagged = ordered_lag(base, ["repo"], ["ts", "hash"], ["ts"], day, hot_group_rows, plain)
+    lagged = ordered_lag(base, ["repo"], ["ts", "hash"], ["ts"], day)
     opens = F.col("prev_ts").isNull() | (F.col("ts") > F.col("prev_ts") + F.make_interval(days=F.lit(gap_days)))
     flagged = lagged.withColumn("_new", opens.cast("int")).drop("prev_ts")
     return ordered_sum(
-        flagged, ["repo"], [F.col("ts"), F.col("hash")], F.col("_new"), "session", day, hot_group_rows, plain).drop("_new")
+        flagged, ["repo"], [F.col("ts"), F.col("hash")], F.col("_new"), "session", day).drop("_new")
 
 
 def connected_labels(edges: DataFrame) -> DataFrame:
@@ -138,15 +133,13 @@ def connected_labels(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
-def group_decisions(
-    decided: DataFrame, commit_files: DataFrame, gap_days: int = 3, hot_group_rows: int | None = None
-) -> DataFrame:
+def group_decisions(decided: DataFrame, commit_files: DataFrame, gap_days: int = 3) -> DataFrame:
     """Decisions grouped by closeness in time, with groups that touch the same file merged.
 
     Sessions sharing a path are linked through the smallest of them, which keeps the link table linear.
     """
-    sessions = cut_lineage(decision_sessions(decided, gap_days, hot_group_rows))
-    touched = commit_files.join(sessions.select("repo", "hash", "session"), ["repo", "hash"]).select("repo", "path", "session")
+    sessions = cut_lineage(decision_sessions(decided, gap_days))
+    touched = commit_files.join(sessions.select("repo", "hash", "session"), ["repo", "hash"]).select("repo", "path", "session").distinct()
     hub = touched.groupBy("repo", "path").agg(F.min("session").alias("v"))
     links = touched.join(hub, ["repo", "path"]).select("repo", F.col("session").alias("u"), "v").filter("u <> v").distinct()
     labels = connected_labels(links).withColumnRenamed("node", "session")
@@ -154,7 +147,7 @@ def group_decisions(
         "repo", "hash", "ts", "subject", "reason", "session", F.coalesce("label", "session").alias("decision_group"))
 
 
-def number_decisions(groups: DataFrame, hot_group_rows: int | None = None) -> DataFrame:
+def number_decisions(groups: DataFrame) -> DataFrame:
     """One numbered record per decision group, by date: ADR-0001 and its file name."""
     firsts = groups.groupBy("repo", "decision_group").agg(
         F.min("ts").alias("first_ts"), F.min_by(F.struct("subject", "reason"), F.struct("ts", "hash")).alias("f"),
@@ -162,34 +155,32 @@ def number_decisions(groups: DataFrame, hot_group_rows: int | None = None) -> Da
     )
     numbered = ordered_sum(
         firsts, ["repo"], [F.col("first_ts"), F.col("decision_group")], F.lit(1), "n",
-        F.date_trunc("day", F.col("first_ts")), hot_group_rows)
+        F.date_trunc("day", F.col("first_ts")))
     return numbered.select(
-        "repo", "decision_group", F.concat(F.lit("ADR-"), F.lpad(F.col("n").cast("string"), 4, "0")).alias("adr"),
+        "repo", "decision_group", F.concat(F.lit("ADR-"), T.four_digits(F.col("n"))).alias("adr"),
         F.col("f.subject").alias("title"), F.col("f.reason").alias("reason"), "first_ts", "commits",
         T.adr_path(F.col("n"), F.col("f.subject")).alias("path"),
     )
 
 
 def decision_context(
-    decided: DataFrame, commit_files: DataFrame, prs: DataFrame, issues: DataFrame | None = None,
-    hot_group_rows: int | None = None,
+    decided: DataFrame, commit_files: DataFrame, prs: DataFrame, issues: DataFrame | None = None, span_days: int = 90
 ) -> DataFrame:
     """The pull request behind each decision, with its labels and the issue it names.
 
-    For each file of a commit the candidate is the first pull request that touched the file and was merged at
-    or after the commit; the request that wins most files is taken. Commits and requests of a path are walked
-    once in time order, so a file everybody touches costs its rows, never their product.
+    Of the requests merged at or within ``span_days`` after a commit, the one that shares most files with it; of equals
+    the one merged first, then the smallest number. Files meet by path and stretch of time, so a file that everybody
+    touches joins only what was merged near each commit; overlaps are counted map-side first.
     """
-    touched = commit_files.join(decided.select("repo", "hash", "ts"), ["repo", "hash"]).select("repo", "path", "ts", "hash")
+    stretch = lambda ts: F.floor(F.unix_timestamp(ts) / (span_days * 86_400))
+    touched = commit_files.join(decided.select("repo", "hash", "ts"), ["repo", "hash"]).select("repo", "path", "ts", "hash").distinct()
+    near = touched.withColumn("_s", F.explode(F.array(stretch("ts"), stretch("ts") + 1)))
     merged = prs.filter(F.col("merged_at").isNotNull()).select(
-        "repo", F.explode("files").alias("path"), F.col("merged_at").alias("ts"), "number")
-    walk = touched.withColumn("number", F.lit(None).cast("bigint")).unionByName(merged.withColumn("hash", F.lit(None).cast("string")))
-    stamped = cut_lineage(walk.withColumn("is_pr", F.col("number").isNotNull().cast("int")))
-    ahead = ordered_next(
-        stamped, ["repo", "path"], ["ts", "is_pr", "number", "hash"], "number", "next_pr",
-        F.date_trunc("day", F.col("ts")), hot_group_rows)
-    votes = ahead.filter("hash is not null and next_pr is not null").groupBy("repo", "hash", "next_pr").agg(F.countDistinct("path").alias("overlap"))
-    best = top_per_group(votes, ["repo", "hash"], [F.desc("overlap"), F.col("next_pr")], 1)
+        "repo", F.explode(F.array_distinct("files")).alias("path"), "merged_at", F.col("number").alias("next_pr")).withColumn("_s", stretch("merged_at"))
+    both = near.join(merged, ["repo", "path", "_s"]).filter(
+        (F.col("merged_at") >= F.col("ts")) & (F.col("merged_at") < F.col("ts") + F.make_interval(days=F.lit(span_days))))
+    votes = both.groupBy("repo", "hash", "next_pr", "merged_at").agg(F.count("*").alias("overlap"))
+    best = top_per_group(votes, ["repo", "hash"], [F.desc("overlap"), F.col("merged_at"), F.col("next_pr")], 1).drop("merged_at")
     context = prs.select(
         "repo", F.col("number").alias("next_pr"), "title", F.array_join("labels", ",").alias("labels"),
         F.regexp_extract(F.col("body"), r"(?i)(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?) #([0-9]+)", 1).try_cast("bigint").alias("issue"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators.filters import pending_items
 from corpusloom.operators.paths import known_paths
-from corpusloom.runtime import broadcast_if_small
 
 RULES_PER_SET = 64
-MAX_BROADCAST_SETS = 5_000
+#: Bytes of search rules that are broadcast at a time; more rules take more passes over the files.
+BROADCAST_BYTES = 32 << 20
 
 
 def grep_rules(items: DataFrame) -> DataFrame:
@@ -27,11 +29,15 @@ def grep_hits(items: DataFrame, files: DataFrame) -> DataFrame:
     """Search rules that match any file below their root: (repo, regex, root).
 
     A file meets each bounded rule set of its repo once and keeps only the rules that match, so the pairs of
-    files and rules never become rows. Repos without search rules drop out in the join, and the rule sets are
-    broadcast when a bounded count shows them to be few, so that the texts stay where they are.
+    files and rules never become rows. Repos without search rules drop out in the join. The rule sets are broadcast
+    in parts of a measured size, so that the texts stay where they are.
     """
-    rules = broadcast_if_small(grep_rules(items), MAX_BROADCAST_SETS)
-    met = files.select("repo", "path", "content").join(rules, "repo")
+    rules = grep_rules(items)
+    size = F.aggregate("rules", F.lit(64).cast("bigint"), lambda n, r: n + F.octet_length(r["regex"]) + F.octet_length(r["root"]) + 64)
+    parts = 1 + (rules.agg(F.sum(size)).first()[0] or 0) // BROADCAST_BYTES
+    texts = files.select("repo", "path", "content")
+    met = reduce(DataFrame.unionByName, [
+        texts.join(F.broadcast(rules.filter(F.pmod(F.xxhash64("repo", "set"), F.lit(parts)) == k)), "repo") for k in range(parts)])
     below = lambda root: (root == ".") | (F.col("path") == root) | F.startswith(F.col("path"), F.concat(F.rtrim(root, F.lit("/")), F.lit("/")))
     hits = F.filter("rules", lambda r: below(r["root"]) & F.rlike(F.col("content"), r["regex"]))
     return met.select("repo", F.explode(hits).alias("r")).select("repo", "r.regex", "r.root").distinct()

@@ -9,25 +9,17 @@ from corpusloom import fixed_values as fv
 from corpusloom.fixed_values import SecretPattern
 from corpusloom.operators.filters import any_of, skip_non_code
 
-MAX_PATTERN_ROWS = 2_000
-
-
 def patterns_from_table(patterns: DataFrame) -> list[SecretPattern]:
-    """A pattern dimension as a list, so that every regex is a literal compiled once per task.
-
-    The table is a dictionary; more rows than a dictionary can have is an error, never a silent cut.
-    """
-    rows = patterns.orderBy("pattern_id").limit(MAX_PATTERN_ROWS + 1).collect()
-    if len(rows) > MAX_PATTERN_ROWS:
-        raise ValueError(f"more than {MAX_PATTERN_ROWS} secret patterns")
+    """A pattern dictionary as a list, so that every regex is a literal compiled once per task."""
+    rows = patterns.orderBy("pattern_id").collect()
     return [SecretPattern(r["pattern_id"], r["name"], r["regex"], r["severity"]) for r in rows]
 
 
-def may_hold(text: Column, pattern: SecretPattern) -> Column:
-    """Whether a text matches; the regex only runs where one of the pattern's needles is found by a byte search."""
-    if not pattern.needles:
-        return text.rlike(pattern.regex)
-    return any_of([text.contains(n) for n in pattern.needles]) & text.rlike(pattern.regex)
+def may_hold(text: Column, pattern: SecretPattern, whole: bool = False) -> Column:
+    """Whether a line matches; the regex only runs where one of the pattern's needles is found by a byte search. A
+    ``whole`` text is tested for its lines: ``^`` and ``$`` stand for their ends."""
+    match = text.rlike(("(?m)" if whole else "") + pattern.regex)
+    return any_of([text.contains(n) for n in pattern.needles]) & match if pattern.needles else match
 
 
 def scan_secrets(files: DataFrame, patterns: list[SecretPattern] | None = None) -> DataFrame:
@@ -40,7 +32,7 @@ def scan_secrets(files: DataFrame, patterns: list[SecretPattern] | None = None)
     text = F.col("content")
     lines = (
         skip_non_code(files)
-        .filter(any_of([may_hold(text, p) for p in chosen]))
+        .filter(any_of([may_hold(text, p, whole=True) for p in chosen]))
         .select("repo", "path", F.posexplode(F.split("content", "\n")).alias("pos", "text"))
     )
     hits = F.array_compact(
@@ -61,11 +53,16 @@ def scan_secrets(files: DataFrame, patterns: list[SecretPattern] | None = None)
 
 
 def redact(content: Column, patterns: list[SecretPattern] | None = None) -> Column:
-    """Replace every secret by a note that names its kind; texts without any needle are passed through untouched."""
+    """Replace every secret by a note that names its kind, line by line as they are found; texts without any needle
+    are passed through untouched."""
     chosen = patterns or fv.SECRET_PATTERNS
-    cleaned = content
-    for p in chosen:
-        cleaned = F.regexp_replace(cleaned, p.regex, f"[REDACTED: {p.name} detected]")
+
+    def clean(line: Column) -> Column:
+        for p in chosen:
+            line = F.regexp_replace(line, p.regex, f"[REDACTED: {p.name} detected]")
+        return line
+
+    cleaned = F.array_join(F.transform(F.split(content, "\n"), clean), "\n")
     if not all(p.needles for p in chosen):
         return cleaned
     return F.when(any_of([content.contains(n) for p in chosen for n in p.needles]), cleaned).otherwise(content)

@@ -151,6 +151,23 @@ def coverage_report(inventory: DataFrame) -> DataFrame:
     )
 
 
+def assigned_exports(files: DataFrame) -> DataFrame:
+    """(repo, path, name) of script exports by assignment: ``exports.NAME = ...`` and ``module.exports = { NAME, ... }``."""
+    content = F.col("content")
+    single = F.regexp_extract_all(content, F.lit(r"\bexports\.([A-Za-z_$][A-Za-z0-9_$]*)\s*="), F.lit(1))
+    lists = F.regexp_extract_all(content, F.lit(r"\bmodule\.exports\s*=\s*\{([^}]*)\}"), F.lit(1))
+    listed = F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, ","))), lambda x: F.regexp_extract(x, r"^\s*([A-Za-z_$][A-Za-z0-9_$]*)", 1))
+    names = F.array_distinct(F.filter(F.concat(single, listed), lambda x: x != ""))
+    scripts = files.filter((C.language_family(F.col("path")) == "js") & content.contains("exports"))
+    return scripts.select("repo", "path", F.explode(names).alias("name"))
+
+
+def exported_names(files: DataFrame) -> DataFrame:
+    """(repo, path, name) of everything a file exports, declared or assigned."""
+    declared = exports(files).select("repo", "path", "name").filter("name is not null")
+    return declared.unionByName(assigned_exports(files))
+
+
 def gap_candidates(files: DataFrame) -> DataFrame:
     """Source files with exports and how many export lines they hold."""
     path = F.col("path")

@@ -48,10 +48,10 @@ def current_version(versions: DataFrame, switches: DataFrame | None = None) -> D
     return first.join(last, "repo", "full").select("repo", F.coalesce("_last", "_first").alias("current"))
 
 
-def bench_compare(runs: DataFrame, hot_group_rows: int | None = None) -> DataFrame:
+def bench_compare(runs: DataFrame) -> DataFrame:
     """Each run against the one before it, per stage: difference, whole percent and direction."""
     coarse = F.date_trunc("day", F.col("run_ts"))
-    lagged = ordered_lag(runs.select("run_ts", "stage", "ms"), ["stage"], ["run_ts"], ["ms"], coarse, hot_group_rows)
+    lagged = ordered_lag(runs.select("run_ts", "stage", "ms"), ["stage"], ["run_ts"], ["ms"], coarse)
     none = F.coalesce(F.col("prev_ms") == 0, F.lit(True))
     diff = F.col("ms") - F.col("prev_ms")
     return lagged.select(

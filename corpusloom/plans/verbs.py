@@ -122,7 +122,7 @@ def workspace_map(files: DataFrame, config: DataFrame | None = None) -> tuple[Da
 
 def progress(items: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items with their new status, report per milestone)."""
-    detected = PR.detect_progress(items, files, SU.exports(files))
+    detected = PR.detect_progress(items, files, SU.exported_names(files))
     return detected, PR.progress_report(detected)
 
 

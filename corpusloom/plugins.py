@@ -60,49 +60,78 @@ class Registry:
                 "repo", F.lit(name).alias("analyzer"), F.lit(None).cast("string").alias("kind"),
                 F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("map<string,string>").alias("data"),
                 F.lit("not_found").alias("status"), F.lit(None).cast("string").alias("error"))
-        return merge_partials(self._partials(analyzer, files), analyzer)
+        return merge_partials(self._partials(analyzer, files), analyzer.kind, F.lit(float(analyzer.confidence)))
 
     def run_all(self, files: DataFrame) -> DataFrame:
-        return reduce(lambda a, b: a.unionByName(b), [self.run_analyzer(n, files) for n in self.names()])
+        """Findings of every analyzer. All script analyzers see each batch of files in one pass."""
+        chosen = [self._analyzers[n] for n in self.names()]
+        scripts = [a for a in chosen if a.kind == "script"]
+        frames = [self.run_analyzer(a.name, files) for a in chosen if a.kind == "frame"]
+        if scripts:
+            wanted = [file_test(a.file_filter).alias(f"_{k}") for k, a in enumerate(scripts)]
+            narrow = files.select("repo", "path", "content", "n_lines", *wanted).filter(reduce(lambda a, b: a | b, [F.col(f"_{k}") for k in range(len(scripts))]))
+            partials = narrow.mapInPandas(isolated(*[(a.name, a.fn) for a in scripts]), schemas.PARTIAL_FINDING)
+            confidences = F.create_map(*[F.lit(x) for a in scripts for x in (a.name, float(a.confidence))])
+            frames.append(merge_partials(partials, "script", confidences[F.col("analyzer")]))
+        if not frames:
+            return self.run_analyzer("", files.limit(0))
+        return reduce(lambda a, b: a.unionByName(b), frames)
 
     def _partials(self, analyzer: Analyzer, files: DataFrame) -> DataFrame:
         seen = filtered(files, analyzer.file_filter)
         if analyzer.kind == "frame":
-            return analyzer.fn(seen).withColumn("analyzer", F.lit(analyzer.name)).withColumn("error", F.lit(None).cast("string")).select(*PARTIAL)
-        narrow = seen.select("repo", "path", "content", "n_lines")
-        return narrow.mapInPandas(isolated(analyzer.name, analyzer.fn), schemas.PARTIAL_FINDING)
+            try:
+                found = analyzer.fn(seen).withColumn("analyzer", F.lit(analyzer.name)).withColumn("error", F.lit(None).cast("string"))
+                return found.select("repo", "analyzer", "key", F.col("value").cast("bigint").alias("value"), F.col("text").cast("string").alias("text"), "error")
+            except Exception as problem:  # noqa: BLE001
+                return seen.select("repo").distinct().select(
+                    "repo", F.lit(analyzer.name).alias("analyzer"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("bigint").alias("value"),
+                    F.lit(None).cast("string").alias("text"), F.lit(f"{type(problem).__name__}: {str(problem).splitlines()[0] if str(problem) else ''}").alias("error"))
+        narrow = seen.select("repo", "path", "content", "n_lines", F.lit(True).alias("_0"))
+        return narrow.mapInPandas(isolated((analyzer.name, analyzer.fn)), schemas.PARTIAL_FINDING)
 
 
 def filtered(files: DataFrame, file_filter: str) -> DataFrame:
     """Only files the analyzer asked for cross the Python boundary; a bare glob matches the base name."""
+    return files.filter(file_test(file_filter))
+
+
+def file_test(file_filter: str) -> Column:
     if file_filter in ("*", "**", ""):
-        return files
+        return F.lit(True)
     target = F.col("path") if "/" in file_filter else T.basename(F.col("path"))
-    return files.filter(T.glob_match(target, file_filter) | F.col("path").rlike(exclude_regex(file_filter)) if file_filter.startswith("**/")
-                        else T.glob_match(target, file_filter))
+    if file_filter.startswith("**/"):
+        return T.glob_match(target, file_filter) | F.col("path").rlike(exclude_regex(file_filter))
+    return T.glob_match(target, file_filter)
+
 
+def isolated(*analyzers: tuple[str, Callable]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Run analyzers over the same batches, the k-th on the files with ``_k``. What one raises, or returns that is no
+    finding, becomes an error row of that analyzer and repo and nothing else."""
 
-def isolated(name: str, fn: Callable) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Wrap an analyzer so that an exception becomes an error row of that repo and nothing else."""
+    def findings(name: str, fn: Callable, repo: str, group: pd.DataFrame) -> list[tuple]:
+        try:
+            found = []
+            for item in fn(group):
+                key, value, text = (*item, None)[:3]
+                found.append((repo, name, str(key), None if value is None else int(value), None if text is None else str(text), None))
+            return found
+        except Exception as problem:  # noqa: BLE001
+            return [(repo, name, None, None, None, f"{type(problem).__name__}: {problem}")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for repo, group in batch.groupby("repo", sort=False):
-                try:
-                    found = list(fn(group))
-                except Exception as problem:  # noqa: BLE001
-                    rows.append((repo, name, None, None, None, f"{type(problem).__name__}: {problem}"))
-                    continue
-                for item in found:
-                    key, value, text = (*item, None)[:3]
-                    rows.append((repo, name, str(key), int(value), text, None))
+            for k, (name, fn) in enumerate(analyzers):
+                seen = batch[batch[f"_{k}"]][["repo", "path", "content", "n_lines"]]
+                for repo, group in seen.groupby("repo", sort=False):
+                    rows += findings(name, fn, repo, group)
             yield pd.DataFrame(rows, columns=PARTIAL).astype({"value": "Int64"})
 
     return run
 
 
-def merge_partials(partials: DataFrame, analyzer: Analyzer) -> DataFrame:
+def merge_partials(partials: DataFrame, kind: str, confidence: Column) -> DataFrame:
     """Add up partial findings per (repo, key), then one finding per repo with its data map.
 
     The map holds one entry per key the analyzer defines; its size does not depend on the number of files.
@@ -114,8 +143,8 @@ def merge_partials(partials: DataFrame, analyzer: Analyzer) -> DataFrame:
         F.collect_list(F.when(F.col("key").isNotNull(), entry)).alias("entries"), F.min("error").alias("error"))
     failed = F.col("error").isNotNull()
     return per_repo.select(
-        "repo", "analyzer", F.lit(analyzer.kind).alias("kind"),
-        F.when(~failed, F.lit(float(analyzer.confidence))).alias("confidence"),
+        "repo", "analyzer", F.lit(kind).alias("kind"),
+        F.when(~failed, confidence).alias("confidence"),
         F.when(~failed, F.map_from_entries(F.array_sort("entries"))).alias("data"),
         F.when(failed, "error").otherwise("success").alias("status"), "error")
 

@@ -1,4 +1,4 @@
-"""Session helpers: shared folders, lineage cuts, size-checked broadcasts and ordered running sums."""
+"""Session helpers: shared folders, lineage cuts and ordered running sums."""
 
 from __future__ import annotations
 
@@ -9,18 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BROADCAST_ROW_LIMIT = 200_000
-HOT_GROUP_ROWS = 4_000_000
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a local one is made only where it is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Where it is unset, a local one is made, but only for a
+    local master: executors on other machines could not read it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="corpusloom-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -49,64 +49,23 @@ def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only when a bounded count proves the side small; otherwise the plain (shuffled) side."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return row[0] or 0
-
-
-def order_is_plain(df: DataFrame, keys: list[str], limit: int | None = None) -> bool:
-    """Whether every group fits one task, by a map-side count. Callers with several steps check once and pass it on."""
-    return largest_group(df, keys) <= (HOT_GROUP_ROWS if limit is None else limit)
-
-
-def _order_buckets(
-    df: DataFrame, keys: list[str], order: list[Column], coarse: Column | None, limit: int | None
-) -> DataFrame:
-    """Add ``_b``, an order-preserving bucket that splits a hot group.
-
-    A coarse value of the order (such as the day) serves when no bucket of it is hot itself. Otherwise the
-    rows are range-partitioned on (keys, order), materialised once, and the partition number is the bucket.
-    """
-    if coarse is not None:
-        bucketed = df.withColumn("_b", coarse)
-        if order_is_plain(bucketed, [*keys, "_b"], limit):
-            return bucketed
-    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
-    return cut_lineage(ranged.withColumn("_b", F.spark_partition_id()))
-
-
 def ordered_sum(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    value: Column,
-    out: str,
-    coarse: Column | None = None,
-    hot_group_rows: int | None = None,
-    plain: bool | None = None,
+    df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str, coarse: Column, descending: bool = False
 ) -> DataFrame:
     """Running sum of ``value`` per ``keys`` in a total order, for groups of any size.
 
-    Groups that fit one task use a plain window. Beyond ``hot_group_rows`` every bucket is summed on its own
-    and the bucket totals (one row per key and bucket, combined map-side) give the offsets.
+    ``coarse`` is a value of the order (the day, leading characters): rows of a group with different values of it
+    follow one another by it. Every such bucket is summed on its own, and the bucket totals (one row per key and
+    bucket, combined map-side) give the offsets.
     """
-    running = (W.unboundedPreceding, W.currentRow)
-    if order_is_plain(df, keys, hot_group_rows) if plain is None else plain:
-        window = W.partitionBy(*keys).orderBy(*order).rowsBetween(*running)
-        return df.withColumn(out, F.sum(value).over(window).cast("bigint"))
-    spread = _order_buckets(df.withColumn("_v", value.cast("bigint")), keys, order, coarse, hot_group_rows)
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    spread = df.withColumn("_b", coarse).withColumn("_v", value.cast("bigint"))
+    before = W.partitionBy(*keys).orderBy(F.desc("_b") if descending else F.asc("_b")).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         spread.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t"))
         .withColumn("_o", F.coalesce(F.sum("_t").over(before), F.lit(0)))
         .drop("_t")
     )
-    local = W.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(*running)
+    local = W.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
         spread.join(offsets, [*keys, "_b"])
         .withColumn(out, (F.sum("_v").over(local) + F.col("_o")).cast("bigint"))
@@ -114,23 +73,12 @@ def ordered_sum(
     )
 
 
-def ordered_lag(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    fields: list[str],
-    coarse: Column | None = None,
-    hot_group_rows: int | None = None,
-    plain: bool | None = None,
-) -> DataFrame:
+def ordered_lag(df: DataFrame, keys: list[str], order: list[str], fields: list[str], coarse: Column) -> DataFrame:
     """Add ``prev_<field>``, the value one row earlier per key, for groups of any size.
 
-    In a hot group only the last row of each bucket, found by a map-side aggregate, crosses to the next bucket.
+    Buckets as in :func:`ordered_sum`; only the last row of each, found by a map-side aggregate, crosses to the next.
     """
-    if order_is_plain(df, keys, hot_group_rows) if plain is None else plain:
-        window = W.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[F.lag(f).over(window).alias(f"prev_{f}") for f in fields])
-    spread = _order_buckets(df, keys, [F.col(c) for c in order], coarse, hot_group_rows)
+    spread = df.withColumn("_b", coarse)
     ends = spread.groupBy(*keys, "_b").agg(
         F.max_by(F.struct(*fields), F.struct(*order)).alias("_last")
     )
@@ -147,37 +95,6 @@ def ordered_lag(
     ).drop("_b", "_carry")
 
 
-def ordered_next(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    field: str,
-    out: str,
-    coarse: Column | None = None,
-    hot_group_rows: int | None = None,
-    plain: bool | None = None,
-) -> DataFrame:
-    """Add ``out``: the first non-NULL ``field`` at or after each row, per key in order, for groups of any size."""
-    ahead = (W.currentRow, W.unboundedFollowing)
-    if order_is_plain(df, keys, hot_group_rows) if plain is None else plain:
-        window = W.partitionBy(*keys).orderBy(*order).rowsBetween(*ahead)
-        return df.withColumn(out, F.first(field, ignorenulls=True).over(window))
-    spread = _order_buckets(df, keys, [F.col(c) for c in order], coarse, hot_group_rows)
-    later = W.partitionBy(*keys).orderBy("_b").rowsBetween(1, W.unboundedFollowing)
-    firsts = (
-        spread.groupBy(*keys, "_b")
-        .agg(F.min_by(F.col(field), F.when(F.col(field).isNotNull(), F.struct(*order))).alias("_f"))
-        .withColumn("_carry", F.first("_f", ignorenulls=True).over(later))
-        .drop("_f")
-    )
-    local = W.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(*ahead)
-    return (
-        spread.join(firsts, [*keys, "_b"])
-        .withColumn(out, F.coalesce(F.first(field, ignorenulls=True).over(local), F.col("_carry")))
-        .drop("_b", "_carry")
-    )
-
-
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """First ``k`` rows per group; Catalyst cuts each map task to ``k`` rows per group before the shuffle."""
     name = rank or "_rank"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from corpusloom import schemas
 from corpusloom.functions import text as T
 
 
+#: Scheme and authority of a path: the lister names them even where the caller left them out.
+STORE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?/+"
+
+
 def read_corpus(spark: SparkSession, roots: str | list[str], path_glob: str | None = None) -> DataFrame:
     """Files of checked-out repositories: ``<root>/<repo>/<path>``, read recursively.
 
@@ -20,10 +26,11 @@ def read_corpus(spark: SparkSession, roots: str | list[str], path_glob: str | No
         reader = reader.option("pathGlobFilter", path_glob)
     names = [roots] if isinstance(roots, str) else list(roots)
     raw = reader.load(names)
-    full = F.regexp_replace("path", r"^file:/*", "/")
+    full = F.regexp_replace("path", STORE, "/")
     relative = full
-    for root in names:
-        relative = F.when(full.startswith(root.rstrip("/") + "/"), F.substring(full, len(root.rstrip("/")) + 2, 1_000_000)).otherwise(relative)
+    for root in (re.sub(STORE, "/", name).rstrip("/") + "/" for name in names):
+        rest = full.substr(F.lit(len(root) + 1), F.length(full))
+        relative = F.when(full.startswith(root), rest).otherwise(relative)
     text = F.when(F.is_valid_utf8("content"), F.col("content").cast("string"))
     return raw.select(
         F.split_part(relative, F.lit("/"), F.lit(1)).alias("repo"),

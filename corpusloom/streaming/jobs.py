@@ -90,7 +90,8 @@ def staleness_batch(
     """``foreachBatch`` body: check the sections that cite a changed file, write their status, then the new baseline.
 
     A section is touched when a changed file is one of its references or lies below a referenced directory.
-    Output is keyed by the batch number and replaces its own partition, so a repeated batch is harmless.
+    Output is keyed by the batch number and replaces its own partition, and a batch only reads baselines of batches
+    before it, so a repeated batch finds and writes the same.
     """
     keys = ["repo", "doc", "section", "section_ord"]
 
@@ -105,6 +106,8 @@ def staleness_batch(
         refs = refs.join(touched, keys, "left_semi")
         files = read_files().join(repos, "repo", "left_semi")
         baseline = read_baseline()
+        if "batch_id" in baseline.columns:
+            baseline = baseline.filter(F.col("batch_id").isNull() | (F.col("batch_id") < batch_id))
         states = SN.ref_changes(refs, SN.path_hashes(files), baseline)
         status = SE.section_status(states, baseline.select("repo"))
         numbered = F.lit(batch_id).cast("bigint").alias("batch_id")

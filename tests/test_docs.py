@@ -96,12 +96,11 @@ def test_saved_baseline_keeps_the_newest(spark, tmp_path):
     assert overall(P.select_docs(files), files, ST.read_baseline(spark, path, F.lit("2024-01-15").cast("timestamp")))["r"][0] == "current"
 
 
-@pytest.mark.parametrize("hot", [None, 10])
 @pytest.mark.parametrize("n, pieces", [(1, [1]), (50, [50]), (51, [50, 1]), (101, [50, 50, 1])])
-def test_chunk_sizes(spark, n, pieces, hot):
+def test_chunk_sizes(spark, n, pieces):
     files = files_frame(spark, [("r", f"src/f{i:03}.js", "x\n" * 7) for i in range(n)] + [("r", "src/lib/index.js", "x\n"), ("r", "index.js", "x\n")])
     entries = spark.createDataFrame([("r", "src/lib/index.js")], "repo string, path string")
-    chunks = CH.chunk_totals(CH.index_chunks(CH.assign_chunks(files, entries, hot_group_rows=hot), hot)).orderBy("chunk_index").collect()
+    chunks = CH.chunk_totals(CH.index_chunks(CH.assign_chunks(files, entries))).orderBy("chunk_index").collect()
     assert [c["chunk_index"] for c in chunks] == list(range(len(chunks)))
     assert chunks[0]["name"] == "entry-points" and chunks[0]["files"] == ["src/lib/index.js"]
     assert chunks[1]["name"] == "." and chunks[1]["files"] == ["index.js"]

@@ -3,16 +3,18 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom import plugins as PL
 from corpusloom.functions import claims as CL
+from corpusloom.functions import text as T
 from corpusloom.operators import filters as P
 from corpusloom.operators import history as H
 from corpusloom.operators import surface as SU
 from corpusloom.operators import usage as U
 from corpusloom.plans import verbs
-from corpusloom.runtime import order_is_plain, ordered_lag, ordered_next, ordered_sum
+from corpusloom.runtime import ordered_lag, ordered_sum
 from corpusloom.sources import history as SH
 from corpusloom.sources import tables as ST
 from corpusloom.streaming import jobs as J
@@ -67,19 +69,31 @@ def test_connected_labels_on_a_long_chain(spark):
     assert labels == {**{n: 1 for n in range(2, 61)}, **{n: 100 for n in range(101, 110)}}
 
 
-@pytest.mark.parametrize("coarse", [True, False])
-def test_ordered_helpers_agree_with_plain_windows_on_hot_groups(spark, coarse):
-    df = spark.range(500).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'k' || id % 7 END AS k", "timestamp '2024-01-01' + id * interval '7' hour AS ts", "id", "id % 11 AS v",
-                                     "CASE WHEN id % 13 = 0 THEN id END AS mark")
-    assert order_is_plain(df, ["k"]) and not order_is_plain(df, ["k"], 20)
-    bucket = F.date_trunc("day", F.col("ts")) if coarse else None
-    for fn in (
-        lambda hot: ordered_sum(df, ["k"], [F.col("ts"), F.col("id")], F.col("v"), "out", bucket, hot),
-        lambda hot: ordered_lag(df, ["k"], ["ts", "id"], ["v"], bucket, hot).withColumnRenamed("prev_v", "out"),
-        lambda hot: ordered_next(df, ["k"], ["ts", "id"], "mark", "out", bucket, hot),
-    ):
-        plain, hot = ({r["id"]: r["out"] for r in fn(limit).collect()} for limit in (None, 20))
-        assert plain == hot and len(plain) == 500
+def test_ordered_helpers_agree_with_plain_windows(spark):
+    df = spark.range(500).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'k' || id % 7 END AS k", "timestamp '2024-01-01' + id * interval '7' hour AS ts", "id", "id % 11 AS v")
+    plain = W.partitionBy("k").orderBy("ts", "id")
+    day = F.date_trunc("day", F.col("ts"))
+    want = {r["id"]: (r["s"], r["p"], r["d"]) for r in df.select(
+        "id", F.sum("v").over(plain).alias("s"), F.lag("v").over(plain).alias("p"), F.row_number().over(W.partitionBy("k").orderBy(F.desc("ts"), F.desc("id"))).alias("d")).collect()}
+    sums = {r["id"]: r["out"] for r in ordered_sum(df, ["k"], [F.col("ts"), F.col("id")], F.col("v"), "out", day).collect()}
+    lags = {r["id"]: r["prev_v"] for r in ordered_lag(df, ["k"], ["ts", "id"], ["v"], day).collect()}
+    down = {r["id"]: r["out"] for r in ordered_sum(df, ["k"], [F.desc("ts"), F.desc("id")], F.lit(1), "out", day, descending=True).collect()}
+    assert {k: (sums[k], lags[k], down[k]) for k in sums} == want and len(want) == 500
+
+
+def test_record_numbers_keep_all_digits(spark):
+    got = spark.createDataFrame([(7,), (9999,), (10000,), (123456,)], "n bigint").select(T.adr_path(F.col("n"), F.lit("A b")).alias("p")).collect()
+    assert [r["p"] for r in got] == ["0007-a-b.md", "9999-a-b.md", "10000-a-b.md", "123456-a-b.md"]
+
+
+def test_decision_context_prefers_the_larger_overlap(spark):
+    decided = H.decisions(commits_frame(spark, [("h1", 5, "refactor a", 1, 1, 0)]))
+    files = spark.createDataFrame([("r", "h1", "a"), ("r", "h1", "b")], "repo string, hash string, path string")
+    prs = spark.createDataFrame(
+        [("r", 5, "part", "x", DAY + dt.timedelta(days=6), [], ["a"]), ("r", 6, "whole", "x", DAY + dt.timedelta(days=8), [], ["a", "b"]),
+         ("r", 7, "much later", "x", DAY + dt.timedelta(days=300), [], ["a", "b"])],
+        "repo string, number bigint, title string, body string, merged_at timestamp, labels array<string>, files array<string>")
+    assert [(r["pr"], r["overlap"]) for r in H.decision_context(decided, files, prs).collect()] == [(6, 2)]
 
 
 def test_decision_context_takes_the_next_merged_request(spark):

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from corpusloom import fixed_values as fv
 from corpusloom.functions import text as T
 from corpusloom.operators import filters as P
+from corpusloom.operators import graph as G
 from corpusloom.operators import secrets as S
+from corpusloom.operators import surface as SU
 from corpusloom.operators import workspace as WS
 from corpusloom.plans import verbs
 from corpusloom.sources import files as SF
@@ -96,10 +98,52 @@ def test_redact(spark):
     assert out == "key [REDACTED: AWS Access Key detected]1 end"
 
 
-def test_pattern_table_must_stay_a_dictionary(spark):
-    table = spark.range(2001).selectExpr("cast(id as int) pattern_id", "'n' name", "'x' regex", "'low' severity")
-    with pytest.raises(ValueError):
-        S.patterns_from_table(table)
+def test_patterns_of_a_table_see_lines(spark):
+    table = spark.createDataFrame([(1, "Token", "^token=[a-z]+$", "low")], "pattern_id int, name string, regex string, severity string")
+    patterns = S.patterns_from_table(table)
+    files = files_frame(spark, [("r", "a.py", "x\ntoken=abc\ny token=abc\n"), ("r", "b.py", "nothing\n")])
+    assert [(r["path"], r["line"]) for r in S.scan_secrets(files, patterns).collect()] == [("a.py", 2)]
+    redacted = files.filter("path = 'a.py'").select(S.redact(F.col("content"), patterns).alias("t")).first()["t"]
+    assert redacted == "x\n[REDACTED: Token detected]\ny token=abc\n"
+
+
+def test_redaction_and_findings_agree_on_lines(spark):
+    files = files_frame(spark, [("r", "a.py", 'password:\n  "abcdefghijkl1234"\n')])
+    found = S.scan_secrets(files).count()
+    changed = files.filter(S.redact(F.col("content")) != F.col("content")).count()
+    assert (found > 0) == (changed > 0)
+
+
+def test_import_forms(spark):
+    rows = [
+        ("r", "src/a.ts", "import {\n  one,\n  two\n} from './b';\nimport x from 'x'; import y from './c';\nconst z = await import('./d');\nexport * from './e';\nimport './style.css';\nconst q = require('./f');\n"),
+        ("r", "src/b.ts", ""), ("r", "src/c/index.ts", ""),
+        ("r", "go/m.go", 'package m\n\nimport (\n\t"fmt"\n\tlog "example.org/log"\n)\nimport "os"\n'),
+        ("r", "py/m.py", "import os, sys as s\nimport py.util\nfrom .near import thing\nfrom . import more\n"),
+        ("r", "py/util.py", ""), ("r", "py/near/__init__.py", ""),
+        ("r", "rs/m.rs", "pub(crate) use crate::a::b;\nuse std::io;\n"),
+    ]
+    edges = {}
+    for r in G.imports(files_frame(spark, rows)).collect():
+        edges.setdefault(r["src"], set()).add(r["dst"])
+    assert edges == {
+        "src/a.ts": {"src/b.ts", "x", "src/c/index.ts", "./d", "./e", "./style.css", "./f"},
+        "go/m.go": {"fmt", "example.org/log", "os"},
+        "py/m.py": {"os", "sys", "py/util.py", "py/near/__init__.py", "."},
+        "rs/m.rs": {"crate::a::b", "std::io"},
+    }
+
+
+def test_exports_by_assignment(spark):
+    files = files_frame(spark, [("r", "a.js", "exports.login = f;\nmodule.exports = { check, other: g };\n"), ("r", "src/b.js", "export function run() {}\n")])
+    assert {(r["path"], r["name"]) for r in SU.exported_names(files).collect()} == {("a.js", "login"), ("a.js", "check"), ("a.js", "other"), ("src/b.js", "run")}
+
+
+def test_corpus_roots_with_and_without_a_scheme(spark, tmp_path):
+    (tmp_path / "repo" / "src").mkdir(parents=True)
+    (tmp_path / "repo" / "src" / "a.py").write_text("x\n")
+    for root in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
+        assert [(r["repo"], r["path"]) for r in SF.read_corpus(spark, root).collect()] == [("repo", "src/a.py")]
 
 
 def test_languages_frameworks_entry_points(spark):
