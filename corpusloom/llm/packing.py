@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.llm.common import partitions, require
-from corpusloom.llm.tokens import encoder
+from corpusloom.llm.tokens import Encoder
 
 ROWS_AT_ONCE = 256
 
@@ -29,7 +29,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: i
     def cut(batches):
         import pyarrow as pa
 
-        enc = encoder(tokenizer, words)
+        enc = Encoder(tokenizer, words)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS_AT_ONCE):

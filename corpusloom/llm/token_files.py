@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.llm.common import partitions, require
-from corpusloom.llm.tokens import encoder
+from corpusloom.llm.tokens import Encoder
 
 NULL_ID = -(1 << 63)
 DOCS_AT_ONCE = 512
@@ -41,7 +41,7 @@ def write_token_files(
         store, base = fs.FileSystem.from_uri(folder)
         shard = TaskContext.get().partitionId()
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
-        enc = encoder(tokenizer, words)
+        enc = Encoder(tokenizer, words)
         end = np.array([end_id], dtype=dtype).tobytes()
         offsets, ids, total, out = [0], [], 0, None
         for batch in batches:

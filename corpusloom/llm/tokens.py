@@ -13,10 +13,10 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Entries of the memos of one Python worker (about 250 bytes each). Cuts beyond them are encoded where they occur;
-#: the ids don't change.
-MEMO_CUTS = 700_000
-MEMO_PIECES = 300_000
+#: Entries of the memos of one task (about 250 bytes each). Cuts beyond them are encoded where they occur; the ids
+#: don't change. A task's memos go with it: a worker's next task may be another operator's.
+MEMO_CUTS = 400_000
+MEMO_PIECES = 200_000
 
 #: The pre-tokenizer's treatment of white space: runs give their last blank to the word behind them.
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -30,6 +30,19 @@ SHOWN = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b}
 BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in SHOWN)}
 
 
+@lru_cache(maxsize=2)
+def library(path: str):
+    """The tokenizer, loaded once for each Python worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
 class Memo(dict):
     """Encodes what is missing, and keeps it while there is room."""
 
@@ -51,13 +64,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, words: bool, cuts: int = MEMO_CUTS, pieces: int = MEMO_PIECES):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer = library(path)
         self.model = self.tokenizer.model
         self.words = words
         self.shown = Memo(lambda c: c.encode().decode("latin-1").translate(BYTE_CHARS), 10_000)
@@ -95,9 +102,3 @@ class Encoder:
             first, *rest = line.split(" ")
             lines.append(plain(first) + b"".join(map(spaced, rest)))
         return self.line_end.join(lines)
-
-
-@lru_cache(maxsize=4)
-def encoder(path: str, words: bool) -> Encoder:
-    """One for each Python worker, so that its memos serve all tasks that the worker runs."""
-    return Encoder(path, words)
