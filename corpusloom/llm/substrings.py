@@ -126,7 +126,8 @@ def tag_of(text: Column) -> Column:
 
 
 def repeated_anchors(rows: DataFrame, window: int) -> DataFrame:
-    """(doc, position) of minimizers whose run of words is a minimizer in more than one document.
+    """(doc, position) of minimizers whose run of words is a minimizer in more than one document; later copies of a
+    whole text don't count.
 
     A task first looks among its own anchors: those found in two documents there are settled and travel under a key of
     their own, with one mark for the rest. So no run, however frequent, sends more rows to one key than there are tasks.
@@ -154,10 +155,10 @@ def repeated_anchors(rows: DataFrame, window: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(k[s].view(np.int64)), pa.array(d[s]), pa.array(r[s])], names=["key", "doc", "ref"])
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
+            for doc, text, copies, tags in zip(batch.column("doc").to_pylist(), *(batch.column(c) for c in ("text", "copies", "tags")), strict=True):
                 data = text.as_py() or b""
                 starts, ends = hasher.words(data)
-                if len(starts) < window:
+                if len(starts) < window or place(data, copies, tags)[0]:
                     continue
                 runs, least = hasher.minimizers(hasher.hashes(data, starts, ends), window)
                 at = least[np.concatenate([[True], least[1:] != least[:-1]])]
@@ -195,7 +196,7 @@ def repeated_anchors(rows: DataFrame, window: int) -> DataFrame:
                 rest = rest if len(rest[0]) else None
             yield given(out, doc, ref)
 
-    sent = rows.select("doc", "text").mapInArrow(send, "key bigint, doc bigint, ref bigint")
+    sent = rows.select("doc", "text", "copies", "tags").mapInArrow(send, "key bigint, doc bigint, ref bigint")
     dealt = sent.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
     return dealt.mapInArrow(receive, "doc bigint, position int")
 
@@ -210,10 +211,11 @@ def later_copies(rows: DataFrame) -> DataFrame:
 def hints(rows: DataFrame, window: int) -> DataFrame:
     """What is known of a document before its words are compared: ``positions`` of repeated minimizers, ``copies``
     (tags of texts that are later copies), and ``tags`` in order, where rows share an id."""
-    anchors = repeated_anchors(rows, window).groupBy("doc").agg(F.collect_set("position").alias("positions"))
     copies = later_copies(rows).groupBy("doc").agg(F.collect_set("tag").alias("copies"))
     tags = rows.select("doc", tag_of(F.col("text")).alias("tag")).groupBy("doc").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
-    return anchors.join(copies, "doc", "full").join(tags.filter(F.size("tags") > 1), "doc", "full")
+    known = stored(copies.join(tags.filter(F.size("tags") > 1), "doc", "full"), "text-copies")
+    anchors = repeated_anchors(rows.drop("others").join(known, "doc", "left"), window)
+    return anchors.groupBy("doc").agg(F.collect_set("position").alias("positions")).join(known, "doc", "full")
 
 
 def place(text: bytes, copies, tags) -> tuple[bool, int]:
