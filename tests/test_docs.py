@@ -13,10 +13,10 @@ from corpusloom.operators import verification as V
 from corpusloom.plans import verbs
 from corpusloom.sources import tables as ST
 from corpusloom.sources.files import dependency_rows, read_manifests
-from fixtures import API, MONO, files_frame, section
+from fixtures import FLEET, HARBOUR, files_frame, section
 
-README = section("header", ["package.json:1-5"]) + section("features", ["src/routes/users.js:1-10"]) + section("arch", ["src/index.js:1-20"])
-CODE = [("r", "package.json", '{"name":"t"}'), ("r", "src/routes/users.js", "router.get('/', h);\n"), ("r", "src/index.js", "x\n"), ("r", "README.md", README)]
+README = section("header", ["package.json:1-5"]) + section("features", ["src/berths/handlers.js:1-10"]) + section("arch", ["src/server.js:1-20"])
+CODE = [("r", "package.json", '{"name":"t"}'), ("r", "src/berths/handlers.js", "desk.get('/berths', list);\n"), ("r", "src/server.js", "x\n"), ("r", "README.md", README)]
 
 
 def baseline_of(spark, files):
@@ -36,11 +36,11 @@ def test_staleness_states(spark):
     base = baseline_of(spark, files)
     assert base.count() == 3 and overall(docs, files, base) == {"r": ("current", 3, 0, 0)}
     edited = lambda *names: files_frame(spark, [(r, p, c + "// modified\n" if p in names else c) for r, p, c in CODE])
-    assert overall(docs, edited("src/routes/users.js"), base) == {"r": ("stale", 2, 0, 1)}
-    assert overall(docs, edited("src/routes/users.js", "src/index.js"), base) == {"r": ("very-stale", 1, 0, 2)}
-    plan = verbs.update_plan(docs, edited("src/routes/users.js"), base).collect()
-    assert [(r["section"], r["writer"], r["changed_refs"]) for r in plan] == [("features", "writer", ["src/routes/users.js"])]
-    gone = files.filter("path <> 'src/index.js'")
+    assert overall(docs, edited("src/berths/handlers.js"), base) == {"r": ("stale", 2, 0, 1)}
+    assert overall(docs, edited("src/berths/handlers.js", "src/server.js"), base) == {"r": ("very-stale", 1, 0, 2)}
+    plan = verbs.update_plan(docs, edited("src/berths/handlers.js"), base).collect()
+    assert [(r["section"], r["writer"], r["changed_refs"]) for r in plan] == [("features", "writer", ["src/berths/handlers.js"])]
+    gone = files.filter("path <> 'src/server.js'")
     assert overall(docs, gone, base) == {"r": ("stale", 2, 0, 1)}
     other = files_frame(spark, [("empty", "app.js", "hello\n")])
     assert overall(docs, files, base, files.select("repo").union(other.select("repo")))["empty"] == ("no_docs", 0, 0, 0)
@@ -50,10 +50,10 @@ def test_baseline_states_and_gate(spark):
     files = files_frame(spark, CODE)
     refs = SE.section_refs(SE.parse_sections(P.select_docs(files)))
     base = baseline_of(spark, files)
-    now = files_frame(spark, [("r", "package.json", '{"name":"t"}'), ("r", "src/index.js", "y\n")])
+    now = files_frame(spark, [("r", "package.json", '{"name":"t"}'), ("r", "src/server.js", "y\n")])
     partial = base.filter("ref_path <> 'package.json'")
     states = {r["ref_path"]: r["state"] for r in SN.compare_baseline(refs, SN.path_hashes(now), partial).collect()}
-    assert states == {"package.json": "new", "src/index.js": "changed", "src/routes/users.js": "missing"}
+    assert states == {"package.json": "new", "src/server.js": "changed", "src/berths/handlers.js": "missing"}
     report = spark.createDataFrame([("a", "stale", 1), ("b", "slightly-stale", 0), ("c", "current", 0), ("d", "very-stale", 3)], "repo string, overall string, stale bigint")
     fails = lambda on: "".join(sorted(r["repo"] for r in P.ci_gate(report, on).filter("fail").collect()))
     assert (fails("stale"), fails("possibly-stale"), fails("never")) == ("ad", "abd", "")
@@ -122,27 +122,27 @@ def test_budget(spark):
     assert decide(60000, "frugal", warn=70000) == "SILENT" and decide(60001, budget=60000) == "ABORT" and decide(200000, budget=200000) == "SILENT"
 
 
-def test_code_surface_of_the_api(spark):
-    files = files_frame(spark, API)
+def test_code_surface_of_the_harbour(spark):
+    files = files_frame(spark, HARBOUR)
     found = SU.endpoints(files)
-    assert SU.family_total(SU.endpoint_counts(files), "endpoints").first()["endpoints"] == 8
-    assert {r["method"]: r["endpoints"] for r in SU.route_methods(found).collect()} == {"GET": 3, "POST": 3, "PUT": 1, "DELETE": 1, "TOTAL": 8}
+    assert SU.family_total(SU.endpoint_counts(files), "endpoints").first()["endpoints"] == 6
+    assert {r["method"]: r["endpoints"] for r in SU.route_methods(found).collect()} == {"GET": 3, "PATCH": 1, "POST": 1, "DELETE": 1, "TOTAL": 6}
     auth = {(r["path"], r["route"]): r["auth"] for r in found.collect()}
-    assert auth["src/routes/users.js", "/:id"] is True and auth["src/routes/auth.js", "/login"] is None
-    assert {r["resource"] for r in found.collect()} == {"health", "users", "login", "register"}
+    assert auth["src/berths/handlers.js", "/berths/:pier"] is True and auth["src/tides.js", "/readings"] is None
+    assert {r["resource"] for r in found.collect()} == {"ping", "berths", "readings"}
     loose = SU.family_total(SU.endpoint_counts(files, "reference"), "endpoints").first()["endpoints"]
-    assert loose == 9
+    assert loose == 7
     assert SU.family_total(SU.export_counts(files), "exports").first()["exports"] == 4
-    assert {r["name"] for r in SU.exports(files).collect()} == {"app", "router", "authenticate"}
-    refs = spark.createDataFrame([("api", "src/routes")], "repo string, path string")
-    assert sorted(r["path"] for r in SU.doc_gaps(files, refs).collect()) == ["src/index.js", "src/middleware/authenticate.js"]
-    mono = SU.family_total(SU.endpoint_counts(files_frame(spark, [(r, p.removeprefix("packages/api/"), c) for r, p, c in MONO if "packages/api" in p])), "endpoints")
-    assert mono.first()["endpoints"] == 3
+    assert {r["name"] for r in SU.exports(files).collect()} == {"port", "berths", "tides", "requireAuth"}
+    refs = spark.createDataFrame([("harbour", "src/berths")], "repo string, path string")
+    assert sorted(r["path"] for r in SU.doc_gaps(files, refs).collect()) == ["src/guards/badge.js", "src/server.js", "src/tides.js"]
+    engine = files_frame(spark, [(r, p.removeprefix("modules/engine/"), c) for r, p, c in FLEET if "modules/engine" in p])
+    assert SU.family_total(SU.endpoint_counts(engine), "endpoints").first()["endpoints"] == 2
 
 
 def test_coverage_of_documented_and_empty_projects(spark):
-    files = files_frame(spark, [("d", "src/routes/users.js", "router.get('/users', handler); module.exports = router;\n"), ("e", "notes.txt", "x\n")])
-    docs = spark.createDataFrame([("d", "README.md", section("api", ["src/routes/users.js:1-10"], "GET /users - List users"))], "repo string, doc string, content string")
+    files = files_frame(spark, [("d", "src/moon.js", "sky.get('/moon', phase); module.exports = sky;\n"), ("e", "notes.txt", "x\n")])
+    docs = spark.createDataFrame([("d", "README.md", section("sky", ["src/moon.js:1-10"], "GET /moon - Phase of the moon"))], "repo string, doc string, content string")
     rows = {r["repo"]: r for r in SU.coverage_report(SU.entity_inventory(files, docs, SE.document_refs(docs))).collect()}
     d, e = rows["d"], rows["e"]
     assert (d["documented_files"], d["documented_endpoints"], d["entities"], d["file_coverage"], d["endpoint_coverage"], d["entity_coverage"]) == (1, 1, 2, "100.0", "100.0", "100.0")
@@ -150,18 +150,18 @@ def test_coverage_of_documented_and_empty_projects(spark):
 
 
 def test_verification(spark):
-    files = files_frame(spark, API)
+    files = files_frame(spark, HARBOUR)
     text = (
-        "# Shop\n" + section("features", ["src/routes/users.js:1-60,src/routes/auth.js:1-50"], "CRUD with 7 API endpoints and 11 routes")
-        + section("installation", ["package.json:1-10"], "npm install") + "Entry `src/index.js` uses Express 4, React 18 and not src/none.js. Express 5\n")
-    docs = spark.createDataFrame([("api", "README.md", text)], "repo string, doc string, content string")
+        "# Harbour\n" + section("features", ["src/berths/handlers.js:1-9,src/tides.js:1-4"], "Bookings with 5 API endpoints and 9 routes")
+        + section("installation", ["package.json:1-5"], "npm ci") + "Entry `src/server.js` uses Fastify 4, Vue 3 and not src/none.js. Fastify 5\n")
+    docs = spark.createDataFrame([("harbour", "README.md", text)], "repo string, doc string, content string")
     checks, quality = verbs.verify_docs(docs, files, dependency_rows(read_manifests(files)))
     failed = sorted((r["type"], r["claim"]) for r in checks.filter("not passed").collect())
-    assert failed == [("dep_version", "express 5"), ("endpoint_count", "11 endpoints"), ("file_exists", "src/none.js")]
+    assert failed == [("dep_version", "fastify 5"), ("endpoint_count", "9 endpoints"), ("file_exists", "src/none.js")]
     row = quality.first()
-    # 4 mentioned paths, 3 anchors, 2 counts, 3 versions; sections: features, installation, usage (endpoints are no heading) of 6.
+    # 4 mentioned paths, 3 anchors, 2 counts, 3 versions; two of the five sections that such a project is expected to have.
     assert (row["checks"], row["passed"], row["refs"]) == (12, 9, 2)
-    assert str(row["accuracy"]) == "0.75" and str(row["coverage"]) == "0.33" and row["overall"] == (75 * 50 + 33 * 35 + 1500) // 100 and row["needs_fix"]
+    assert str(row["accuracy"]) == "0.75" and str(row["coverage"]) == "0.40" and row["overall"] == (75 * 50 + 40 * 35 + 1500) // 100 and row["needs_fix"]
 
 
 def test_endpoint_claim_tolerance(spark):

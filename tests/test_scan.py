@@ -12,7 +12,7 @@ from corpusloom.operators import surface as SU
 from corpusloom.operators import workspace as WS
 from corpusloom.plans import verbs
 from corpusloom.sources import files as SF
-from fixtures import API, MONO, WEB, files_frame
+from fixtures import CHART, FLEET, HARBOUR, files_frame
 
 
 def paths(df):
@@ -147,15 +147,15 @@ def test_corpus_roots_with_and_without_a_scheme(spark, tmp_path):
 
 
 def test_languages_frameworks_entry_points(spark):
-    files = files_frame(spark, API + WEB)
+    files = files_frame(spark, HARBOUR + CHART)
     manifests = SF.read_manifests(files)
     deps = SF.dependency_rows(manifests)
     languages = {r["repo"]: r["languages"] for r in WS.detect_language(files, deps).collect()}
-    assert languages == {"api": ["javascript"], "web": ["javascript"]}
+    assert languages == {"harbour": ["javascript"], "chart": ["javascript"]}
     frameworks = {r["repo"]: r["frameworks"] for r in WS.frameworks(files, deps).collect()}
-    assert frameworks == {"api": ["express", "jest"], "web": ["react", "vite", "vitest"]}
+    assert frameworks == {"harbour": ["fastify", "vitest"], "chart": ["vite", "vue"]}
     entries = {(r["repo"], r["path"]) for r in WS.entry_points(files, manifests).collect()}
-    assert entries == {("api", "src/index.js"), ("web", "src/App.jsx")}
+    assert entries == {("harbour", "src/server.js"), ("chart", "src/main.js")}
 
 
 def test_framework_needs_a_whole_dependency_key(spark):
@@ -180,15 +180,15 @@ def test_other_manifests(spark):
 
 
 def test_generate_context(spark):
-    files = files_frame(spark, API)
+    files = files_frame(spark, HARBOUR)
     empty = spark.createDataFrame([], "repo string, path string, sha256 string")
     context = verbs.generate_context(files, empty)
     row = context.summary.first()
-    assert (row["files"], row["languages"], row["frameworks"], row["entry_points"], row["secrets"]) == (5, "javascript", "express jest", "src/index.js", 0)
+    assert (row["files"], row["languages"], row["frameworks"], row["entry_points"], row["secrets"]) == (5, "javascript", "fastify vitest", "src/server.js", 0)
     assert {r["state"] for r in context.states.collect()} == {"changed"}
     assert context.budget.first()["decision"] == "SILENT"
     edges = {(r["src"], r["dst"]) for r in context.imports.filter("is_internal").collect()}
-    assert edges == {("src/index.js", "src/routes/users.js"), ("src/index.js", "src/routes/auth.js"), ("src/routes/users.js", "src/middleware/authenticate.js")}
+    assert edges == {("src/server.js", "src/berths/handlers.js"), ("src/server.js", "src/tides.js"), ("src/berths/handlers.js", "src/guards/badge.js")}
 
 
 def workspace(spark, rows, config=None):
@@ -199,10 +199,12 @@ def workspace(spark, rows, config=None):
 
 
 def test_npm_workspace(spark):
-    kind, packages, edges, shared = workspace(spark, MONO)
+    kind, packages, edges, shared = workspace(spark, FLEET)
     assert kind == (True, "npm-workspaces")
-    assert packages == [("@m/api", "packages/api", "typescript"), ("@m/shared", "packages/shared", "typescript"), ("@m/ui", "packages/ui", "typescript")]
-    assert edges == [("@m/api", "@m/shared"), ("@m/ui", "@m/shared")] and shared == ["@m/shared"]
+    assert packages == [
+        ("@fleet/cabin", "modules/cabin", "typescript"), ("@fleet/dials", "modules/dials", "javascript"), ("@fleet/engine", "modules/engine", "typescript"), ("@fleet/units", "modules/units", "typescript")]
+    assert edges == [("@fleet/cabin", "@fleet/dials"), ("@fleet/cabin", "@fleet/engine"), ("@fleet/dials", "@fleet/units"), ("@fleet/engine", "@fleet/units")]
+    assert shared == ["@fleet/units"]
 
 
 def test_pnpm_wins_over_npm(spark):
@@ -224,10 +226,10 @@ def test_lerna_default_cargo_and_go(spark):
 
 
 def test_config_overrides_detection(spark):
-    config = spark.createDataFrame([("mono", False)], "repo string, enabled boolean")
-    kind, packages, _, _ = workspace(spark, MONO, config)
+    config = spark.createDataFrame([("fleet", False)], "repo string, enabled boolean")
+    kind, packages, _, _ = workspace(spark, FLEET, config)
     assert kind == (False, "npm-workspaces") and packages == []
-    kind, packages, _, _ = workspace(spark, API)
+    kind, packages, _, _ = workspace(spark, HARBOUR)
     assert kind == (False, "none") and packages == []
 
 
