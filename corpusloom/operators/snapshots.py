@@ -11,7 +11,10 @@ LANES = 4
 
 
 def file_hashes(files: DataFrame) -> DataFrame:
-    """(repo, path, sha256). The text is hashed in the scan; only 64 digits per file are ever shuffled."""
+    """(repo, path, sha256). The text is hashed in the scan; only 64 digits per file are ever shuffled. A stored
+    manifest passes through: with it, no check, baseline or digest reads any content."""
+    if "sha256" in files.columns:
+        return files.select("repo", "path", "sha256")
     return files.select("repo", "path", T.content_hash(F.col("content")).alias("sha256"))
 
 
@@ -47,8 +50,9 @@ def dir_digest(hashes: DataFrame) -> DataFrame:
     )
 
 
-def path_hashes(files: DataFrame) -> DataFrame:
-    """Current hash of every file and every directory, from one scan of the contents.
+def path_hashes(files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Current hash of every file and every directory, from one scan of the contents or of a stored manifest; with
+    ``wanted`` (repo, path), only of those: rows of other paths are dropped before anything is aggregated.
 
     Each file counts for itself and for its ancestors, so files and directories come out of one aggregate that
     is already partitioned on (repo, path) for the joins that follow. A file's own hash travels as whole numbers
@@ -61,6 +65,9 @@ def path_hashes(files: DataFrame) -> DataFrame:
         F.transform(T.ancestors(F.col("path")), lambda d: F.struct(d.alias("path"), F.lit(False).alias("is_file"))),
     )
     fanned = hashed.withColumns(own).select("repo", *own, *[f"lane{i}" for i in range(LANES)], F.explode(targets).alias("t"))
+    if wanted is not None:
+        named = wanted.select(F.col("repo").alias("_repo"), F.col("path").alias("_path")).distinct()
+        fanned = fanned.join(named, (F.col("repo") == F.col("_repo")) & (F.col("t.path") == F.col("_path")), "left_semi")
     is_file = F.col("t.is_file")
     mixed = [
         F.bit_xor(F.when(is_file, F.col(f"own{i}")).otherwise(F.col(f"lane{i}") if i < LANES else F.lit(0))).alias(f"lane{i}")
@@ -158,7 +165,7 @@ def latest_snapshot(table: DataFrame, keys: list[str], ts: str = "saved_at", as_
 
 def baseline_rows(refs: DataFrame, files: DataFrame, saved_at: Column) -> DataFrame:
     """A baseline for every distinct referenced file or directory that exists now."""
-    hashes = path_hashes(files).withColumnRenamed("path", "ref_path")
+    hashes = path_hashes(files, refs).withColumnRenamed("path", "ref_path")
     return distinct_refs(refs).join(hashes, ["repo", "ref_path"]).select(
         "repo", "ref_path", "sha256", saved_at.alias("saved_at")
     )

@@ -108,7 +108,7 @@ def staleness_batch(
         baseline = read_baseline()
         if "batch_id" in baseline.columns:
             baseline = baseline.filter(F.col("batch_id").isNull() | (F.col("batch_id") < batch_id))
-        states = SN.ref_changes(refs, SN.path_hashes(files), baseline)
+        states = SN.ref_changes(refs, SN.path_hashes(files, refs), baseline)
         status = SE.section_status(states, baseline.select("repo"))
         numbered = F.lit(batch_id).cast("bigint").alias("batch_id")
         replace(status.select("repo", "doc", "section", "status", "n_refs", "n_changed", numbered), status_path)

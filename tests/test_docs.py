@@ -169,3 +169,13 @@ def test_endpoint_claim_tolerance(spark):
     counts = spark.createDataFrame([("a", 10), ("b", 0)], "repo string, endpoints bigint")
     assert sorted((r["repo"], r["claim"], r["passed"]) for r in V.check_endpoint_counts(docs, counts).collect()) == [
         ("a", "10 endpoints", True), ("a", "7 endpoints", False), ("a", "8 endpoints", True), ("b", "99 endpoints", True)]
+
+
+def test_hashes_of_wanted_paths_and_of_a_manifest(spark):
+    files = files_frame(spark, [("r", f"src/{d}/f{k}.js", f"{d}{k}\n") for d in ("a", "b") for k in range(3)])
+    wanted = spark.createDataFrame([("r", "src/a"), ("r", "src/b/f1.js")], "repo string, path string")
+    hashes = lambda df, w=None: {r["path"]: r["sha256"] for r in SN.path_hashes(df, w).collect()}
+    every = hashes(files)
+    assert hashes(files, wanted) == {p: every[p] for p in ("src/a", "src/b/f1.js")}
+    manifest = SN.file_hashes(files)
+    assert "content" not in manifest.columns and hashes(manifest) == every
