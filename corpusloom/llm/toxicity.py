@@ -29,7 +29,7 @@ TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
 CANDIDATES, STEMS = 20_000, 1000
 STEM_LENGTHS = range(3, 10)
 #: Standard errors that a stem's log odds must be above 0; few of the candidates get there by chance.
-SURE = 4.0
+SURE = 4.5
 ROWS_AT_ONCE = 256
 WORD = re.compile(r"[^\W\d_]+")
 EDGE = re.compile(r"[.!?;:|\n]")
@@ -207,24 +207,25 @@ class Model:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
 
 
-def stems_of(text: str) -> set[str]:
-    return {w[:n] for w in set(WORD.findall(text.lower())) for n in STEM_LENGTHS if n <= len(w)}
+def stem_counts(texts: DataFrame) -> DataFrame:
+    """(stem, n): in how many different contexts a word begins so. A context is a word with its neighbours, so that
+    copies of a text count once. Words give way to their beginnings after the contexts are counted."""
 
-
-def stem_counts(texts: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-    """(stem, docs): in how many texts a word begins so; counted per task first."""
-
-    def count(batches):
+    def contexts(batches):
         import pyarrow as pa
 
-        found: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column("text"):
-                stems = stems_of(text.as_py() or "")
-                found.update(stems if wanted is None else stems & wanted)
-        yield pa.RecordBatch.from_pydict({"stem": list(found), "docs": list(found.values())}, schema=pa.schema([("stem", pa.string()), ("docs", pa.int64())]))
+                words = ["", *WORD.findall((text.as_py() or "").lower()), ""]
+                found = {*zip(words[1:], words, words[2:], strict=False)}
+                found = [f for f in found if f[0]]
+                yield pa.RecordBatch.from_pydict({"word": [f[0] for f in found], "near": [f"{f[1]} {f[2]}" for f in found]}, schema=pa.schema([("word", pa.string()), ("near", pa.string())]))
 
-    return texts.select("text").mapInArrow(count, "stem string, docs bigint").groupBy("stem").agg(F.sum("docs").alias("docs"))
+    seen = texts.select("text").mapInArrow(contexts, "word string, near string").distinct().groupBy("word").count()
+    lengths = F.sequence(F.lit(STEM_LENGTHS.start), F.least(F.length("word"), F.lit(STEM_LENGTHS.stop - 1)))
+    long = seen.filter(F.length("word") >= STEM_LENGTHS.start)
+    stems = long.select("count", F.explode(F.transform(lengths, lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("stem"))
+    return stems.groupBy("stem").agg(F.sum("count").alias("n"))
 
 
 def log_odds(toxic: float, clean: float, n_toxic: float, n_clean: float) -> tuple[float, float]:
@@ -279,15 +280,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     ]
     rows = docs.select("doc_id", "text").join(F.broadcast(few[0].unionByName(few[1])), "doc_id").dropDuplicates(["doc_id"])
     rows = stored(rows, "toxicity-sample")
-    n_of = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    n_toxic, n_clean = n_of.get(1, 0), n_of.get(0, 0)
+    counts = stored(stem_counts(rows.filter("toxic = 1")).withColumnRenamed("n", "t").join(
+        stem_counts(rows.filter("toxic = 0")).withColumnRenamed("n", "c"), "stem", "full"
+    ).select("stem", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("c", F.lit(0)).alias("c")), "toxicity-stems")
+    totals = counts.filter(F.length("stem") == STEM_LENGTHS.start).agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
+    n_toxic, n_clean = totals["t"] or 0, totals["c"] or 0
     if not n_toxic or not n_clean:
         return Model({})
-    least = max(3, n_toxic // 200)
-    top = stem_counts(rows.filter("toxic = 1"), None).filter(F.col("docs") >= least).orderBy(F.desc("docs"), "stem").limit(CANDIDATES)
-    toxic = {r["stem"]: r["docs"] for r in top.collect()}
-    clean = {r["stem"]: r["docs"] for r in stem_counts(rows.filter("toxic = 0"), frozenset(toxic)).collect()}
-    model = Model(choose(toxic, clean, n_toxic, n_clean))
+    gain = F.col("t") / n_toxic - F.col("c") / n_clean
+    top = counts.filter((F.col("t") >= 3) & (gain > 0)).orderBy(F.desc(gain), "stem").limit(CANDIDATES).collect()
+    model = Model(choose({r["stem"]: r["t"] for r in top}, {r["stem"]: r["c"] for r in top}, n_toxic, n_clean))
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def featured(parts):

@@ -62,8 +62,9 @@ def test_toxicity_of_held_out_texts(spark):
 
 def labelled(spark):
     texts = [f"the weather number {k} is fine and calm" for k in range(300)]
-    texts += [f"you are a gruntish fool number {k}" for k in range(150)]
-    texts += [f"he said you are a gruntish fool number {k}" for k in range(150)]
+    # Neighbours differ: a word counts once for each context.
+    texts += [f"you are ab{chr(97 + k % 26)}{chr(97 + k // 26)} gruntish today" for k in range(150)]
+    texts += [f"he said you are cd{chr(97 + k % 26)}{chr(97 + k // 26)} gruntish today" for k in range(150)]
     docs = cases.plain(spark, texts)
     labels = spark.createDataFrame([(k, int(300 <= k < 450)) for k in range(len(texts))], "doc_id bigint, toxic int")
     return docs, labels
@@ -72,8 +73,8 @@ def labelled(spark):
 def test_toxicity_weighs_the_clause(spark):
     docs, labels = labelled(spark)
     model = toxicity.fit(docs, labels)
-    assert any(s.startswith("grunt") or s == "fool" for s in model.stems)
-    assert model.score("you are a gruntish fool") >= 0.5 > model.score("he said you are a gruntish fool")
+    assert any(s.startswith("grunt") for s in model.stems)
+    assert model.score("you are a gruntish one") >= 0.5 > model.score("he said you are a gruntish one")
     assert model.score(None) == model.score("") == model.score("nothing here") < 0.5
 
 
