@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,7 +62,9 @@ def test_toxicity_of_held_out_texts(spark):
 
 
 def labelled(spark):
-    texts = [f"the weather number {k} is fine and calm" for k in range(300)]
+    rng = random.Random(1)
+    calm = "the weather over some hills was fine and calm while boats went along green shores without any hurry".split()
+    texts = [" ".join(rng.choices(calm, k=30)) for _ in range(300)]
     # Neighbours differ: a word counts once for each context.
     texts += [f"you are ab{chr(97 + k % 26)}{chr(97 + k // 26)} gruntish today" for k in range(150)]
     texts += [f"he said you are cd{chr(97 + k % 26)}{chr(97 + k // 26)} gruntish today" for k in range(150)]
