@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import schemas
@@ -18,7 +18,7 @@ def read_commit_log(spark: SparkSession, path: str) -> DataFrame:
     (commits without changes); the statistics belong to its last one.
     """
     blocks = spark.read.option("lineSep", "\n\n").text(path).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[A-Za-z]+)?$", 1).alias("repo"), "value"
+        _repo_of_file().alias("repo"), "value"
     )
     return parse_commit_blocks(blocks)
 
@@ -39,6 +39,29 @@ def parse_commit_blocks(blocks: DataFrame) -> DataFrame:
     )
 
 
+def _repo_of_file() -> Column:
+    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[A-Za-z]+)?$", 1)
+
+
+def read_commit_files(spark: SparkSession, path: str) -> DataFrame:
+    """(repo, hash, path) from exports of ``git log --format=%x00%H --name-only``, one file per repository.
+
+    The zero byte before each hash separates the records, so a commit and its paths are one splittable row.
+    """
+    records = spark.read.option("lineSep", "\0").text(path).select(_repo_of_file().alias("repo"), F.split("value", "\n").alias("lines"))
+    paths = F.filter(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))), lambda x: F.trim(x) != "")
+    hashed = records.filter(F.col("lines")[0].rlike("^[a-f0-9]{7,64}$"))
+    return hashed.select("repo", F.col("lines")[0].alias("hash"), F.explode(F.array_distinct(paths)).alias("path"))
+
+
+def read_tags(spark: SparkSession, path: str) -> DataFrame:
+    """(repo, tag, ts) from exports of ``git for-each-ref --format='%(refname:short)|%(creatordate:iso-strict)' refs/tags``,
+    one file per repository. The last separator counts, as a tag may hold one itself."""
+    lines = spark.read.text(path).select(_repo_of_file().alias("repo"), "value")
+    parts = lambda group: F.regexp_extract("value", r"^(.+)\|([^|]+)$", group)
+    return lines.filter(parts(1) != "").select("repo", parts(1).alias("tag"), parts(2).try_cast("timestamp").alias("ts"))
+
+
 def read_prs(spark: SparkSession, path: str) -> DataFrame:
     """Pull requests from JSON (objects or arrays, one per line)."""
     raw = spark.read.schema(schemas.PULL_REQUEST).json(path)

@@ -62,6 +62,31 @@ def test_decision_groups_merge_over_shared_files(spark):
     assert records == [("ADR-0001", "refactor a", 4, "0001-refactor-a.md"), ("ADR-0002", "use terraform", 1, "0002-use-terraform.md"), ("ADR-0003", "infra", 1, "0003-infra.md")]
 
 
+def test_changed_paths_and_tags_are_read(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "tide.log").write_bytes(b"\0abc1234\n\nsrc/a.py\nsrc/b c.py\n\0def5678\n\0fed9876\n\nREADME.md\n")
+    (tmp_path / "tags").mkdir()
+    (tmp_path / "tags" / "tide.txt").write_text("v1.0|2024-01-02T03:04:05+00:00\nodd|name|2024-02-01T00:00:00+00:00\nbroken\n")
+    files = SH.read_commit_files(spark, str(tmp_path / "log"))
+    assert sorted(tuple(r) for r in files.collect()) == [("tide", "abc1234", "src/a.py"), ("tide", "abc1234", "src/b c.py"), ("tide", "fed9876", "README.md")]
+    tags = {r["tag"]: (r["repo"], r["ts"].isoformat()) for r in SH.read_tags(spark, str(tmp_path / "tags")).selectExpr("repo", "tag", "cast(ts as timestamp_ntz) ts").collect()}
+    assert tags == {"v1.0": ("tide", "2024-01-02T03:04:05"), "odd|name": ("tide", "2024-02-01T00:00:00")}
+
+
+def test_failures_of_analyzers_stay_rows(spark):
+    files = files_frame(spark, [("a", "x.py", "1\n"), ("b", "y.py", "2\n")])
+    registry = PL.Registry()
+    assert registry.run_all(files).count() == 0
+    registry.register_analyzer("texts", lambda group: [("k", "no number")] if group["repo"].iloc[0] == "a" else [("k", 3)])
+    registry.register_analyzer("shape", lambda group: [1])
+    registry.register_analyzer("frame", lambda df: df.select("missing_column"), kind="frame")
+    registry.register_analyzer("fine", lambda group: [("files", len(group)), ("note", None, "seen")])
+    rows = {(r["repo"], r["analyzer"]): r for r in registry.run_all(files).collect()}
+    status = {k: r["status"] for k, r in rows.items()}
+    assert status == {("a", "texts"): "error", ("b", "texts"): "success", **{(x, n): "error" for x in "ab" for n in ("shape", "frame")}, **{(x, "fine"): "success" for x in "ab"}}
+    assert rows["a", "fine"]["data"] == {"files": "1", "note": "seen"} and rows["b", "texts"]["data"] == {"k": "3"}
+
+
 def test_connected_labels_on_a_long_chain(spark):
     chain = spark.range(1, 60).selectExpr("'r' AS repo", "id AS u", "id + 1 AS v")
     other = spark.range(100, 110).selectExpr("'r' AS repo", "id AS u", "100L AS v")
