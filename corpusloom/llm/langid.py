@@ -12,7 +12,6 @@ could be learned; rows that share a doc_id are scored each; an empty table gives
 
 from __future__ import annotations
 
-import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -33,7 +32,6 @@ RIDGE = 1e-3
 #: How steeply the one-versus-rest values (about -1 to 1) turn into a score.
 SHARPNESS = 4.0
 ROWS_AT_ONCE = 64
-LETTER = re.compile(r"[^\W\d_]")
 #: Grams of three bytes come first, then those of two, then single bytes.
 TWO, ONE, ALL = 1 << 24, (1 << 24) + (1 << 16), (1 << 24) + (1 << 16) + 256
 
@@ -96,7 +94,7 @@ class Model:
         import numpy as np
 
         out = [(UNKNOWN, 0.0)] * len(texts)
-        known = [k for k, t in enumerate(texts) if t and LETTER.search(t)]
+        known = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         if not self.languages or not known:
             return out
         values = SHARPNESS * (self.kernel([texts[k] for k in known]) @ self.weights + self.bias)
