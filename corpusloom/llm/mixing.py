@@ -4,7 +4,9 @@ Targets: sources weigh 5, 2, 1, repeating, in code point order; together they ta
 more than ``repeat`` times its own (the excess goes to the others by weight). Slot j of the schedule is the van der
 Corput point of j, looked up in the cumulative targets; the k-th slot of a source takes its k-th block. A source's
 documents are laid end to end in an order shuffled by a hash and cut into blocks of equal word count; after
-its last block the source starts again.
+its last block the source starts again. A source whose target is under ``LEAST_SLOTS`` blocks has finer blocks, a
+schedule at their pace in the same stretch, and ends at its target to the word; so small sources meet their targets
+beside sources of any size.
 
 Defined cases: a null source is a source of its own and comes last; null text has size 0; documents without words
 are taken 0 times; rows that share a doc_id are documents of their own; an empty table gives no rows; other
@@ -22,6 +24,10 @@ from corpusloom.llm.common import WORD, stored
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A schedule has at least about so many slots, and blocks have at most so many words.
 SLOTS, BLOCK_WORDS = 65_536, 4096
+#: A source with fewer slots than this is cut into finer blocks, about so many for its target.
+LEAST_SLOTS = 512
+#: Hits sought beyond a fine schedule's end: more than the points of an interval ever fall short (about log2 of 2^48).
+SPARE_HITS = 64
 #: Bits of a slot number that the bit reversal covers.
 SLOT_BITS = 48
 HASH_BITS = 60
@@ -86,14 +92,19 @@ def row_of_text() -> Column:
     return F.xxhash64("doc_id", "text").alias("_row")
 
 
+def stretches(targets: DataFrame) -> DataFrame:
+    """``targets`` with the stretch [lo, hi) of the cumulative targets that each source has; the last one is open."""
+    order = W.orderBy(F.col("source").asc_nulls_last())
+    upto, every = F.sum("target").over(order.rowsBetween(W.unboundedPreceding, 0)), F.sum("target").over(W.partitionBy())
+    cum = targets.withColumn("hi", F.try_divide(upto, every))
+    return cum.withColumn("lo", F.lag("hi", 1, 0.0).over(order)).withColumn("last", F.lead("hi").over(order).isNull())
+
+
 def schedule(targets: DataFrame, block: int, n_slots: int) -> DataFrame:
     """(slot, source, turn): the source whose stretch of the cumulative targets holds the slot's point, and the
     slot's number among that source's slots. Stretches are cut at a grid of cells, so the lookup is an equi-join."""
     spark = targets.sparkSession
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    upto, every = F.sum("target").over(order.rowsBetween(W.unboundedPreceding, 0)), F.sum("target").over(W.partitionBy())
-    cum = targets.withColumn("hi", F.try_divide(upto, every))
-    cum = cum.withColumn("lo", F.lag("hi", 1, 0.0).over(order)).withColumn("last", F.lead("hi").over(order).isNull())
+    cum = stretches(targets)
     cells = 1024
     cut = cum.select(
         "source", "lo", F.when(F.col("last"), 2.0).otherwise(F.col("hi")).alias("hi"),
@@ -106,6 +117,30 @@ def schedule(targets: DataFrame, block: int, n_slots: int) -> DataFrame:
     return ranked(chunked, "source", "chunk", [F.col("slot")], F.lit(1), "turn").drop("chunk")
 
 
+def fine_schedule(targets: DataFrame, total: float, block: int, n_slots: int) -> DataFrame:
+    """(slot, source, turn) of the sources that have an exact number of ``words`` to give, in blocks of ``grain`` words.
+
+    Their points are those of a schedule with blocks of that grain. Points with the same leading bits have numbers
+    that agree in the mirrored last bits, so a source's points are listed from the few cells of at most half its
+    stretch's width, without the points between. Points go on behind the end of the schedule until the target is
+    reached, and count to the last slot there.
+    """
+    fine = stretches(targets).filter(F.col("words").isNotNull() & (F.col("hi") > F.col("lo")))
+    bits = F.least(F.lit(SLOT_BITS - 1), F.ceil(-F.log2(F.col("hi") - F.col("lo"))) + 1).cast("int")
+    fine = fine.withColumn("bits", bits).withColumn("width", F.pow(F.lit(2.0), "bits").cast("bigint"))
+    fine = fine.withColumn(
+        "cell", F.explode(F.sequence(F.floor(F.col("lo") * F.col("width")), F.least(F.floor(F.col("hi") * F.col("width")), F.col("width") - 1)))
+    )
+    first = F.conv(F.reverse(F.expr("lpad(bin(cell), bits, '0')")), 2, 10).cast("bigint")
+    rounds = F.ceil(F.lit(float(total)) / F.col("grain") / F.col("width")) + SPARE_HITS
+    fine = fine.withColumn("first", first).withColumn("round", F.explode(F.sequence(F.lit(0).cast("bigint"), rounds)))
+    fine = fine.withColumn("point", F.col("first") + F.col("round") * F.col("width"))
+    hit = fine.withColumn("u", van_der_corput(F.col("point"))).filter("u >= lo and (u < hi or last)")
+    slot = F.least(F.lit(n_slots - 1), F.floor(F.col("point") * F.col("grain") / F.lit(block))).cast("bigint")
+    turn = (F.row_number().over(W.partitionBy("source").orderBy("point")) - 1).cast("bigint")
+    return hit.select(slot.alias("slot"), "source", turn.alias("turn"))
+
+
 def mix(
     docs: DataFrame, share: float = 1.5, repeat: int = 2, weights: tuple[float, ...] = WEIGHTS, block_words: int | None = None, seed: int = 17
 ) -> DataFrame:
@@ -122,26 +157,39 @@ def mix(
     targets = stored(targets, "mix-targets")
     total, n_docs = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0], rows.count()
     block = block_words or int(min(BLOCK_WORDS, max(1, total // SLOTS)))
-    slots = schedule(targets, block, int(-(-total // block)))
+    n_slots = int(-(-total // block))
+    few = F.col("target") < LEAST_SLOTS * block
+    targets = targets.withColumn("grain", F.when(few, F.greatest(F.lit(1), F.floor(F.col("target") / LEAST_SLOTS))).otherwise(block).cast("bigint"))
+    targets = targets.withColumn("words", F.when(few, F.round("target").cast("bigint")))
+    slots = schedule(targets, block, n_slots).withColumn("_fine", F.lit(False)).unionByName(
+        fine_schedule(targets, total, block, n_slots).withColumn("_fine", F.lit(True))
+    )
     bits = max(0, (n_docs // GROUP).bit_length())
     chunk = F.shiftright("_hash", HASH_BITS - bits) if bits else F.lit(0).cast("bigint")
     laid = ranked(rows.withColumn("_chunk_no", chunk), "source", "_chunk_no", [F.col("_hash"), F.col("doc_id")], F.col("size"), "_from").drop("_chunk_no")
-    by_source = targets.select(F.col("source").alias("_source"), "source_size", "target")
-    laid = laid.join(by_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    blocks_of = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_from") + F.col("size") - 1) / block)))
+    by_source = targets.select(F.col("source").alias("_source"), "source_size", "target", "grain", "words")
+    laid = laid.join(by_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "words")
+    blocks_of = F.when(
+        F.col("size") > 0, F.sequence(F.floor(F.col("_from") / F.col("grain")), F.floor((F.col("_from") + F.col("size") - 1) / F.col("grain")))
+    )
     parts = laid.withColumn("_block", F.explode_outer(blocks_of))
-    taken = slots.join(by_source, F.col("source").eqNullSafe(F.col("_source"))).select(
-        "_source", "slot", "turn", F.ceil(F.col("source_size") / block).alias("_blocks")
+    taken = slots.join(by_source, F.col("source").eqNullSafe(F.col("_source"))).filter(F.col("_fine") == F.col("words").isNotNull())
+    taken = taken.select(
+        "_source", "slot", "turn", "source_size", "words", "grain", F.ceil(F.col("source_size") / F.col("grain")).alias("_blocks")
     ).filter("_blocks > 0")
     taken = taken.select(
-        "_source", "slot", "turn", F.floor(F.col("turn") / F.col("_blocks")).alias("pass"), (F.col("turn") % F.col("_blocks")).alias("_no")
+        "_source", "slot", "turn", "grain", F.floor(F.col("turn") / F.col("_blocks")).alias("pass"), (F.col("turn") % F.col("_blocks")).alias("_no"),
+        (F.col("words") - F.floor(F.col("turn") / F.col("_blocks")) * F.col("source_size")).alias("_upto"),
     ).filter(F.col("pass") < repeat)
+    taken = taken.filter(F.col("_upto").isNull() | (F.col("_no") * F.col("grain") < F.col("_upto"))).drop("grain")
     joined = parts.join(taken, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_no")), "left")
-    start = F.greatest(F.lit(0), F.col("_block") * block - F.col("_from"))
-    end = F.least(F.col("size"), (F.col("_block") + 1) * block - F.col("_from"))
+    start = F.greatest(F.lit(0), F.col("_block") * F.col("grain") - F.col("_from"))
+    end = F.least(F.col("size"), (F.col("_block") + 1) * F.col("grain") - F.col("_from"), F.col("_upto") - F.col("_from"))
+    used = F.col("slot").isNotNull() & (end > start)
     return joined.select(
-        "row_id", "doc_id", "source", "_row", "size", "source_size", "target", "slot", "turn", "pass",
-        F.when(F.col("slot").isNotNull(), start).alias("word_from"), F.when(F.col("slot").isNotNull(), end).alias("word_to"),
+        "row_id", "doc_id", "source", "_row", "size", "source_size", "target",
+        *[F.when(used, F.col(c)).alias(c) for c in ("slot", "turn", "pass")],
+        F.when(used, start).alias("word_from"), F.when(used, end).alias("word_to"),
     )
 
 

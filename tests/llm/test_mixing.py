@@ -3,6 +3,8 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from corpusloom.llm import mixing
 from tests.llm import cases
 
@@ -82,6 +84,25 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert got == {k: v for k, v in size.items() if v}
 
 
+def test_tiny_sources_beside_huge_ones_meet_their_targets(spark):
+    # Documents of 5,000 words, long enough together for blocks of hundreds of words.
+    long = F.array_join(F.array_repeat(F.lit("w"), 5000), " ")
+    small = [("a", 1), ("b", 7), ("c", 100), ("d", 300), ("e", 500), ("f", 1000), ("g", 2000), ("h", 6000), ("i", 20_000), (None, 4500)]
+    huge = spark.range(3000).select(F.col("id").alias("doc_id"), long.alias("text"), F.when(F.col("id") < 2000, "x").otherwise("y").alias("source"))
+    tiny = [(10_000 + 100 * k + part, " ".join(["w"] * (n // 2 + n % 2 if part else n // 2)), s) for k, (s, n) in enumerate(small) for part in (0, 1)]
+    docs = huge.unionByName(spark.createDataFrame(tiny, "doc_id bigint, text string, source string"))
+    parts = mixing.mix(docs).cache()
+    taken = {r["source"]: (r["taken"], r["target"]) for r in mixing.mixed_sizes(parts).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    assert taken.keys() == {"x", "y", *(s for s, _ in small)}
+    for source, (got, target) in taken.items():
+        assert abs(got - target) <= 0.01 * target + 0.5, source
+    for source, n in small:
+        slots = [r["slot"] for r in parts.filter(F.col("source").eqNullSafe(F.lit(source)) & F.col("slot").isNotNull()).select("slot").collect()]
+        if n >= 300:
+            # Spread over the whole schedule (of about 65,536 slots), not bunched.
+            assert abs(sum(slots) / len(slots) / 65_536 - 0.5) < 0.1, source
+
+
 def test_empty_tables(spark):
     assert mixing.mixed_sizes(mixing.mix(cases.empty(spark))).count() == 0
     nothing = cases.documents(spark, [(1, None, None, "s", None) + ("x",) * len(cases.CLASHES)])
