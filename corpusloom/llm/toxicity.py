@@ -5,7 +5,8 @@ other. Four weighted transducers rewrite a clause's classes: negation and report
 reach, target turns insults near a person into aimed ones, threat keeps a threat only if its target follows. Their
 composition is one transducer; the best path through it labels the clause. A document is the weights of its
 labelled insults summed by label; logistic regression on these sums gives the score. So a word counts by the
-clause it stands in, as far as the labels bear that out.
+clause it stands in, as far as the labels bear that out. The rows of the sample are weighted by how many labelled
+rows of their kind they stand for, so the score means the same at every table size.
 
 Defined cases: null, empty and unmatched texts get the score of a text without any match; documents without label
 or with a null label teach nothing, repeated labels count as toxic if any says so; without labels of both kinds
@@ -274,6 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.select("doc_id", "toxic").filter(
         F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))
     ).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    counted = known.agg(*[F.count(F.when(F.col("toxic") == kind, 1)).alias(str(kind)) for kind in (1, 0)]).first()
     few = [
         known.filter(F.col("toxic") == kind).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(n).drop("h")
         for kind, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))
@@ -299,10 +301,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     found = rows.select("doc_id", "toxic", "text").mapInPandas(featured, "doc_id bigint, toxic int, x array<double>").orderBy("doc_id").collect()
     x = np.array([[1.0, *r["x"]] for r in found])
     y = np.array([r["toxic"] for r in found], dtype=float)
+    # A row stands for all labelled rows of its kind, so that the share of toxic ones is the whole table's.
+    stands = np.where(y == 1, max(1.0, counted["1"] / TOXIC_ROWS), max(1.0, counted["0"] / CLEAN_ROWS))
+    stands *= len(stands) / stands.sum()
     w, ridge = np.zeros(x.shape[1]), np.diag([1e-3] + [0.05] * (x.shape[1] - 1))
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (stands * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (stands * (y - p)) - ridge @ w)
         w += step
         if abs(step).max() < 1e-6:
             break

@@ -81,6 +81,27 @@ def test_toxicity_weighs_the_clause(spark):
     assert model.score(None) == model.score("") == model.score("nothing here") < 0.5
 
 
+def test_toxicity_of_a_table_copied_many_times(spark):
+    # 5 % toxic; a weak word stands in 40 toxic and 57 clean texts. The copies exceed both limits of the sample.
+    rng = random.Random(2)
+    calm = "the weather over some hills was fine and calm while boats went along green shores without any hurry".split()
+    texts = []
+    for k in range(1000):
+        words = rng.choices(calm, k=20) + [f"z{''.join(rng.choices('abcdefghij', k=6))}", "grumpish", f"z{''.join(rng.choices('abcdefghij', k=6))}"]
+        texts.append(" ".join(words if k < 40 or 50 <= k < 107 else words[:20]))
+    docs = cases.plain(spark, texts).select("doc_id", "text").cache()
+    labels = spark.createDataFrame([(k, int(k < 50)) for k in range(len(texts))], "doc_id bigint, toxic int").cache()
+    copies = spark.range(120).select((F.col("id") * 10_000).alias("base"))
+    many = [df.crossJoin(copies).withColumn("doc_id", F.col("doc_id") + F.col("base")).drop("base") for df in (docs, labels)]
+    train = many[1].filter(~held_out(F.col("doc_id")))
+    assert train.filter("toxic = 1").count() > toxicity.TOXIC_ROWS and train.filter("toxic = 0").count() > toxicity.CLEAN_ROWS
+    once, often = toxicity.fit(docs, labels), toxicity.fit(*many)
+    assert once.stems and 0.3 < once.score(texts[0]) < 0.5
+    for text in texts[::7] + texts[:110]:
+        assert abs(once.score(text) - often.score(text)) < 0.08
+        assert (once.score(text) >= 0.5) == (often.score(text) >= 0.5)
+
+
 def test_toxicity_defined_cases(spark):
     docs = cases.documents(spark)
     labels = spark.createDataFrame([(k, k % 3 == 0 and 1 or None) for k in range(20)] + [(None, 1)], "doc_id bigint, toxic int")
