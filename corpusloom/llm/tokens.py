@@ -3,7 +3,8 @@
 The library's merges stay inside the pieces that its pre-tokenizer makes, and neither tokenizer makes a piece that
 reaches over the start of a word (with its leading blank). So a text is cut there, each distinct cut is encoded by
 the library, and frequent cuts are remembered. A text with characters that the library may class otherwise than
-Python is encoded whole.
+Python is encoded whole, and so is one that holds the string of an added token, such as ``<|endoftext|>``: the ids
+are those of the library with ``add_special_tokens=False``, which gives such a string the added token's id.
 """
 
 from __future__ import annotations
@@ -37,7 +38,6 @@ def library(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     tokenizer.no_truncation()
     tokenizer.no_padding()
     return tokenizer
@@ -60,13 +60,15 @@ class Encoder:
     """ids(text) gives the ids as little-endian unsigned 32-bit integers.
 
     ``words``: for the tokenizer that drops white space and case, whose cuts are words; else the byte-level one,
-    where a word keeps its leading blank. Strings of special tokens in a text are ordinary text.
+    where a word keeps its leading blank.
     """
 
     def __init__(self, path: str, words: bool, cuts: int = MEMO_CUTS, pieces: int = MEMO_PIECES):
         self.tokenizer = library(path)
         self.model = self.tokenizer.model
         self.words = words
+        # In lower case, since an added token may be sought in the normalised text.
+        self.added = [token.content.lower() for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.shown = Memo(lambda c: c.encode().decode("latin-1").translate(BYTE_CHARS), 10_000)
         self.pieces = Memo(self.piece, pieces)
         self.plain = Memo(self.cut, cuts)
@@ -88,7 +90,8 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, found))
 
     def ids(self, text: str) -> bytes:
-        if ODD.search(text):
+        low = text.lower()
+        if ODD.search(text) or any(token in low for token in self.added):
             return self.whole(text)
         plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
         if self.words:

@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from corpusloom.llm import packing, token_files
 from corpusloom.llm.queries import tokenizer_file
@@ -27,6 +28,15 @@ def test_cuts_give_the_ids_of_the_whole_text(text):
         assert encoder.ids(text) == encoder.whole(text)
 
 
+def test_ids_are_those_of_the_file_with_added_tokens_in_the_text():
+    texts = ["plain words", "<|endoftext|>", "one <|endoftext|> two", "a<|startoftext|>b <|endoftext|>", "A <|STARTOFTEXT|>\nb  <|EndOfText|> ", "<|endoftext|", "x\n<|endoftext|>\n\n<|startoftext|> y"]
+    for path, encoder in zip((BYTES, WORDS), ENCODERS, strict=True):
+        fresh = Tokenizer.from_file(path)
+        for text in texts:
+            assert list(array("I", encoder.ids(text))) == fresh.encode(text, add_special_tokens=False).ids, text
+    assert 50256 in array("I", ENCODERS[0].ids("one <|endoftext|> two"))
+
+
 def test_token_files_round_trip(spark):
     docs = cases.documents(spark)
     folder = scratch_path(spark, "token-files")
