@@ -13,14 +13,15 @@ from corpusloom.llm import langid, mixing, simhash, substrings
 from corpusloom.llm.common import stored, table
 from corpusloom.llm.queries import packed
 
-#: Below this score no language stands out (with four languages, one in four is no information).
-LEAST_SCORE = 0.3
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or where no language stands out, go."""
-    found = langid.identify(docs, langid.fit(docs))
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents without letters go. The score is not asked: it is shared out over all learned languages, so what it
+    means depends on their number. Where no language could be learned, all documents stay."""
+    model = langid.fit(docs)
+    if not model.languages:
+        return docs
+    found = langid.identify(docs, model)
+    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,6 +59,15 @@ def test_awkward_documents_pass_through(spark):
         assert empty.count() == 0
 
 
+def test_language_keeps_documents_whatever_the_number_of_languages(spark):
+    nothing = cases.plain(spark, ["one two three", "vier", "12 !"], lang=None)
+    assert corpus_pipeline.language(spark, nothing, "").count() == 3
+    # Forty languages that share their words: none stands out.
+    some = [(k, "pa re mi to", f"l{k % 40}", "s", 11) + ("x",) * len(cases.CLASHES) for k in range(400)]
+    docs = cases.documents(spark, [*some, (400, "12 !", "l0", "s", 4) + ("x",) * len(cases.CLASHES)])
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").select("doc_id").collect()} == set(range(400))
+
+
 def test_every_dealt_operator_is_registered():
     import __spark_entry__ as entry
 
