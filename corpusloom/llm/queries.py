@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import langid, mixing, packing, rangejoin, sharding, simhash, substrings, token_files, toxicity, vptree
+from corpusloom.llm import alignment, langid, mining, mixing, packing, rangejoin, sanitising, sharding, simhash, substrings, token_files, toxicity, vptree
 from corpusloom.llm import sql as duckdb_sql
 from corpusloom.llm.common import held_out, require, stored, table
 from corpusloom.runtime import scratch_path
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Fitted models, tokenizers and XXH64 are not expressible in SQL; op5's scores differ in their last bits.
 ORACLES: dict[str, str] = {
     "op4_mixing": duckdb_sql.MIXING, "op6_substrings": duckdb_sql.SUBSTRINGS, "op8_rangejoin": duckdb_sql.RANGE_JOIN,
+    "op11_mining": duckdb_sql.HARD_NEGATIVES,
 }
 
 
@@ -98,3 +99,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_file("byte_bpe_50k.json"))
     return token_files.digests(token_files.read_token_files(spark, folder))
+
+
+@query
+def op11_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    return mining.hard_negatives(table(spark, sf_dir, "embeddings"), vec_id % 100 == 0, F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query
+def op13_sanitising(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitising.digests(sanitising.personal_data(table(spark, sf_dir, "documents")))
