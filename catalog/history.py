@@ -195,27 +195,18 @@ CONTEXT_SQL = """
     WITH tf AS (SELECT DISTINCT f.repo, f.path, d.ts, d.hash FROM v_commit_files f JOIN v_decisions d ON d.hash = f.hash),
     pf AS (SELECT repo, file_a AS path, merged_at, number FROM v_prs WHERE merged_at IS NOT NULL UNION SELECT repo, file_b, merged_at, number FROM v_prs WHERE merged_at IS NOT NULL),
     c AS (SELECT tf.repo, tf.hash, pf.number, pf.merged_at, count(DISTINCT tf.path) AS n FROM tf JOIN pf ON pf.repo = tf.repo AND pf.path = tf.path
-      AND pf.merged_at >= tf.ts AND pf.merged_at < tf.ts + INTERVAL 90 DAY GROUP BY ALL),
+      AND pf.merged_at >= tf.ts GROUP BY ALL),
     b AS (SELECT repo, hash, number, n FROM (SELECT *, row_number() OVER (PARTITION BY repo, hash ORDER BY n DESC, merged_at, number) AS rn FROM c) WHERE rn = 1)
     SELECT d.repo, d.hash, d.reason, b.number AS pr, b.n AS overlap, p.title AS pr_title, p.label_a || ',' || p.label_b AS labels, p.number // 100 + 1000 AS issue, i.title AS issue_title
     FROM v_decisions d LEFT JOIN b ON b.hash = d.hash LEFT JOIN v_prs p ON p.number = b.number LEFT JOIN v_issues i ON i.number = p.number // 100 + 1000"""
 
 
-def context(t):
+@query("j20_decision_requests", CONTEXT_SQL)
+def _(t):
     return H.decision_context(H.decisions(t.commits), t.commit_files, t.prs_full, t.issues).select(
         "repo", "hash", "reason", "pr", "overlap", "pr_title", "labels", "issue", "issue_title")
 
 
-@query("j20_decision_context", CONTEXT_SQL)
-def _(t):
-    return context(t)
-
-
-@query("j20_decision_context_hot", CONTEXT_SQL)
-def _(t):
-    return context(t)
-
-
 @query("c5_decision_records", "SELECT repo, decision_group, count(*) AS commits, min(ts) AS first_ts FROM v_groups GROUP BY repo, decision_group")
 def _(t):
     return verbs.decision_records(t.commits, t.commit_files, t.prs_full).select("repo", "decision_group", "commits", "first_ts")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import claims as CL
 from corpusloom.functions import text as T
 from corpusloom.operators.filters import non_merge
+from corpusloom.operators.overlap import HOT_PAIRS, most_shared
 from corpusloom.runtime import cut_lineage, ordered_lag, ordered_sum, top_per_group
 
 
@@ -163,24 +164,22 @@ def number_decisions(groups: DataFrame) -> DataFrame:
     )
 
 
+def decision_requests(decided: DataFrame, commit_files: DataFrame, prs: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """(repo, hash, next_pr, overlap): of the requests merged at or after a commit, the one that shares most files with it;
+    of equals the one merged first, then the smallest number. No span of time bounds the search."""
+    touched = commit_files.join(decided.select("repo", "hash", "ts"), ["repo", "hash"]).select(
+        F.col("repo").alias("grp"), F.col("hash").alias("id"), F.col("ts").alias("at"), F.col("path").alias("member"))
+    offered = prs.filter(F.col("merged_at").isNotNull()).select(
+        F.col("repo").alias("grp"), "number", F.col("merged_at").alias("at"), F.explode("files").alias("member"))
+    best = most_shared(touched, offered, hot_pairs)
+    return best.select(F.col("grp").alias("repo"), F.col("id").alias("hash"), F.col("number").alias("next_pr"), "overlap")
+
+
 def decision_context(
-    decided: DataFrame, commit_files: DataFrame, prs: DataFrame, issues: DataFrame | None = None, span_days: int = 90
+    decided: DataFrame, commit_files: DataFrame, prs: DataFrame, issues: DataFrame | None = None, hot_pairs: int = HOT_PAIRS
 ) -> DataFrame:
-    """The pull request behind each decision, with its labels and the issue it names.
-
-    Of the requests merged at or within ``span_days`` after a commit, the one that shares most files with it; of equals
-    the one merged first, then the smallest number. Files meet by path and stretch of time, so a file that everybody
-    touches joins only what was merged near each commit; overlaps are counted map-side first.
-    """
-    stretch = lambda ts: F.floor(F.unix_timestamp(ts) / (span_days * 86_400))
-    touched = commit_files.join(decided.select("repo", "hash", "ts"), ["repo", "hash"]).select("repo", "path", "ts", "hash").distinct()
-    near = touched.withColumn("_s", F.explode(F.array(stretch("ts"), stretch("ts") + 1)))
-    merged = prs.filter(F.col("merged_at").isNotNull()).select(
-        "repo", F.explode(F.array_distinct("files")).alias("path"), "merged_at", F.col("number").alias("next_pr")).withColumn("_s", stretch("merged_at"))
-    both = near.join(merged, ["repo", "path", "_s"]).filter(
-        (F.col("merged_at") >= F.col("ts")) & (F.col("merged_at") < F.col("ts") + F.make_interval(days=F.lit(span_days))))
-    votes = both.groupBy("repo", "hash", "next_pr", "merged_at").agg(F.count("*").alias("overlap"))
-    best = top_per_group(votes, ["repo", "hash"], [F.desc("overlap"), F.col("merged_at"), F.col("next_pr")], 1).drop("merged_at")
+    """The pull request behind each decision, with its labels and the issue it names."""
+    best = decision_requests(decided, commit_files, prs, hot_pairs)
     context = prs.select(
         "repo", F.col("number").alias("next_pr"), "title", F.array_join("labels", ",").alias("labels"),
         F.regexp_extract(F.col("body"), r"(?i)(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?) #([0-9]+)", 1).try_cast("bigint").alias("issue"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import Window as W
@@ -133,6 +134,37 @@ def test_decision_context_takes_the_next_merged_request(spark):
     assert rows == {"h1": (2, 2, "bug,core", "slow"), "h2": (None, None, None, None)}
 
 
+@pytest.mark.parametrize("hot_pairs", [1 << 20, 40, 0])
+def test_requests_by_overlap_agree_with_a_plain_count(spark, hot_pairs):
+    rng = random.Random(hot_pairs)
+    day = lambda n: DAY + dt.timedelta(days=n, hours=rng.randrange(3))
+    # Every commit and request touches "all"; three in four touch one of few common files.
+    paths = lambda: {"all"} | {f"c{rng.randrange(4)}" for _ in range(rng.randrange(3))} | {f"p{rng.randrange(30)}" for _ in range(rng.randrange(3))}
+    commits = [("r" + str(k % 2), f"h{k}", day(rng.randrange(400)), paths()) for k in range(120)]
+    prs = [("r" + str(k % 2), k, None if k % 9 == 0 else day(rng.randrange(400)), paths()) for k in range(60)]
+    decided = spark.createDataFrame([c[:3] for c in commits], "repo string, hash string, ts timestamp")
+    files = spark.createDataFrame([(r, h, p) for r, h, _, some in commits for p in some], "repo string, hash string, path string")
+    offered = spark.createDataFrame([(r, n, at, sorted(some) * 2) for r, n, at, some in prs], "repo string, number bigint, merged_at timestamp, files array<string>")
+    want = {}
+    for r, h, ts, some in commits:
+        votes = [(-len(some & own), at, n) for repo, n, at, own in prs if repo == r and at is not None and at >= ts]
+        if votes:
+            want[h] = (min(votes)[2], -min(votes)[0])
+    got = H.decision_requests(decided, files, offered, hot_pairs).collect()
+    assert len(got) == len(want) > 90
+    assert {x["hash"]: (x["next_pr"], x["overlap"]) for x in got} == want
+    assert max((x["overlap"] for x in got)) >= 3
+
+
+def test_a_file_in_every_commit_makes_no_pairs(spark):
+    n = 20_000  # 2 * 10^8 pairs, were they made
+    when = "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, id)"
+    decided = spark.range(n).selectExpr("'r' AS repo", "'h' || id AS hash", f"{when} AS ts")
+    prs = spark.range(n).selectExpr("'r' AS repo", "id AS number", f"{when} AS merged_at", "array('all') AS files")
+    found = H.decision_requests(decided, decided.select("repo", "hash", F.lit("all").alias("path")), prs, 1000)
+    assert tuple(found.agg(F.count("*"), F.count_if(F.expr("next_pr = CAST(substring(hash, 2) AS bigint) AND overlap = 1"))).first()) == (n, n)
+
+
 def test_versions_sort_by_number(spark):
     tags = spark.createDataFrame([("r", t, DAY) for t in ("v1.9.0", "v1.10.0", "v2.0.0", "v1.10.0-rc1")], "repo string, tag string, ts timestamp")
     assert [r["tag"] for r in H.tags_by_version(tags).orderBy("position").collect()] == ["v2.0.0", "v1.10.0-rc1", "v1.10.0", "v1.9.0"]
