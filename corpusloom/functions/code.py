@@ -100,32 +100,8 @@ def export_name(line: Column) -> Column:
     return F.coalesce(F.nullif(js, blank), F.nullif(module, blank), F.nullif(other, blank))
 
 
-def import_targets(path: Column, content: Column) -> Column:
-    """Modules that a file's imports name, in any layout: several lines, lists, blocks, re-exports, dynamic imports."""
-    every = lambda pattern, group=1: F.regexp_extract_all(content, F.lit(pattern), F.lit(group))
-    js = F.concat(
-        every(r"""\b(?:require|import)\(\s*['"]([^'"]+)['"]\s*\)"""),
-        every(r"""(?m)(?:^|;)\s*(?:import|export)\b[^;'"()]*?\bfrom\s*['"]([^'"]+)['"]"""),
-        every(r"""(?m)(?:^|;)\s*import\s*['"]([^'"]+)['"]"""),
-    )
-    lists = F.flatten(F.transform(every(r"(?m)^\s*import\s+([^\n#;]+)"), lambda names: F.split(names, ",")))
-    py = F.concat(
-        every(r"(?m)^\s*from\s+([A-Za-z0-9_.]+)\s+import\b"),
-        F.transform(lists, lambda name: F.regexp_extract(name, r"^\s*([A-Za-z0-9_.]+)", 1)),
-    )
-    blocks = F.array_join(every(r"(?m)^\s*import\s*\(([^)]*)\)"), "\n")
-    go = F.concat(
-        every(r"""(?m)^\s*import\s+(?:[A-Za-z0-9_.]+\s+)?"([^"\n]+)\""""),
-        F.regexp_extract_all(blocks, F.lit(r"""(?m)^\s*(?:[A-Za-z0-9_.]+\s+)?"([^"\n]+)\""""), F.lit(1)),
-    )
-    rust = every(r"(?m)^\s*(?:pub(?:\([^)\n]*\))?\s+)?use\s+([A-Za-z0-9_:]+)")
-    family = language_family(path)
-    found = F.when(family == "js", js).when(family == "python", py).when(family == "go", go).when(family == "rust", rust)
-    return F.array_distinct(F.filter(found, lambda x: x != ""))
-
-
 # Texts of which one must occur in any import line, by language family.
-IMPORT_NEEDLES = {"js": ["require(", "import", "export"], "python": ["import"], "go": ["import"], "rust": ["use "]}
+IMPORT_NEEDLES = {"js": ["require(", "import", "export"], "python": ["import"], "go": ["import"], "rust": ["use ", "mod ", "crate "]}
 
 
 def is_internal_import(target: Column) -> Column:

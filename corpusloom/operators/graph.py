@@ -7,32 +7,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import code as C
 from corpusloom.functions import text as T
+from corpusloom.operators.modules import resolved_imports
 from corpusloom.runtime import top_per_group
 
-JS_SUFFIX = r"\.(js|jsx|ts|tsx|mjs|cjs)$"
-
-
-def normal_path(path: Column) -> Column:
-    """A path without ``.`` and ``..`` parts."""
-    step = lambda acc, part: (
-        F.when(part.isin("", "."), acc).when(part == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .otherwise(F.concat(acc, F.array(part)))
-    )
-    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
-
-
-def module_key(path: Column) -> Column:
-    """What an import of a script file names: no suffix, and a directory for its index file."""
-    return F.regexp_replace(F.regexp_replace(path, JS_SUFFIX, ""), r"/index$", "")
-
-
 def imports(files: DataFrame) -> DataFrame:
-    """Import edges (repo, src, dst, is_internal); relative imports are resolved to files where they exist."""
-    family = C.language_family(F.col("path"))
-    marked = files.select("repo", F.col("path").alias("src"), "content", family.alias("family")).filter(
-        "family is not null").filter(import_candidate(F.col("content")))
-    edges = marked.select("repo", "src", F.explode(C.import_targets(F.col("src"), F.col("content"))).alias("target"))
-    return resolve_imports(edges, files)
+    """Import edges (repo, src, dst, is_internal); imports that mean a file of the repo end in it."""
+    return resolved_imports(files, import_candidate(F.col("content")))
 
 
 def import_candidate(text: Column) -> Column:
@@ -43,30 +23,6 @@ def import_candidate(text: Column) -> Column:
     return rule
 
 
-def python_key(src: Column, target: Column) -> Column:
-    """The path, without suffix, that a Python import names from a file."""
-    dots = F.length(F.regexp_extract(target, r"^(\.*)", 1))
-    rest = F.translate(target.substr(dots + 1, F.length(target)), ".", "/")
-    return normal_path(F.when(dots > 0, F.concat_ws("/", T.dirname(src), F.repeat(F.lit("../"), dots - 1), rest)).otherwise(rest))
-
-
-def resolve_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Targets become files of the repo where there are such; script and Python modules are looked up by their key."""
-    family = C.language_family(F.col("src"))
-    joined = F.concat_ws("/", T.dirname(F.col("src")), F.col("target"))
-    key = F.when((family == "js") & F.col("target").startswith("."), F.concat(F.lit("js:"), module_key(normal_path(joined)))).when(
-        family == "python", F.concat(F.lit("py:"), python_key(F.col("src"), F.col("target"))))
-    # Targets that are no file get a key of their own: they match nothing and do not gather in one partition.
-    keyed = edges.withColumn("key", F.coalesce(key, F.concat(F.lit("\u0000"), "src", "target")))
-    path = F.col("path")
-    own = F.when(path.rlike(JS_SUFFIX), F.concat(F.lit("js:"), module_key(path))).when(
-        path.endswith(".py"), F.concat(F.lit("py:"), F.regexp_replace(path, r"(/__init__)?\.py$", "")))
-    modules = files.select("repo", "path", own.alias("key")).filter("key is not null").groupBy("repo", "key").agg(F.min("path").alias("file"))
-    return keyed.join(modules, ["repo", "key"], "left").select(
-        "repo", "src", F.coalesce("file", "target").alias("dst"), C.is_internal_import(F.col("target")).alias("is_internal")
-    ).distinct()
-
-
 def module_graph(edges: DataFrame) -> DataFrame:
     """Nodes with the number of modules they import and are imported by. The lists themselves stay edge rows."""
     out = edges.select("repo", F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"))

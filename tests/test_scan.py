@@ -134,6 +134,36 @@ def test_import_forms(spark):
     }
 
 
+def test_imports_of_all_languages_end_in_files(spark):
+    rows = [
+        ("r", "Cargo.toml", '[package]\nversion = "1"\nname = "my-app"\n'), ("r", "tool/Cargo.toml", '[package]\nname = "tool"\n[dependencies]\nname = "x"\n'),
+        ("r", "src/lib.rs", "pub mod child;\nmod inline { }\nextern crate serde;\nuse std::{fs, io::{self, Read as R}};\n"),
+        ("r", "src/child.rs", "mod deep;\nuse super::other::*;\npub use super::x::*;\nuse self::deep::{Thing, // all\n  more::Stuff};\nuse tool::run;\n"),
+        ("r", "src/child/deep.rs", "use super::super::other::Item;\nuse crate::{child::{self}, inline::Y};\nuse r#gen::z;\n"), ("r", "src/other/mod.rs", "use my_app::child;\n"),
+        ("r", "tool/src/main.rs", "fn main() {}\n"),
+        ("r", "app/pkg/__init__.py", ""), ("r", "app/pkg/sib.py", ""), ("r", "app/pkg/json.py", ""), ("r", "app/pkg/sub/__init__.py", ""), ("r", "lib/src/deps.py", ""), ("r", "app/top.py", ""),
+        ("r", "app/pkg/m.py", "from . import sib, other as o\nimport a, \\\n    top\nimport json\nfrom pkg.sub import (  # all\n  x, # one\n  y)\nfrom .. import z\nfrom .sib import *\n"),
+        ("r", "lib/run.py", "import deps\nfrom top import w\n"),
+        ("r", "svc/go.mod", "module example.com/svc\n\ngo 1.22\n"), ("r", "svc/api/a.go", 'package api\nimport "example.com/svc/store"\nimport "example.com/svc"\n'),
+        ("r", "svc/store/z_test.go", ""), ("r", "svc/store/b.go", ""), ("r", "svc/store/store.go", ""), ("r", "svc/main.go", 'package main\nimport (\n\tapi "example.com/svc/api"\n\t"example.com/other"\n)\n'),
+        ("r", "web/package.json", '{"name": "@x/web"}'), ("r", "web/src/index.ts", "const a = await import(`./lazy`);\nconst b = import(`./${name}`);\n"), ("r", "web/src/lazy.ts", ""),
+        ("r", "app.ts", "import w from '@x/web';\nimport l from '@x/web/lazy';\nimport n from '@x/none';\n"),
+        ("other", "app.ts", "import w from '@x/web';\n"),
+    ]
+    edges = {}
+    for r in G.imports(files_frame(spark, rows)).collect():
+        edges.setdefault((r["repo"], r["src"]), set()).add(r["dst"])
+    assert edges == {
+        ("r", "src/lib.rs"): {"src/child.rs", "serde", "std::fs", "std::io", "std::io::Read"},
+        ("r", "src/child.rs"): {"src/child/deep.rs", "src/other/mod.rs", "src/lib.rs", "tool/src/main.rs"},
+        ("r", "src/child/deep.rs"): {"src/other/mod.rs", "src/child.rs", "src/lib.rs", "gen::z"}, ("r", "src/other/mod.rs"): {"src/child.rs"},
+        ("r", "app/pkg/m.py"): {"app/pkg/sib.py", "app/pkg/__init__.py", "a", "app/top.py", "json", "app/pkg/sub/__init__.py", ".."},
+        ("r", "lib/run.py"): {"lib/src/deps.py", "top"},
+        ("r", "svc/api/a.go"): {"svc/store/store.go", "svc/main.go"}, ("r", "svc/main.go"): {"svc/api/a.go", "example.com/other"},
+        ("r", "web/src/index.ts"): {"web/src/lazy.ts"}, ("r", "app.ts"): {"web/src/index.ts", "web/src/lazy.ts", "@x/none"}, ("other", "app.ts"): {"@x/web"},
+    }
+
+
 def test_exports_by_assignment(spark):
     files = files_frame(spark, [("r", "a.js", "exports.login = f;\nmodule.exports = { check, other: g };\n"), ("r", "src/b.js", "export function run() {}\n")])
     assert {(r["path"], r["name"]) for r in SU.exported_names(files).collect()} == {("a.js", "login"), ("a.js", "check"), ("a.js", "other"), ("src/b.js", "run")}
