@@ -88,14 +88,14 @@ def _(t):
 
 @query("j3_compare_baseline", "SELECT repo, ref_path, state FROM v_compared")
 def _(t):
-    return SN.compare_baseline(t.refs, SN.path_hashes(t.files), t.baseline)
+    return SN.compare_baseline(t.refs, SN.path_hashes(t.files, t.refs), t.baseline)
 
 
 @query("a11_baseline_counts", """
     SELECT repo, count(*) AS total, count(*) FILTER (WHERE state = 'unchanged') AS unchanged, count(*) FILTER (WHERE state = 'changed') AS changed,
       count(*) FILTER (WHERE state = 'missing') AS missing, count(*) FILTER (WHERE state = 'new') AS new FROM v_compared GROUP BY repo""")
 def _(t):
-    return SN.baseline_counts(SN.compare_baseline(t.refs, SN.path_hashes(t.files), t.baseline))
+    return SN.baseline_counts(SN.compare_baseline(t.refs, SN.path_hashes(t.files, t.refs), t.baseline))
 
 
 ORPHANS = "SELECT DISTINCT CASE WHEN sha256 IN (SELECT sha256 FROM v_manifest) THEN 'kept' ELSE 'removed' END AS fate, sha256 FROM (SELECT sha256 FROM v_hashes UNION SELECT sha256 FROM v_baseline)"
@@ -113,7 +113,7 @@ def _(t):
     LEFT JOIN v_hashes h ON r.repo = h.repo AND r.path = h.path LEFT JOIN v_baseline2 b ON r.repo = b.repo AND r.path = b.ref_path""")
 def _(t):
     refs = SE.section_refs(SE.parse_sections(t.docs))
-    return SN.ref_changes(refs, SN.path_hashes(t.files), t.baseline2).select("repo", "doc", "section", "path", "changed")
+    return SN.ref_changes(refs, SN.path_hashes(t.files, refs), t.baseline2).select("repo", "doc", "section", "path", "changed")
 
 
 @query("j14_dir_hash", f"SELECT repo, path, n_files, sha256 FROM ({DIGEST_SQL}) WHERE path IN (SELECT regexp_replace(path, '/[^/]*$', '') FROM v_files)")
@@ -164,6 +164,19 @@ def _(t):
     return verbs.check(t.docs, t.files, t.baseline2)
 
 
+@query("c2_check_after_changes", "SELECT * FROM v_overall")
+def _(t):
+    """Every tenth file has changed and one is gone since the hash state was stored: only those are read."""
+    now = t.files.select("repo", "path", "content")
+    changed = F.col("doc_id") % 10 == 0
+    gone = t.files.select("repo", F.lit("src/gone.md").alias("path")).distinct()
+    then = t.files.select("repo", "path", F.when(changed, "as it was").otherwise(F.col("content")).alias("content"))
+    path = scratch_path(t.spark, "hash-state")
+    SN.hash_state(then.unionByName(gone.withColumn("content", F.lit("gone")))).write.parquet(path)
+    changes = t.files.filter(changed).select(*now.columns).unionByName(gone.withColumn("content", F.lit(None).cast("string")))
+    return verbs.check_after(t.docs, t.spark.read.parquet(path), changes, t.baseline2)
+
+
 @query("c2_check_no_baseline", """
     SELECT f.repo, CASE WHEN s.n IS NULL THEN 'no_docs' ELSE 'slightly-stale' END AS overall, coalesce(s.n, 0) AS total, CAST(0 AS BIGINT) AS current,
       coalesce(s.n, 0) AS possibly_stale, CAST(0 AS BIGINT) AS stale

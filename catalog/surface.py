@@ -178,6 +178,29 @@ def _(t):
     return G.imports(t.code)
 
 
+@query("f24_resolved_imports", "SELECT repo, src, dst, is_internal FROM v_unit_edges")
+def _(t):
+    return G.imports(t.unit_files)
+
+
+@query("j9_import_graph", """
+    SELECT repo, node, CAST(sum(o) AS BIGINT) AS imports, CAST(sum(i) AS BIGINT) AS imported_by FROM (
+      SELECT repo, src AS node, 1 AS o, 0 AS i FROM v_unit_edges UNION ALL SELECT repo, dst, 0, 1 FROM v_unit_edges) GROUP BY repo, node""")
+def _(t):
+    """The graph over files of four languages, fed by their imports."""
+    return G.module_graph(G.imports(t.unit_files))
+
+
+@query("c3_update_context", """
+    WITH c AS (SELECT repo, path FROM v_units WHERE doc_id % 15 = 0)
+    SELECT c.repo, 'code' AS section, c.path AS ref, 'imports' AS direction, e.dst AS other FROM c JOIN v_unit_edges e ON e.repo = c.repo AND e.src = c.path
+    UNION ALL SELECT c.repo, 'code', c.path, 'imported_by', e.src FROM c JOIN v_unit_edges e ON e.repo = c.repo AND e.dst = c.path""")
+def _(t):
+    """What stands around the changed files behind each section to regenerate."""
+    _, context = verbs.update_context(t.unit_docs, t.unit_files, t.unit_baseline)
+    return context.select("repo", "section", "ref", "direction", "other")
+
+
 @query("j9_module_graph", """
     SELECT repo, node, CAST(sum(o) AS BIGINT) AS imports, CAST(sum(i) AS BIGINT) AS imported_by FROM (
       SELECT repo, src AS node, 1 AS o, 0 AS i FROM v_imports UNION ALL SELECT repo, dst, 0, 1 FROM v_imports) GROUP BY repo, node""")

@@ -56,6 +56,27 @@ CODE_ES = (
     f"'pub fn name' || doc_id || '() {{}}' || chr(10) || 'let key = env::var(\"KEY_' || (doc_id % 13) || '\");'"
 )
 CODE = f"text || chr(10) || CASE lang WHEN 'en' THEN {CODE_EN} WHEN 'fr' THEN {CODE_FR} WHEN 'de' THEN {CODE_DE} ELSE {CODE_ES} END || chr(10)"
+# Code with imports of every language, of which most name another document's file.
+UNIT_REPO = "'g' || cast(floor(doc_id / 64) as bigint)"
+UNIT_PATH = (
+    "CASE doc_id % 4 WHEN 0 THEN 'crates/core/src/m' || doc_id || '.rs' WHEN 1 THEN 'py/pkg/m' || doc_id || '.py' "
+    "WHEN 2 THEN 'svc/d' || doc_id || '/x.go' ELSE 'web/src/s' || doc_id || '/index.ts' END"
+)
+UNIT_RS = (
+    "'use crate::{m' || (doc_id + 4) || ', helper::{self, Tool}};' || chr(10) || 'mod sub;' || chr(10) || 'extern crate serde;' || chr(10) || "
+    "'pub use super::m' || (doc_id + 8) || '::*;'"
+)
+UNIT_PY = "'from . import m' || (doc_id + 4) || ', other' || chr(10) || 'import os, ' || chr(92) || chr(10) || '  sys' || chr(10) || 'from pkg.m' || (doc_id + 8) || ' import (thing,' || chr(10) || ' more)'"
+UNIT_GO = "'import (' || chr(10) || '  \"fmt\"' || chr(10) || '  z \"example.com/svc/d' || (doc_id + 4) || '\"' || chr(10) || ')'"
+UNIT_TS = (
+    "'const a = await import(' || chr(96) || '../s' || (doc_id + 4) || chr(96) || ');' || chr(10) || "
+    "'import b from ' || chr(39) || '@web/app/s' || (doc_id + 8) || chr(39) || ';'"
+)
+UNIT_CODE = f"coalesce(text, '') || chr(10) || CASE doc_id % 4 WHEN 0 THEN {UNIT_RS} WHEN 1 THEN {UNIT_PY} WHEN 2 THEN {UNIT_GO} ELSE {UNIT_TS} END || chr(10)"
+#: Files that every unit repo has beside: path and content.
+UNIT_ROOTS = [
+    ("crates/core/src/lib.rs", "pub mod helper;"), ("py/pkg/__init__.py", ""), ("svc/go.mod", "module example.com/svc"), ("web/package.json", '{"name": "@web/app"}'),
+]
 DOC = "'docs/' || lang || '/' || cast(floor(doc_id / 1000) as bigint) || '.md'"
 T0 = "timestamp '1995-01-01 00:00:00'"
 
@@ -67,6 +88,7 @@ SIMPLE: dict[str, tuple[str, dict[str, str], str | None]] = {
     "v_code": ("documents", {
         "repo": "source", "path": CODE_PATH, "content": CODE, "language": "lang", "n_lines": N_LINES.format("text") + " + 1",
         "doc_id": "doc_id"}, None),
+    "v_units": ("documents", {"repo": UNIT_REPO, "path": UNIT_PATH, "content": UNIT_CODE, "doc_id": "doc_id"}, None),
     "v_refs": ("documents", {
         "repo": "source", "doc": DOC, "section": "'s' || (doc_id % 3)",
         "path": f"{FILE_PATH} || CASE WHEN doc_id % 9 = 0 THEN '.gone' ELSE '' END", "doc_id": "doc_id"}, None),
@@ -228,6 +250,18 @@ COMPOSED_SQL: dict[str, str] = {
     "v_groups": """
         SELECT s.repo, s.hash, s.ts, s.subject, s.reason, s.session, l.label AS decision_group FROM v_sessions s JOIN v_labels l USING (repo, session)""",
     "v_bench": "SELECT date_trunc('day', ts) AS run_ts, event_type AS stage, count(*) AS ms FROM events GROUP BY 1, 2",
+    "v_unit_edges": """
+        SELECT DISTINCT w.repo, w.src, coalesce(f.path, w.other) AS dst, f.path IS NOT NULL OR w.own AS is_internal FROM (
+          SELECT repo, path AS src, unnest(CASE doc_id % 4
+            WHEN 0 THEN [{'want': 'crates/core/src/m' || (doc_id + 4) || '.rs', 'other': 'crates/core/src/lib.rs', 'own': true}, {'want': 'crates/core/src/m' || (doc_id + 8) || '.rs', 'other': 'crates/core/src/lib.rs', 'own': true},
+              {'want': '-', 'other': 'crates/core/src/lib.rs', 'own': true}, {'want': '-', 'other': 'self::sub', 'own': true}, {'want': '-', 'other': 'serde', 'own': false}]
+            WHEN 1 THEN [{'want': 'py/pkg/m' || (doc_id + 4) || '.py', 'other': 'py/pkg/__init__.py', 'own': true}, {'want': '-', 'other': 'py/pkg/__init__.py', 'own': true}, {'want': '-', 'other': 'os', 'own': false},
+              {'want': '-', 'other': 'sys', 'own': false}, {'want': 'py/pkg/m' || (doc_id + 8) || '.py', 'other': 'pkg.m' || (doc_id + 8), 'own': false}]
+            WHEN 2 THEN [{'want': '-', 'other': 'fmt', 'own': false}, {'want': 'svc/d' || (doc_id + 4) || '/x.go', 'other': 'example.com/svc/d' || (doc_id + 4), 'own': false}]
+            ELSE [{'want': 'web/src/s' || (doc_id + 4) || '/index.ts', 'other': '../s' || (doc_id + 4), 'own': true}, {'want': 'web/src/s' || (doc_id + 8) || '/index.ts', 'other': '@web/app/s' || (doc_id + 8), 'own': false}] END, recursive := true)
+          FROM v_units
+          UNION ALL SELECT DISTINCT repo, 'crates/core/src/lib.rs', '-', 'self::helper', true FROM v_units) w
+        LEFT JOIN v_units f ON f.repo = w.repo AND f.path = w.want""",
     "v_pkg_deps": """
         SELECT DISTINCT 'n' || a.s_nationkey AS repo, 'packages/' || a.s_suppkey AS path, b.s_name AS dep
         FROM lineitem JOIN supplier a ON a.s_suppkey = l_suppkey JOIN supplier b ON b.s_suppkey = l_partkey % 100""",
@@ -395,6 +429,26 @@ class Tables:
             F.coalesce(F.nullif(F.regexp_extract("url", r"^https?://[^/?#]+(/[^?#]*)", 1), F.lit("")), F.lit("/")).alias("src"),
             F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("dst")).distinct()
 
+    @cached_property
+    def unit_files(self) -> DataFrame:
+        units = self.units.select("repo", "path", "content")
+        roots = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for p, c in UNIT_ROOTS])
+        repos = self.documents.selectExpr(f"{UNIT_REPO} AS repo").distinct()
+        return units.unionByName(repos.select("repo", F.inline(roots)))
+
+    @cached_property
+    def unit_docs(self) -> DataFrame:
+        """A document per unit repo that cites every third of its files."""
+        cited = self.units.filter("doc_id % 3 = 0").groupBy("repo").agg(F.array_join(F.sort_array(F.collect_list("path")), ",").alias("paths"))
+        text = F.concat(F.lit("<!-- docs:start:code -->\n<!-- docs:refs:"), "paths", F.lit(" -->\n<!-- docs:end:code -->"))
+        return cited.select("repo", F.lit("docs/units.md").alias("doc"), text.alias("content"))
+
+    @cached_property
+    def unit_baseline(self) -> DataFrame:
+        """Saved hashes of the cited files; every fifth file has changed since."""
+        then = F.sha2(F.concat("content", F.expr("CASE WHEN doc_id % 5 = 0 THEN '#' ELSE '' END")), 256)
+        return self.units.filter("doc_id % 3 = 0").select("repo", F.col("path").alias("ref_path"), then.alias("sha256"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("saved_at"))
+
     @cached_property
     def bench(self) -> DataFrame:
         return self.events.groupBy(F.date_trunc("day", "ts").alias("run_ts"), F.col("event_type").alias("stage")).agg(F.count("*").alias("ms"))

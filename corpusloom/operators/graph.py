@@ -44,6 +44,16 @@ def neighbors(edges: DataFrame, target: str) -> DataFrame:
     return out.unionByName(into)
 
 
+def edges_by_path(edges: DataFrame) -> DataFrame:
+    """(repo, ref, direction, member, other): every edge under its two ends and under all directories above them."""
+    ends = F.array(
+        F.struct(F.lit("imports").alias("direction"), F.col("src").alias("member"), F.col("dst").alias("other")),
+        F.struct(F.lit("imported_by").alias("direction"), F.col("dst").alias("member"), F.col("src").alias("other")),
+    )
+    each = edges.select("repo", F.explode(ends).alias("e")).select("repo", "e.*")
+    return each.select("repo", F.explode(F.concat(F.array("member"), T.ancestors(F.col("member")))).alias("ref"), "direction", "member", "other")
+
+
 def related_files(targets: DataFrame, files: DataFrame) -> DataFrame:
     """Tests and directory neighbours of each target file, by equality of directory and stem."""
     keyed = lambda df, name: df.select(

@@ -50,21 +50,42 @@ def dir_digest(hashes: DataFrame) -> DataFrame:
     )
 
 
-def path_hashes(files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """Current hash of every file and every directory, from one scan of the contents or of a stored manifest; with
-    ``wanted`` (repo, path), only of those: rows of other paths are dropped before anything is aggregated.
+def cited_files(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The files that ``wanted`` (repo, path) names, or that lie below a directory it names.
+
+    Paths meet first, without contents; contents are joined to the few files left, so that only those are hashed.
+    """
+    named = wanted.select("repo", F.col("path").alias("at")).distinct()
+    above = files.select("repo", "path", F.explode(F.concat(F.array("path"), T.ancestors(F.col("path")))).alias("at"))
+    return files.join(above.join(named, ["repo", "at"], "left_semi").select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+
+
+OWN = [f"own{i}" for i in range(LANES + 1)]
+LANE = [f"lane{i}" for i in range(LANES)]
+
+
+def _as_numbers(sha256: str) -> dict[str, Column]:
+    """A hash as whole numbers of 15 hexadecimal digits: with a string an aggregate would have to sort."""
+    return {f"own{i}": F.conv(F.substring(sha256, 1 + 15 * i, 15), 16, 10).cast("bigint") for i in range(LANES + 1)}
+
+
+def _as_digits(numbers: list[str]) -> Column:
+    return F.concat(*[F.lpad(F.lower(F.hex(c)), 15 if i < LANES else 4, "0") for i, c in enumerate(numbers)])
+
 
-    Each file counts for itself and for its ancestors, so files and directories come out of one aggregate that
-    is already partitioned on (repo, path) for the joins that follow. A file's own hash travels as whole numbers
-    (15 hexadecimal digits each): with a string in it the aggregate would have to sort instead of hash.
+def hash_state(files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(repo, path, is_file, n_files, lane0 … lane4): the mergeable state behind the hash of every file and directory.
+
+    Each file counts for itself and for its ancestors, so files and directories come out of one aggregate that is
+    partitioned on (repo, path) for the joins that follow. A file's lanes are its hash, a directory's the XOR of the
+    lanes of what lies below. With ``wanted`` (repo, path), only of those paths, and only their files are read.
     """
-    hashed = _with_lanes(file_hashes(files))
-    own = {f"own{i}": F.conv(F.substring("sha256", 1 + 15 * i, 15), 16, 10).cast("bigint") for i in range(LANES + 1)}
+    hashed = _with_lanes(file_hashes(files if wanted is None else cited_files(files, wanted)))
     targets = F.concat(
         F.array(F.struct(F.col("path").alias("path"), F.lit(True).alias("is_file"))),
         F.transform(T.ancestors(F.col("path")), lambda d: F.struct(d.alias("path"), F.lit(False).alias("is_file"))),
     )
-    fanned = hashed.withColumns(own).select("repo", *own, *[f"lane{i}" for i in range(LANES)], F.explode(targets).alias("t"))
+    fanned = hashed.withColumns(_as_numbers("sha256")).select("repo", *OWN, *LANE, F.explode(targets).alias("t"))
     if wanted is not None:
         named = wanted.select(F.col("repo").alias("_repo"), F.col("path").alias("_path")).distinct()
         fanned = fanned.join(named, (F.col("repo") == F.col("_repo")) & (F.col("t.path") == F.col("_path")), "left_semi")
@@ -73,17 +94,49 @@ def path_hashes(files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
         F.bit_xor(F.when(is_file, F.col(f"own{i}")).otherwise(F.col(f"lane{i}") if i < LANES else F.lit(0))).alias(f"lane{i}")
         for i in range(LANES + 1)
     ]
-    summed = fanned.groupBy("repo", F.col("t.path").alias("path")).agg(
-        F.bool_or(is_file).alias("is_file"), F.count("*").alias("n_files"), *mixed)
-    digits = [F.lpad(F.lower(F.hex(f"lane{i}")), 15 if i < LANES else 4, "0") for i in range(LANES + 1)]
-    return summed.select(
-        "repo", "path", F.when(F.col("is_file"), F.concat(*digits)).otherwise(_combined(F.col("n_files"))).alias("sha256"))
+    return fanned.groupBy("repo", F.col("t.path").alias("path")).agg(F.bool_or(is_file).alias("is_file"), F.count("*").alias("n_files"), *mixed)
+
+
+def state_hashes(state: DataFrame) -> DataFrame:
+    """(repo, path, sha256) of a hash state."""
+    own = _as_digits([f"lane{i}" for i in range(LANES + 1)])
+    return state.select("repo", "path", F.when(F.col("is_file"), own).otherwise(_combined(F.col("n_files"))).alias("sha256"))
+
+
+def path_hashes(files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Current hash of every file and every directory, from the contents or from a stored manifest; with ``wanted``
+    (repo, path), only of those, and only what they cite is read."""
+    return state_hashes(hash_state(files, wanted))
+
+
+def apply_changes(state: DataFrame, changes: DataFrame) -> DataFrame:
+    """A stored hash state after ``changes`` (repo, path, content), where a null content is a file removed.
+
+    Reads the contents of the changed files and nothing else. XOR takes a file's old lanes out of the digests of its
+    directories and its new ones in; the old ones follow from its stored hash. A change that names a file twice isn't
+    one change: give the last.
+    """
+    lanes = [f"lane{i}" for i in range(LANES + 1)]
+    new = changes.filter(F.col("content").isNotNull()).select("repo", "path", T.content_hash(F.col("content")).alias("sha256"))
+    old = state.filter("is_file").join(changes.select("repo", "path"), ["repo", "path"], "left_semi").select("repo", "path", _as_digits(lanes).alias("sha256"))
+    signed = _with_lanes(new).withColumn("n", F.lit(1)).unionByName(_with_lanes(old).withColumn("n", F.lit(-1)))
+    up = signed.select("repo", F.explode(T.ancestors(F.col("path"))).alias("path"), "n", *LANE)
+    delta = up.groupBy("repo", "path").agg(F.sum("n").alias("dn"), *[F.bit_xor(c).alias(f"d{c}") for c in LANE])
+    dirs = state.filter("NOT is_file").join(delta, ["repo", "path"], "full")
+    moved = dirs.select(
+        "repo", "path", F.lit(False).alias("is_file"), (F.coalesce("n_files", F.lit(0)) + F.coalesce("dn", F.lit(0))).alias("n_files"),
+        *[F.coalesce(c, F.lit(0)).bitwiseXOR(F.coalesce(f"d{c}", F.lit(0))).alias(c) for c in LANE], F.lit(0).cast("bigint").alias(f"lane{LANES}"),
+    ).filter("n_files > 0")
+    kept = state.filter("is_file").join(changes.select("repo", "path"), ["repo", "path"], "left_anti")
+    added = new.withColumns(_as_numbers("sha256")).select(
+        "repo", "path", F.lit(True).alias("is_file"), F.lit(1).cast("bigint").alias("n_files"), *[F.col(o).alias(c) for o, c in zip(OWN, lanes, strict=True)])
+    return kept.select(*added.columns).unionByName(added).unionByName(moved)
 
 
 def dir_hash(refs: DataFrame, files: DataFrame) -> DataFrame:
-    """Digest of each referenced directory, by an equi-join on the exploded ancestors."""
+    """Digest of each referenced directory; only files below one of them are read and listed."""
     wanted = refs.select("repo", "path").distinct()
-    return wanted.join(dir_digest(file_hashes(files)), ["repo", "path"])
+    return wanted.join(dir_digest(file_hashes(cited_files(files, wanted))), ["repo", "path"])
 
 
 def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:

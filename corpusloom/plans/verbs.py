@@ -57,10 +57,14 @@ def generate_context(
     return Context(chosen, summary, findings, states, chunks, budget, G.imports(chosen))
 
 
-def check_sections(docs: DataFrame, files: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(section status, reference changes) of marked documents against the newest baseline."""
-    sections = SE.parse_sections(P.docs_with_markers(docs))
-    changes = SN.ref_changes(SE.section_refs(sections, keep_empty=True), SN.path_hashes(files), baseline)
+def check_sections(
+    docs: DataFrame, files: DataFrame, baseline: DataFrame, hashes: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(section status, reference changes) of marked documents against the newest baseline. Only files that a section
+    cites are read and hashed; with ``hashes`` (repo, path, sha256) of a stored state, none."""
+    refs = SE.section_refs(SE.parse_sections(P.docs_with_markers(docs)), keep_empty=True)
+    now = SN.path_hashes(files, refs.filter("path IS NOT NULL")) if hashes is None else hashes
+    changes = SN.ref_changes(refs, now, baseline)
     return SE.section_status(changes, baseline.select("repo")), changes.filter("path is not null")
 
 
@@ -70,12 +74,30 @@ def check(docs: DataFrame, files: DataFrame, baseline: DataFrame, repos: DataFra
     return SE.overall_status(status, repos)
 
 
+def check_after(docs: DataFrame, state: DataFrame, changes: DataFrame, baseline: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """Overall staleness per repo after ``changes`` (repo, path, content) to a stored hash state: as many contents are
+    read as files changed."""
+    status, _ = check_sections(docs, changes, baseline, SN.state_hashes(SN.apply_changes(state, changes)))
+    return SE.overall_status(status, repos)
+
+
 def update_plan(docs: DataFrame, files: DataFrame, baseline: DataFrame) -> DataFrame:
     """Which sections to regenerate, with the writer and the changed references behind each."""
     status, _ = check_sections(docs, files, baseline)
     return P.update_targets(status).select("repo", "doc", "section", "writer", "n_changed", "changed_refs")
 
 
+def update_context(docs: DataFrame, files: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(update plan, import edges around it): a row for every edge into or out of a changed reference of a section to
+    regenerate. A reference to a directory stands for the files below it."""
+    status, changes = check_sections(docs, files, baseline)
+    targets = P.update_targets(status)
+    plan = targets.select("repo", "doc", "section", "writer", "n_changed", "changed_refs")
+    keys = ["repo", "doc", "section", "section_ord"]
+    changed = changes.filter("changed").join(targets.select(*keys), keys, "left_semi").select("repo", "doc", "section", F.col("path").alias("ref")).distinct()
+    return plan, changed.join(G.edges_by_path(G.imports(files)), ["repo", "ref"])
+
+
 def verify_docs(docs: DataFrame, files: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(checks, quality per document); documents below 0.80 with a failed check need a fix."""
     counts = SU.family_total(SU.endpoint_counts(files, "verify"), "endpoints")

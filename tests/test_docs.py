@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +181,33 @@ def test_hashes_of_wanted_paths_and_of_a_manifest(spark):
     assert hashes(files, wanted) == {p: every[p] for p in ("src/a", "src/b/f1.js")}
     manifest = SN.file_hashes(files)
     assert "content" not in manifest.columns and hashes(manifest) == every
+
+
+def test_a_hash_state_follows_changes(spark):
+    rows = {f"src/{d}/f{k}.js": f"{d}{k}\n" for d in ("a", "b", "c/d") for k in range(4)} | {"top.md": "x\n"}
+    now = rows | {"src/a/f1.js": "new\n", "src/e/n.js": "added\n", "src/b/f0.js": "b0\n"}
+    gone = ["src/c/d/f0.js", "src/c/d/f1.js", "src/c/d/f2.js", "src/c/d/f3.js", "never.js"]
+    for p in gone[:4]:
+        del now[p]
+    some = [("src/a/f1.js", "new\n"), ("src/e/n.js", "added\n"), ("src/b/f0.js", "b0\n"), *[(p, None) for p in gone]]
+    changes = spark.createDataFrame([("r", p, c) for p, c in some], "repo string, path string, content string")
+    frame = lambda files: files_frame(spark, [("r", p, c) for p, c in files.items()] + [("s", "src/a/f1.js", "other\n")])
+    state = SN.apply_changes(SN.hash_state(frame(rows)), changes)
+    assert sorted(map(tuple, state.select(*SN.hash_state(frame(now)).columns).collect())) == sorted(map(tuple, SN.hash_state(frame(now)).collect()))
+    assert sorted(map(tuple, SN.state_hashes(state).collect())) == sorted(map(tuple, SN.path_hashes(frame(now)).collect()))
+
+
+def test_only_cited_contents_are_hashed(spark):
+    files = files_frame(spark, [("r", f"src/{d}/f{k}.js", f"{d}{k}\n") for d in ("a", "b") for k in range(3)])
+    refs = spark.createDataFrame([("r", "src/a"), ("r", "src/b/f1.js"), ("r", "gone.js")], "repo string, path string")
+    assert {r["path"] for r in SN.cited_files(files, refs).collect()} == {"src/a/f0.js", "src/a/f1.js", "src/a/f2.js", "src/b/f1.js"}
+    docs = spark.createDataFrame([("r", "d.md", "<!-- docs:start:s -->\n<!-- docs:refs:src/a/ -->\n<!-- docs:end:s -->")], "repo string, doc string, content string")
+    saved = spark.createDataFrame([], "repo string, ref_path string, sha256 string, saved_at timestamp")
+    depth = lambda line: len(re.match(r"[ :+-]*", line).group())
+    for df in (SN.path_hashes(files, refs), SN.dir_hash(refs, files), verbs.check(docs, files, saved), verbs.update_plan(docs, files, saved)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        hashed = [k for k, line in enumerate(plan) if "sha2(cast(content" in line]
+        assert hashed
+        for k in hashed:  # below the hash, contents stand on the left of a semi-join
+            below = next(line for line in plan[k + 1 :] if "Join" in line)
+            assert "LeftSemi" in below and depth(below) > depth(plan[k])
