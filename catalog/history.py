@@ -345,6 +345,12 @@ def _(t):
     return report
 
 
+@query("c8_save_progress", FULL_REPORT)
+def _(t):
+    """The whole job: detect, write the new statuses back, report on the written snapshot."""
+    return verbs.save_progress(t.milestones, t.code, scratch_path(t.spark, "milestones"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+
+
 @query("s11_read_milestones", """
     SELECT repo, milestone, item, status, detect_type, detect_value, detect_path FROM v_milestones""")
 def _(t):

@@ -17,11 +17,15 @@ def doc_endpoint_mentions(content: Column) -> Column:
     return T.matching_lines(content, fv.DOC_ENDPOINT_MENTION, fv.DOC_ENDPOINT_NEEDLES)
 
 
+def count_claim_digits(content: Column) -> Column:
+    """Every ``N endpoints`` style claim in text order, as digits without leading zeros: a claim may have any length."""
+    found = F.regexp_extract_all(T.candidate_lines(content, ["endpoint", "route", "api"], True), F.lit(fv.COUNT_CLAIM), F.lit(1))
+    return F.transform(found, lambda n: F.regexp_replace(n, r"^0+(?=[0-9])", ""))
+
+
 def count_claims(content: Column) -> Column:
-    """Every ``N endpoints`` style claim, as whole numbers in text order (a number beyond 18 digits is NULL)."""
-    return F.transform(
-        F.regexp_extract_all(T.candidate_lines(content, ["endpoint", "route", "api"], True), F.lit(fv.COUNT_CLAIM), F.lit(1)), lambda n: n.try_cast("bigint")
-    )
+    """The claims as whole numbers; one that no long can hold is NULL here."""
+    return F.transform(count_claim_digits(content), lambda n: n.try_cast("bigint"))
 
 
 def version_claims(content: Column) -> Column:

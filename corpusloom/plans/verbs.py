@@ -19,6 +19,7 @@ from corpusloom.operators import snapshots as SN
 from corpusloom.operators import surface as SU
 from corpusloom.operators import verification as V
 from corpusloom.operators import workspace as WS
+from corpusloom.sources import tables as ST
 from corpusloom.sources.files import dependency_rows, read_manifests
 
 
@@ -148,6 +149,13 @@ def progress(items: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return detected, PR.progress_report(detected)
 
 
+def save_progress(items: DataFrame, files: DataFrame, path: str, updated_at: Column) -> DataFrame:
+    """Detect, write the items with their new statuses as a new snapshot of the milestones, and report on what was written."""
+    detected, _ = progress(items, files)
+    ST.write_milestones(detected, path, updated_at)
+    return PR.progress_report(items.sparkSession.read.schema(detected.withColumn("updated_at", updated_at).schema).json(path).filter(F.col("updated_at") == updated_at))
+
+
 def save_after_update(docs: DataFrame, files: DataFrame, saved_at: Column) -> DataFrame:
     """The baseline rows to append once a plan has been carried out."""
     return SN.baseline_rows(SE.section_refs(SE.parse_sections(docs)), files, saved_at)

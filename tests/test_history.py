@@ -4,6 +4,8 @@ import datetime as dt
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from corpusloom.functions import claims as CL
 from corpusloom.functions import text as T
 from corpusloom.operators import filters as P
 from corpusloom.operators import history as H
+from corpusloom.operators import progress as PR
 from corpusloom.operators import surface as SU
 from corpusloom.operators import usage as U
 from corpusloom.plans import verbs
@@ -186,6 +189,40 @@ def test_progress(spark):
     assert (total["total"], total["done"], total["pending"], total["newly_detected"], total["percent"]) == (6, 4, 2, 3, 66)
 
 
+def test_search_rules_that_fail_are_states_of_their_items(spark):
+    rules = [("(", None), ("a[", "src"), ("start\\(", "src"), ("^needle$", None), ("x{2,}y", None), ("(foo|bar)_1?z", "lib"), ("nowhere", None), ("[[:digit:]]{3}", None)]
+    items = spark.createDataFrame(
+        [("r", "m", f"i{k}", "pending", "grep", v.replace("\\", "\\"), p) for k, (v, p) in enumerate(rules)] + [("r", "m", "old", "done", "grep", "(", None), ("r", "m", "none", "pending", None, None, None)],
+        "repo string, milestone string, item string, status string, detect_type string, detect_value string, detect_path string")
+    files = files_frame(spark, [("r", "src/a.js", "start(1)\nneedle\n"), ("r", "lib/b.js", "xxxy bar_z 123\n"), ("s", "c.js", "nowhere\n")])
+    detected, report = verbs.progress(items, files)
+    assert {r["item"]: (r["state"], r["status"]) for r in detected.collect()} == {
+        "i0": ("error", "pending"), "i1": ("error", "pending"), "i2": ("detected", "done"), "i3": ("detected", "done"), "i4": ("detected", "done"), "i5": ("detected", "done"),
+        "i6": ("pending", "pending"), "i7": ("detected", "done"), "old": ("done", "done"), "none": ("pending", "pending")}
+    assert tuple(report.filter("milestone = 'TOTAL'").select("total", "done", "pending", "newly_detected").first()) == (10, 6, 4, 5)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "c", ".", "x?", "y*", "z+", "\\.", "\\d", "[ab]", "[^]]", "(ab|c)", "(d)", "e{2}", "f{0,1}", "|", "^", "$", "_"]), min_size=1, max_size=8), st.text("abcdefxyz_.1]", max_size=12))
+def test_required_text_is_in_every_match(parts, text):
+    rule = "".join(parts).replace("\\", "\\")
+    if PR.compiled(rule).search(text):
+        assert PR.required_text(rule) in text
+
+
+def test_progress_is_written_back(spark, tmp_path):
+    items = ST.read_milestones(spark.createDataFrame([("r", STATE)], "repo string, content string"))
+    files = files_frame(spark, [("r", "src/index.js", "logger();\nexport function start() {}\n")])
+    path = str(tmp_path / "milestones")
+    first = verbs.save_progress(items, files, path, F.lit(DAY))
+    assert tuple(first.filter("milestone = 'TOTAL'").select("total", "done", "newly_detected").first()) == (6, 4, 3)
+    columns = [c for c in items.columns]
+    kept = spark.read.schema(items.schema).json(path).select(*columns)
+    assert {r["item"] for r in kept.filter("status = 'done'").collect()} == {"Open the desk", "Log", "Api", "Old"}
+    again = verbs.save_progress(kept, files, path, F.lit(DAY + dt.timedelta(days=1)))
+    assert tuple(again.filter("milestone = 'TOTAL'").select("total", "done", "newly_detected").first()) == (6, 4, 0)
+
+
 def test_consent_truth_table(spark):
     flags = [(e, d) for e in (True, False, None) for d in (True, False, None)]
     events = spark.createDataFrame(flags, "enabled boolean, do_not_track boolean")
