@@ -209,7 +209,33 @@ def _(t):
 
 @query("c5_decision_records", "SELECT repo, decision_group, count(*) AS commits, min(ts) AS first_ts FROM v_groups GROUP BY repo, decision_group")
 def _(t):
-    return verbs.decision_records(t.commits, t.commit_files, t.prs_full).select("repo", "decision_group", "commits", "first_ts")
+    groups = H.group_decisions(H.decisions(t.commits), t.commit_files)
+    return verbs.decision_records(t.commits, t.commit_files, t.prs_full, groups).select("repo", "decision_group", "commits", "first_ts")
+
+
+@query("w7_related_decisions", "SELECT repo, hash, session, decision_group FROM v_related")
+def _(t):
+    return H.related_decisions(H.decisions(t.commits), t.commit_files).select("repo", "hash", "session", "decision_group")
+
+
+@query("w6_number_groups", NUMBERED_SQL.format(g="decision_group", v="v_related"))
+def _(t):
+    """Records of the real groups, numbered by date."""
+    return H.number_decisions(H.related_decisions(H.decisions(t.commits), t.commit_files))
+
+
+BEST_SQL = CONTEXT_SQL.strip().replace("SELECT d.repo, d.hash, d.reason", "@", 1).split("@")[0].rstrip()
+
+
+@query("c5_records_with_evidence", f"""
+    {BEST_SQL},
+    n AS ({NUMBERED_SQL.format(g="decision_group", v="v_related")}),
+    f AS (SELECT hash, least(count(DISTINCT path), 20) AS n_paths FROM v_commit_files GROUP BY hash)
+    SELECT n.repo, n.decision_group, n.adr, n.title, n.reason, n.first_ts, n.commits, n.path, CAST(coalesce(sum(f.n_paths), 0) AS BIGINT) AS paths, min(b.number) AS first_pr
+    FROM n JOIN v_related r ON r.repo = n.repo AND r.decision_group = n.decision_group LEFT JOIN f ON f.hash = r.hash LEFT JOIN b ON b.repo = r.repo AND b.hash = r.hash GROUP BY ALL""")
+def _(t):
+    """The records with every column: number, title, reason, paths and the first request behind them."""
+    return verbs.decision_records(t.commits, t.commit_files, t.prs_full)
 
 
 @query("f27_is_fresh", "SELECT event_id, epoch(timestamp '2024-01-15 12:00:00') - floor(epoch(ts)) <= 3600 AS fresh FROM events")

@@ -62,6 +62,35 @@ def _(t):
     return ST.read_baseline(t.spark, path, utc("2023-06-01 00:00:00")).select("repo", "ref_path", "sha256")
 
 
+LEVELS_SQL = """
+    SELECT repo, path, sha256, CASE k WHEN 1 THEN timestamp '2023-01-01 00:00:00' WHEN 2 THEN timestamp '2023-06-01 00:00:00' ELSE timestamp '2024-01-01 00:00:00' END AS snapshot_ts FROM (
+      SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY k DESC) AS rn FROM (SELECT 1 AS k, repo, path, sha256(content) AS sha256 FROM v_files WHERE doc_id % 3 <> 0
+        UNION ALL SELECT 2, repo, path, sha256(content || '#') FROM v_files WHERE doc_id % 4 = 0 UNION ALL SELECT 3, repo, path, sha256(content || '##') FROM v_files WHERE doc_id % 5 = 0)
+      WHERE k <= {0}) WHERE rn = 1"""
+
+
+def leveled(t):
+    """Three snapshots, of which the first two are compacted."""
+    path = scratch_path(t.spark, "levels")
+    some = lambda where, mark: t.files.filter(where).select("repo", "path", F.concat("content", F.lit(mark)).alias("content"))
+    ST.write_manifest(some("doc_id % 3 <> 0", ""), path, utc("2023-01-01 00:00:00"))
+    ST.write_manifest(some("doc_id % 4 = 0", "#"), path, utc("2023-06-01 00:00:00"))
+    ST.compact_manifest(t.spark, path)
+    ST.write_manifest(some("doc_id % 5 = 0", "##"), path, utc("2024-01-01 00:00:00"))
+    return path
+
+
+@query("s3_manifest_levels", LEVELS_SQL.format(3))
+def _(t):
+    return ST.read_manifest(t.spark, leveled(t))
+
+
+@query("s3_manifest_levels_as_of", LEVELS_SQL.format(1))
+def _(t):
+    """As of a time before the compacted state: the older delta alone."""
+    return ST.read_manifest(t.spark, leveled(t), utc("2023-03-01 00:00:00"))
+
+
 @query("s6_cache_lookup", "SELECT h.repo, h.path, c.payload FROM v_hashes h LEFT JOIN (SELECT sha256, min(path) AS payload FROM v_manifest GROUP BY sha256) c ON h.sha256 = c.sha256")
 def _(t):
     cache = t.manifest.groupBy("sha256").agg(F.min("path").alias("payload"))

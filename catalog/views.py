@@ -299,6 +299,26 @@ LABELS_SQL = """
     v_labels AS (SELECT repo, node AS session, min(label) AS label FROM v_reach GROUP BY repo, node)"""
 
 
+# Sessions that follow one another at a file and start within 30 days, weighted by how rare the files are and how alike the subjects.
+RELATED_SQL = """
+    v_touched AS (SELECT DISTINCT s.repo, s.session, f.path FROM v_sessions s JOIN v_commit_files f ON f.repo = s.repo AND f.hash = s.hash),
+    v_steps AS (SELECT repo, session AS u, lag(session) OVER (PARTITION BY repo, path ORDER BY session) AS v, 1000 // nullif(count(*) OVER (PARTITION BY repo, path) - 1, 0) AS w FROM v_touched),
+    v_words AS (SELECT DISTINCT repo, session, unnest(string_split(lower(subject), ' ')) AS word FROM v_sessions),
+    v_signs AS (SELECT repo, session, k, min(('0x' || substr(md5(k || ':' || word), 1, 15))::BIGINT) AS sign FROM v_words, (SELECT unnest(range(16)) AS k) GROUP BY ALL),
+    v_starts AS (SELECT repo, session, min(ts) AS since FROM v_sessions GROUP BY ALL),
+    v_pairs AS (SELECT p.repo, p.u, p.v, sum(p.w) AS files FROM v_steps p JOIN v_starts a ON a.repo = p.repo AND a.session = p.u JOIN v_starts b ON b.repo = p.repo AND b.session = p.v
+      WHERE a.since <= b.since + INTERVAL 30 DAY GROUP BY ALL),
+    v_alike AS (SELECT p.repo, p.u, p.v, count(*) FILTER (WHERE a.sign = b.sign) AS n FROM v_pairs p JOIN v_signs a ON a.repo = p.repo AND a.session = p.u
+      JOIN v_signs b ON b.repo = p.repo AND b.session = p.v AND b.k = a.k GROUP BY ALL),
+    v_bound AS (SELECT p.repo, p.u, p.v FROM v_pairs p JOIN v_alike l USING (repo, u, v) WHERE p.files + l.n * 500 // 16 >= 1000),
+    v_linked AS (SELECT repo, u, v FROM v_bound UNION SELECT repo, v, u FROM v_bound),
+    v_near AS (SELECT DISTINCT repo, session AS node, session AS label FROM v_sessions UNION SELECT b.repo, b.v, r.label FROM v_near r JOIN v_linked b ON b.repo = r.repo AND b.u = r.node AND r.label < b.v),
+    v_names AS (SELECT repo, node AS session, min(label) AS label FROM v_near GROUP BY repo, node),
+    v_related AS (SELECT s.repo, s.hash, s.ts, s.subject, s.reason, s.session, n.label AS decision_group FROM v_sessions s JOIN v_names n USING (repo, session))"""
+#: Definitions of several views, of which the last may be recursive, under the name that queries use.
+RECURSIVE_SQL = {"v_labels": LABELS_SQL, "v_related": RELATED_SQL}
+
+
 def _dialect(expr: str, duck: bool) -> str:
     expr = expr.replace("octet_length(SHAB(text))", "strlen(text)" if duck else "octet_length(text)")
     if duck:
@@ -330,9 +350,9 @@ def with_views(sql: str) -> str:
             if name in seen:
                 continue
             seen.add(name)
-            if name == "v_labels":
+            if name in RECURSIVE_SQL:
                 visit("v_sessions v_commit_files")
-                order.append(("", LABELS_SQL))
+                order.append(("", RECURSIVE_SQL[name]))
             elif name in SIMPLE:
                 order.append((name, simple_sql(name)))
             elif name in COMPOSED_SQL:

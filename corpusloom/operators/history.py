@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from corpusloom.functions import claims as CL
 from corpusloom.functions import text as T
@@ -98,14 +99,20 @@ def review_counts(reviews: DataFrame) -> DataFrame:
 
 
 def decision_sessions(decided: DataFrame, gap_days: int = 3) -> DataFrame:
-    """Number the runs of decisions of a repo that follow each other within the gap."""
-    base = decided.select("repo", "hash", "ts", "subject", "reason")
-    day = F.date_trunc("day", F.col("ts"))
-    lagged = ordered_lag(base, ["repo"], ["ts", "hash"], ["ts"], day)
-    opens = F.col("prev_ts").isNull() | (F.col("ts") > F.col("prev_ts") + F.make_interval(days=F.lit(gap_days)))
-    flagged = lagged.withColumn("_new", opens.cast("int")).drop("prev_ts")
-    return ordered_sum(
-        flagged, ["repo"], [F.col("ts"), F.col("hash")], F.col("_new"), "session", day).drop("_new")
+    """Number the runs of decisions of a repo that follow each other within the gap of whole days.
+
+    Within a day no gap can open, so sessions are numbered over days (one row per repo and day, combined map-side), and
+    the decisions look their number up.
+    """
+    if gap_days < 1:
+        raise ValueError("a gap has at least one day")
+    base = decided.select("repo", "hash", "ts", "subject", "reason", F.to_date("ts").alias("_day"))
+    days = base.groupBy("repo", "_day").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    order = W.partitionBy("repo").orderBy("_day")
+    before = F.lag("last").over(order)
+    opens = before.isNull() | (F.col("first") > before + F.make_interval(days=F.lit(gap_days)))
+    numbered = days.withColumn("_new", opens.cast("bigint")).select("repo", "_day", F.sum("_new").over(order).alias("session"))
+    return base.join(numbered, ["repo", "_day"]).drop("_day")
 
 
 def connected_labels(edges: DataFrame) -> DataFrame:
@@ -148,6 +155,46 @@ def group_decisions(decided: DataFrame, commit_files: DataFrame, gap_days: int =
         "repo", "hash", "ts", "subject", "reason", "session", F.coalesce("label", "session").alias("decision_group"))
 
 
+SIGNS = 16
+
+
+def subject_signs(sessions: DataFrame) -> DataFrame:
+    """(repo, session, signs): MinHash values of the words in the subjects of each session."""
+    words = sessions.select("repo", "session", F.explode(F.array_distinct(F.split(F.lower("subject"), " "))).alias("word")).distinct()
+    least = [F.min(F.conv(F.substring(F.md5(F.concat(F.lit(f"{k}:"), "word").cast("binary")), 1, 15), 16, 10).cast("bigint")).alias(f"s{k}") for k in range(SIGNS)]
+    return words.groupBy("repo", "session").agg(*least).select("repo", "session", F.array(*[f"s{k}" for k in range(SIGNS)]).alias("signs"))
+
+
+def session_links(sessions: DataFrame, commit_files: DataFrame, band_days: int = 30, subject_weight: int = 500) -> DataFrame:
+    """(repo, u, v, weight) of sessions that follow one another at a file and start within ``band_days``.
+
+    A file weighs 1000 / (sessions that touch it - 1): one that only these two touch weighs 1000, one that all touch next to
+    nothing. Subjects add ``subject_weight`` times their estimated similarity. A file links each session to the next one
+    at it only, so links grow with the rows; the next one is found in buckets, whatever the number of sessions.
+    """
+    touched = commit_files.join(sessions.select("repo", "hash", "session"), ["repo", "hash"]).select("repo", "path", "session").distinct()
+    counts = touched.groupBy("repo", "path").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = touched.join(counts, ["repo", "path"])
+    pairs = ordered_lag(shared, ["repo", "path"], ["session"], ["session"], F.floor(F.col("session") / 1024)).filter("prev_session IS NOT NULL")
+    weights = pairs.groupBy("repo", F.col("session").alias("u"), F.col("prev_session").alias("v")).agg(F.sum(F.expr("1000 DIV (n - 1)")).alias("files"))
+    starts = sessions.groupBy("repo", "session").agg(F.min("ts").alias("since")).join(subject_signs(sessions), ["repo", "session"], "left")
+    side = lambda name: starts.select("repo", F.col("session").alias(name), F.struct("since", "signs").alias(f"_{name}"))
+    near = weights.join(side("u"), ["repo", "u"]).join(side("v"), ["repo", "v"]).filter(
+        F.col("_u.since") <= F.col("_v.since") + F.make_interval(days=F.lit(band_days)))
+    equal = F.coalesce(F.size(F.filter(F.zip_with("_u.signs", "_v.signs", lambda x, y: x == y), lambda e: e)), F.lit(0))
+    return near.select("repo", "u", "v", (F.col("files") + F.floor(equal * subject_weight / SIGNS)).alias("weight"))
+
+
+def related_decisions(decided: DataFrame, commit_files: DataFrame, gap_days: int = 3, band_days: int = 30, bound: int = 1000) -> DataFrame:
+    """Decisions grouped by closeness in time, rare shared files and like subjects: sessions linked by ``bound`` or more,
+    directly or through others, are one group, named by its smallest session."""
+    sessions = cut_lineage(decision_sessions(decided, gap_days))
+    links = session_links(sessions, commit_files, band_days).filter(F.col("weight") >= bound).select("repo", "u", "v")
+    labels = connected_labels(links).withColumnRenamed("node", "session")
+    return sessions.join(labels, ["repo", "session"], "left").select(
+        "repo", "hash", "ts", "subject", "reason", "session", F.coalesce("label", "session").alias("decision_group"))
+
+
 def number_decisions(groups: DataFrame) -> DataFrame:
     """One numbered record per decision group, by date: ADR-0001 and its file name."""
     firsts = groups.groupBy("repo", "decision_group").agg(

@@ -207,7 +207,8 @@ def ref_changes(refs: DataFrame, hashes: DataFrame, baseline: DataFrame) -> Data
 
 
 def latest_snapshot(table: DataFrame, keys: list[str], ts: str = "saved_at", as_of: Column | None = None) -> DataFrame:
-    """Newest row per key. An aggregate rather than a window: it combines map-side and needs no sort."""
+    """Newest row per key. An aggregate rather than a window: each task keeps one row per key before anything crosses. Where
+    rows hold strings, Spark sorts inside the tasks for it; ``sources.levels`` keeps whole histories from coming here."""
     rows = table if as_of is None else table.filter(F.col(ts) <= as_of)
     rest = [c for c in table.columns if c not in keys and c != ts]
     return (

@@ -110,10 +110,11 @@ def verify_docs(docs: DataFrame, files: DataFrame, dependencies: DataFrame) -> t
     return checks, quality.withColumn("needs_fix", (F.col("failed") > 0) & (F.col("accuracy") < 0.80))
 
 
-def decision_records(commits: DataFrame, commit_files: DataFrame, prs: DataFrame, gap_days: int = 3) -> DataFrame:
-    """One numbered record per decision group with its commits, paths and pull requests counted."""
+def decision_records(commits: DataFrame, commit_files: DataFrame, prs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """One numbered record per decision group with its commits, paths and pull requests counted. Unless ``groups`` are
+    given, related decisions are one group."""
     decided = H.decisions(commits)
-    groups = H.group_decisions(decided, commit_files, gap_days)
+    groups = H.related_decisions(decided, commit_files) if groups is None else groups
     records = H.number_decisions(groups)
     context = H.decision_context(decided, commit_files, prs).select("repo", "hash", "pr")
     paths = H.commit_paths(decided, commit_files).groupBy("repo", "hash").agg(F.count("*").alias("n_paths"))

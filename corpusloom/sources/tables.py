@@ -7,27 +7,43 @@ from pyspark.sql import functions as F
 
 from corpusloom import schemas
 from corpusloom.operators import snapshots as SN
+from corpusloom.sources import levels as LV
 
 
 def write_manifest(files: DataFrame, path: str, snapshot_ts: Column) -> None:
     """Append the hash of every file as one snapshot."""
-    SN.file_hashes(files).withColumn("snapshot_ts", snapshot_ts).write.mode("append").parquet(path)
+    LV.append_level(SN.file_hashes(files).withColumn("snapshot_ts", snapshot_ts), path, snapshot_ts)
 
 
-def read_manifest(spark: SparkSession, path: str, as_of: Column | None = None) -> DataFrame:
-    saved = spark.read.schema(schemas.MANIFEST).parquet(path)
-    return SN.latest_snapshot(saved, ["repo", "path"], "snapshot_ts", as_of)
+def read_manifest(spark: SparkSession, path: str, as_of: Column | None = None, repos: list[str] | None = None) -> DataFrame:
+    """Newest hash per file, from the newest compacted state and what was written since."""
+    return _newest(spark, path, schemas.MANIFEST, ["repo", "path"], "snapshot_ts", as_of, repos)
+
+
+def compact_manifest(spark: SparkSession, path: str, upto: Column | None = None) -> None:
+    LV.compact(spark, path, schemas.MANIFEST, ["repo", "path"], "snapshot_ts", upto)
 
 
 def save_baseline(refs: DataFrame, files: DataFrame, path: str, saved_at: Column) -> None:
-    """Append the hash of every distinct referenced path that exists now."""
-    SN.baseline_rows(refs, files, saved_at).write.mode("append").parquet(path)
+    """Append the hash of every distinct referenced path that exists now; only what is referenced is read."""
+    LV.append_level(SN.baseline_rows(refs, files, saved_at), path, saved_at)
 
 
-def read_baseline(spark: SparkSession, path: str, as_of: Column | None = None) -> DataFrame:
+def read_baseline(spark: SparkSession, path: str, as_of: Column | None = None, repos: list[str] | None = None) -> DataFrame:
     """Newest saved hash per referenced path; empty when nothing was ever saved."""
-    saved = spark.read.schema(schemas.BASELINE).parquet(path)
-    return SN.latest_snapshot(saved, ["repo", "ref_path"], "saved_at", as_of)
+    return _newest(spark, path, schemas.BASELINE, ["repo", "ref_path"], "saved_at", as_of, repos)
+
+
+def compact_baseline(spark: SparkSession, path: str, upto: Column | None = None) -> None:
+    LV.compact(spark, path, schemas.BASELINE, ["repo", "ref_path"], "saved_at", upto)
+
+
+def _newest(spark: SparkSession, path: str, schema: str, keys: list[str], ts: str, as_of: Column | None, repos: list[str] | None) -> DataFrame:
+    if LV.is_leveled(spark, path):
+        return LV.read_levels(spark, path, schema, keys, ts, as_of, repos)
+    # A folder of plain appends.
+    saved = spark.read.schema(schema).parquet(path)
+    return SN.latest_snapshot(saved if repos is None else saved.filter(F.col("repo").isin(repos)), keys, ts, as_of)
 
 
 def cache_lookup(hashes: DataFrame, cache: DataFrame) -> DataFrame:

@@ -168,6 +168,30 @@ def test_a_file_in_every_commit_makes_no_pairs(spark):
     assert tuple(found.agg(F.count("*"), F.count_if(F.expr("next_pr = CAST(substring(hash, 2) AS bigint) AND overlap = 1"))).first()) == (n, n)
 
 
+def test_related_decisions_weigh_rare_files(spark):
+    # Sessions five days apart, all at "all"; some share a rare file, near in time or not.
+    commits = [("r", f"h{k:02}", DAY + dt.timedelta(days=5 * k), f"refactor part{k}", "x") for k in range(40)]
+    decided = spark.createDataFrame(commits, "repo string, hash string, ts timestamp, subject string, reason string")
+    own = {3: ["two"], 5: ["two"], 7: ["far"], 20: ["far"], 10: ["three"], 12: ["three"], 14: ["three"]}
+    files = spark.createDataFrame([("r", f"h{k:02}", p) for k in range(40) for p in ["all", *own.get(k, [])]], "repo string, hash string, path string")
+    groups = {r["hash"]: r["decision_group"] for r in H.related_decisions(decided, files).collect()}
+    same = {k: v for k, v in groups.items() if list(groups.values()).count(v) > 1}
+    assert same == {"h03": 4, "h05": 4}
+    # Three sessions at a file weigh 500 each time; like subjects make up for the rest.
+    alike = decided.withColumn("subject", F.when(F.col("hash").isin("h10", "h12", "h14"), "replace the parser").otherwise(F.col("subject")))
+    groups = {r["hash"]: r["decision_group"] for r in H.related_decisions(alike, files).collect()}
+    assert {k for k, v in groups.items() if v == 11} == {"h10", "h12", "h14"}
+    assert H.related_decisions(decided.unionByName(decided.withColumn("repo", F.lit("s"))), files).count() == 80
+
+
+def test_sessions_of_whole_days(spark):
+    hours = [0, 5, 23, 24 * 3 + 22, 24 * 3 + 23, 24 * 7, 24 * 10, 24 * 13 + 1]
+    decided = spark.createDataFrame([("r", f"h{k}", DAY + dt.timedelta(hours=h), "x", "y") for k, h in enumerate(hours)], "repo string, hash string, ts timestamp, subject string, reason string")
+    assert [r["session"] for r in H.decision_sessions(decided).orderBy("ts").collect()] == [1, 1, 1, 1, 1, 2, 2, 3]
+    with pytest.raises(ValueError):
+        H.decision_sessions(decided, 0)
+
+
 def test_versions_sort_by_number(spark):
     tags = spark.createDataFrame([("r", t, DAY) for t in ("v1.9.0", "v1.10.0", "v2.0.0", "v1.10.0-rc1")], "repo string, tag string, ts timestamp")
     assert [r["tag"] for r in H.tags_by_version(tags).orderBy("position").collect()] == ["v2.0.0", "v1.10.0-rc1", "v1.10.0", "v1.9.0"]
