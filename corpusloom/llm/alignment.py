@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from corpusloom.llm.common import require, stored
 from corpusloom.llm.tokens import BYTE_CHARS
 from corpusloom.runtime import scratch_path
 
-#: Cuts remembered by a task, their longest length, and characters of text handled at once.
+#: Cuts that each of a worker's two memos holds (about 350 bytes each), their longest length, and characters of text handled at once.
 MEMO, MEMO_CHARS, CHARS_AT_ONCE = 250_000, 48, 400_000
 #: Pairs of ids whose counts every task gets (13 bytes each).
 COMMON = 1 << 20
@@ -39,6 +40,9 @@ B_BITS = 15
 
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 CUTS = re.compile(rf"(?<=[0-9{LATIN}.,;:!?])(?=[ \n][{LATIN}])")
+PLAIN = re.compile(rf"[ \n][0-9{LATIN}.,;:!?]+")
+#: How byte-level models split plain cuts.
+SPLIT = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
 
 @lru_cache(maxsize=1)
@@ -55,6 +59,7 @@ def tokenizers(a_path: str, b_path: str):
     a.no_padding()
     a.encode_special_tokens = True
     b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+    fast = same_merges(a)
     if a.get_vocab_size() >= 1 << (31 - B_BITS) or b.get_piece_size() > 1 << B_BITS:
         raise ValueError("the ids of the two tokenizers don't fit one 31-bit number")
     byte_of = {chr(BYTE_CHARS.get(k, k)): k for k in range(256)}
@@ -63,7 +68,30 @@ def tokenizers(a_path: str, b_path: str):
         bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode()
         for i, p in ((i, b.id_to_piece(i)) for i in range(b.get_piece_size()))
     ]
-    return a, b, a_bytes, b_bytes
+    return a, b, a_bytes, b_bytes, fast(a_bytes) if fast else None
+
+
+def same_merges(a):
+    """For a byte-level BPE whose ids are numbered as its merges: a faster encoder with the same merges, for plain cuts.
+
+    Cuts of Latin letters, digits and common signs need no Unicode tables to be split, so both give the same ids there.
+    """
+    import json
+
+    import tiktoken
+
+    model = json.loads(a.to_str())["model"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(model["vocab"].get("".join(m)) != 256 + k for k, m in enumerate(merges)):
+        return None
+    n = 256 + len(merges)
+    return lambda data: tiktoken.Encoding("merges", pat_str=SPLIT, mergeable_ranks={data[i]: i for i in range(n)}, special_tokens={}).encode_ordinary
+
+
+@lru_cache(maxsize=1)
+def worker_aligner(a_path: str, b_path: str) -> Aligner:
+    """One aligner, and so one bounded memo, for each Python worker."""
+    return Aligner(a_path, b_path)
 
 
 def terminals(a_ends, b_ends):
@@ -99,19 +127,24 @@ def links(a_ends, b_ends):
 
 
 class Aligner:
-    """Aligns cuts. A cut's entry is (n_a, n_b, n_groups, groups as text, linked pairs), or None without tokens."""
+    """Aligns cuts. A cut's entry is (n_a, n_b, n_groups, groups as text, linked pairs as bytes), or None without tokens."""
 
     def __init__(self, a_path: str, b_path: str):
         import numpy as np
 
-        self.a, self.b, self.a_bytes, self.b_bytes = tokenizers(a_path, b_path)
+        self.a, self.b, self.a_bytes, self.b_bytes, self.fast = tokenizers(a_path, b_path)
         self.memo: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
         #: Each id with each sign that may follow it.
         self.shown = [f"{i}{sign}" for i in range(max(len(self.a_bytes), len(self.b_bytes))) for sign in ",|;"]
         self.shown_size = np.array([len(x) for x in self.shown])
+        self.a_size, self.b_size = (np.array([len(x) for x in each]) for each in (self.a_bytes, self.b_bytes))
 
     def encode(self, cuts: list[str]):
-        a = [x.ids for x in self.a.encode_batch(cuts, add_special_tokens=False)]
+        if self.fast:
+            a = [self.fast(c) if PLAIN.fullmatch(c) else self.a.encode(c, add_special_tokens=False).ids for c in cuts]
+        else:
+            a = [x.ids for x in self.a.encode_batch(cuts, add_special_tokens=False)]
         # B puts a blank in front by itself; before a line end, that blank is a piece of its own.
         b = self.b.encode([c[1:] if c[0] == " " else c for c in cuts], num_threads=1)
         return a, [ids if c[0] == " " else ids[1:] for c, ids in zip(cuts, b, strict=True)]
@@ -130,33 +163,34 @@ class Aligner:
     def align(self, cuts: list[str]) -> dict[str, tuple | None]:
         import numpy as np
 
-        found: dict[str, tuple | None] = {}
-        some, a_ids, b_ids = [], [], []
-        for cut, a, b in zip(cuts, *self.encode(cuts), strict=True):
-            data = cut.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
-                found[cut] = None
-            else:
-                some.append(cut)
-                a_ids.append(a)
-                b_ids.append(b)
-        if not some:
+        # None of a batch in which a cut doesn't come back byte by byte is trusted: halves are tried until it stands alone.
+        a_ids, b_ids = self.encode(cuts)
+        data = [c.encode() for c in cuts]
+        a_all, b_all = (np.fromiter(chain.from_iterable(ids), dtype=np.int64) for ids in (a_ids, b_ids))
+        a_ends, b_ends = np.cumsum(self.a_size[a_all]), np.cumsum(self.b_size[b_all])
+        ends = np.cumsum([len(x) for x in data])
+        a_size, b_size = [len(x) for x in a_ids], [len(x) for x in b_ids]
+        whole = b"".join(data)
+        if not (
+            b"".join(map(self.a_bytes.__getitem__, a_all.tolist())) == whole and b"".join(map(self.b_bytes.__getitem__, b_all.tolist())) == whole
+            and min(a_size) and min(b_size) and (a_ends[np.cumsum(a_size) - 1] == ends).all() and (b_ends[np.cumsum(b_size) - 1] == ends).all()
+        ):
+            found = dict.fromkeys(cuts)
+            if len(cuts) > 1:
+                for k in (0, 1):
+                    found |= self.align(cuts[k::2])
             return found
-        a_all, b_all = (np.fromiter((i for ids in each for i in ids), dtype=np.int64) for each in (a_ids, b_ids))
-        a_ends = np.cumsum(np.fromiter((len(self.a_bytes[i]) for ids in a_ids for i in ids), dtype=np.int64))
-        b_ends = np.cumsum(np.fromiter((len(self.b_bytes[i]) for ids in b_ids for i in ids), dtype=np.int64))
         a_group, b_group = terminals(a_ends, b_ends)
         a, b = links(a_ends, b_ends)
-        pairs = (a_all[a] << B_BITS | b_all[b]).astype(np.int32)
-        a_size, b_size = [len(x) for x in a_ids], [len(x) for x in b_ids]
+        data = (a_all[a] << B_BITS | b_all[b]).astype(np.int32).tobytes()
         b_to = np.cumsum(b_size)
         link_to = np.searchsorted(a, np.cumsum(a_size), "left")
         text, text_to = self.as_text(a_all, a_group, b_all, b_group, np.cumsum(a_size) + np.cumsum(b_size))
         groups = np.flatnonzero(np.diff(b_group, append=-1))
         group_to = np.searchsorted(groups, b_to, "left")
-        at = at_text = at_group = 0
-        for k, cut in enumerate(some):
-            found[cut] = (a_size[k], b_size[k], int(group_to[k] - at_group), text[at_text : text_to[k] - 1], pairs[at : link_to[k]].copy())
+        found, at, at_text, at_group = {}, 0, 0, 0
+        for k, cut in enumerate(cuts):
+            found[cut] = (a_size[k], b_size[k], int(group_to[k] - at_group), text[at_text : text_to[k] - 1], data[4 * at : 4 * link_to[k]])
             at, at_text, at_group = link_to[k], text_to[k], group_to[k]
         return found
 
@@ -165,7 +199,11 @@ class Aligner:
         import numpy as np
 
         parted = [CUTS.split(" " + t) if t else [] for t in texts]
-        missing = list({c for cuts in parted for c in cuts if c not in self.memo})
+        missing = {c for cuts in parted for c in cuts if c not in self.memo}
+        # Two generations: what is met again moves on, the rest goes when the younger is full.
+        again = [c for c in missing if c in self.older]
+        self.memo |= {c: self.older[c] for c in again}
+        missing = list(missing.difference(again))
         if missing:
             self.memo |= self.align(missing)
         look = self.memo.__getitem__
@@ -175,15 +213,15 @@ class Aligner:
                 yield 0, 0, 0, 0, "", np.zeros(0, np.int32), np.zeros(0, np.int32)
                 continue
             n_a, n_b, n_groups, text, pairs = zip(*each, strict=True)
-            pairs = np.concatenate(pairs)
+            pairs = np.frombuffer(b"".join(pairs), dtype=np.int32)
             keys, counts = np.unique(pairs, return_counts=True)
             sha = hashlib.sha256(";".join(text).encode()).hexdigest()
             yield sum(n_a), sum(n_b), sum(n_groups), len(pairs), sha, keys, counts.astype(np.int32)
-        if len(self.memo) > MEMO:
-            self.memo = {}
         for cut in missing:
             if len(cut) > MEMO_CHARS:
-                self.memo.pop(cut, None)
+                del self.memo[cut]
+        if len(self.memo) > MEMO:
+            self.memo, self.older = {}, self.memo
 
 
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -238,7 +276,7 @@ def pairs_of_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        aligner = Aligner(a_path, b_path)
+        aligner = worker_aligner(a_path, b_path)
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
