@@ -18,8 +18,9 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusloom.llm.common import components, local_components, partitions, popcount64, require, stored
+from corpusloom.llm.common import components, local_components, partitions, popcount64, stored
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, width
@@ -54,8 +55,10 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
 LOWER = bytes.maketrans(UPPER, UPPER.lower())
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) for every row; ``fp`` is the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, shingle: int = 4, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, fp) for every row; ``fp`` is the fingerprint as a signed 64-bit integer. Columns to ``keep`` come along in
+    the struct ``others``."""
+    extra = ["others"] if keep else []
 
     def run(batches):
         import numpy as np
@@ -65,10 +68,14 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             for k in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(k, ROWS_AT_ONCE)
                 values = [fingerprint(t.as_py(), shingle) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(values, dtype="<u8").view("<i8"))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(np.array(values, dtype="<u8").view("<i8")), *[part.column(c) for c in extra]], names=["doc_id", "fp", *extra]
+                )
 
-    rows = require(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+    others = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("others")] if keep else []
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"), *others)
+    kinds = [T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())]
+    return rows.mapInArrow(run, T.StructType(kinds + [rows.schema[c] for c in extra]))
 
 
 @lru_cache(maxsize=1)
@@ -216,7 +223,8 @@ def near_links(distinct: DataFrame, bits: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: the smallest doc_id reachable over links of up to ``bits`` bits.
+    """(doc_id, fp, component_id, root) for every row: the smallest doc_id reachable over links of up to ``bits`` bits,
+    and the smallest fingerprint, which names components of rows without an id too.
 
     Copies collapse to their fingerprint before any comparison, and links join fingerprints, not documents.
     """
@@ -227,5 +235,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFra
     labels = components(near_links(distinct, bits)).withColumnsRenamed({"node": "fp", "label": "root"})
     rooted = distinct.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = rooted.join(lowest, "root").select("fp", "component_id")
-    return rows.join(known, "fp").select("doc_id", "fp", "component_id")
+    known = rooted.join(lowest, "root").select("fp", "component_id", "root")
+    return rows.join(known, "fp").select("doc_id", "fp", "component_id", "root")

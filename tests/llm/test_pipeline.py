@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import random
 
 import pytest
 
@@ -68,10 +69,27 @@ def test_language_keeps_documents_whatever_the_number_of_languages(spark):
     assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").select("doc_id").collect()} == set(range(400))
 
 
+def test_language_fills_what_is_missing(spark):
+    texts = {"en": "the cat and the dog went over the hill with the others", "de": "der Hund und die Katze gingen mit den anderen nach Hause"}
+    some = [(k, f"{texts[lang]} {k}", lang if k < 200 else None, "s", 50) + ("x",) * len(cases.CLASHES) for k in range(260) for lang in [("en", "de")[k % 2]]]
+    got = corpus_pipeline.language(spark, cases.documents(spark, some), "").collect()
+    assert len(got) == 260 and all(r["lang"] == ("en", "de")[r["doc_id"] % 2] for r in got)
+
+
+def test_near_duplicates_decide_per_row(spark):
+    rng = random.Random(3)
+    one, two, three, four = (cases.sentence(rng, 60, 3000) for _ in range(4))
+    some = [(1, one), (5, one), (5, two), (7, two), (7, three), (7, three), (9, None), (8, ""), (None, four), (None, four), (None, one), (None, three)]
+    docs = cases.documents(spark, [(i, t, "en", "s", 1) + ("x",) * len(cases.CLASHES) for i, t in some])
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == sorted([(1, one), (5, two), (7, three), (8, ""), (0, four)])
+
+
 def test_every_dealt_operator_is_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert any(name.startswith(f"op{n}_") for name in names)
