@@ -15,22 +15,31 @@ from corpusloom.llm.queries import packed
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters go. The score is not asked: it is shared out over all learned languages, so what it
-    means depends on their number. Where no language could be learned, all documents stay."""
+    """Documents without letters have no language and go; the others get the language found for them where they name
+    none. Where no language could be learned, all documents stay as they are. A low score is no reason to drop: it is
+    shared out over all learned languages, so what it means depends on their number."""
     model = langid.fit(docs)
     if not model.languages:
         return docs
     found = langid.identify(docs, model)
-    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    named = F.coalesce(F.col("lang").cast("string"), F.col("lang_pred")).cast(docs.schema["lang"].dataType).alias("lang")
+    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*[named if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints link, directly or through others, the one with the smallest doc_id stays. One
-    of several rows with that id stays; rows without an id can't be told apart by it and stay."""
-    found = simhash.near_duplicates(docs)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Of documents whose fingerprints link, directly or through others, the one with the smallest doc_id stays; where
+    none has an id, one of them. Rows that share an id are told apart by their fingerprints: another text under a known id
+    is judged by its own links, and of several rows of the smallest id the least (fingerprint, then text) stays."""
+    found = stored(simhash.near_duplicates(docs).withColumn("keeps", F.col("doc_id").eqNullSafe(F.col("component_id"))), "groups")
+    rows_of = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("keeps").alias("keeps")).filter("keeps")
+    once = docs.join(rows_of.filter("n = 1 AND doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # The few rows of shared or missing ids are fingerprinted again, with their columns.
+    shared = rows_of.filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("own"))
+    again = simhash.fingerprints(docs.join(shared, F.col("doc_id").eqNullSafe(F.col("own")), "left_semi"), keep=docs.columns)
+    roots = found.filter("keeps").select("doc_id", "fp", "root").distinct()
+    again = again.join(roots.withColumnRenamed("doc_id", "own"), (F.col("own").eqNullSafe(F.col("doc_id"))) & (roots["fp"] == again["fp"])).select("root", again["fp"], "others")
+    first = again.groupBy("root").agg(F.min(F.struct("fp", F.col("others.text").alias("text"), "others")).alias("x"))
+    return once.unionByName(first.select("x.others.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
