@@ -163,6 +163,34 @@ def _(t):
     return flat(registry().run_all(t.code))
 
 
+def notes(files):
+    """Example analyzer: every line that reads the environment, with its place."""
+    return [
+        ("ENV", 1, line, path, k + 1) for path, text in zip(files["path"], files["content"], strict=True) for k, line in enumerate(text.split("\n")) if "env" in line
+    ]
+
+
+NOTES_SQL = "SELECT repo, 'notes' AS analyzer, 'ENV' AS key, path, CAST(pos AS BIGINT) AS position, line AS text FROM v_code_lines WHERE contains(line, 'env')"
+
+
+def noted(t):
+    made = registry()
+    made.register_analyzer("notes", notes)
+    return made.text_findings(t.code)
+
+
+@query("x1_text_findings", NOTES_SQL)
+def _(t):
+    return noted(t)
+
+
+@query("x1_first_texts", f"""
+    SELECT repo, analyzer, key, n_texts, string_agg(text, '|' ORDER BY rn) AS texts FROM (
+      SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path, position, text) AS rn, count(*) OVER (PARTITION BY repo) AS n_texts FROM ({NOTES_SQL})) WHERE rn <= 20 GROUP BY ALL""")
+def _(t):
+    return PL.first_texts(noted(t)).withColumn("texts", F.array_join("texts", "|"))
+
+
 @query("x2_run_not_found", "SELECT DISTINCT repo, 'nonexistent' AS analyzer, 'not_found' AS status FROM v_code")
 def _(t):
     return registry().run_analyzer("nonexistent", t.code).select("repo", "analyzer", "status")

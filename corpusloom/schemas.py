@@ -28,5 +28,5 @@ MILESTONES = (
 FINDING = (
     "repo string, analyzer string, kind string, confidence double, data map<string,string>, status string, error string"
 )
-PARTIAL_FINDING = "repo string, analyzer string, key string, value bigint, text string, error string"
+PARTIAL_FINDING = "repo string, analyzer string, key string, value bigint, text string, path string, position bigint, error string"
 TELEMETRY = "anonymous_id string, ts timestamp, command string, language string, repo_lines bigint, enabled boolean, do_not_track boolean"

@@ -304,6 +304,26 @@ def test_analyzers_are_isolated(spark):
         registry.register_analyzer("x", count, kind="other")
 
 
+def test_every_text_of_a_key_stays(spark):
+    files = files_frame(spark, [("r", f"src/f{k}.py", f"one {k}\ntwo {k}\n") for k in range(5)] + [("s", "x.py", "none\n")])
+
+    def listed(group):
+        return [("A", 1, "third"), ("A", 1, "first"), ("A", 2, "first")] if group["repo"].iloc[0] == "s" else [
+            ("L", None, line, path, k) for path, text in zip(group["path"], group["content"], strict=True) for k, line in enumerate(text.split("\n")) if line]
+
+    registry = PL.Registry()
+    registry.register_analyzer("listed", listed)
+    registry.register_analyzer("native", lambda f: f.select("repo", F.lit("P").alias("key"), F.lit(1).alias("value"), F.col("path").alias("text"), "path"), kind="frame")
+    found = registry.text_findings(files)
+    lists = {(r["repo"], r["analyzer"], r["key"]): (r["n_texts"], r["texts"]) for r in PL.first_texts(found, 6).collect()}
+    assert lists[("s", "listed", "A")] == (3, ["third", "first", "first"])
+    assert lists[("r", "listed", "L")] == (10, ["one 0", "two 0", "one 1", "two 1", "one 2", "two 2"])
+    assert lists[("r", "native", "P")] == (5, [f"src/f{k}.py" for k in range(5)])
+    data = {(r["repo"], r["analyzer"]): r["data"] for r in registry.run_all(files).collect()}
+    assert data[("s", "listed")] == {"A": "third"} and data[("r", "listed")] == {"L": "one 0"}
+    assert PL.Registry().text_findings(files).count() == 0
+
+
 def test_current_version(spark):
     versions = spark.createDataFrame([("r", "v2", DAY), ("r", "v1", DAY - dt.timedelta(days=1)), ("s", "v9", DAY)], "repo string, tag string, created timestamp")
     switches = spark.createDataFrame([("s", "v8", DAY), ("s", "v7", DAY - dt.timedelta(days=1))], "repo string, tag string, switched_at timestamp")
