@@ -117,6 +117,10 @@ SIMPLE: dict[str, tuple[str, dict[str, str], str | None]] = {
         "repo": "'r' || (conv_id % 40)", "number": "conv_id + 1000", "title": "'issue ' || conv_id", "body": "text",
         "author": "'u' || (conv_id % 5)",
         "closed_at": f"CASE WHEN conv_id % 4 <> 0 THEN {T0} + ((conv_id % 2400) * interval '1' day) END", "label_a": "role"}, "turn = 0"),
+    "v_issue_turns": ("conversations", {
+        "repo": "'r' || (conv_id % 40)", "number": "conv_id * 100 + turn", "title": "'issue ' || conv_id || '/' || turn", "body": "text",
+        "author": "'u' || (conv_id % 5)",
+        "closed_at": f"CASE WHEN (conv_id + turn) % 4 <> 0 THEN {T0} + (((conv_id + turn * 3) % 2400) * interval '1' day) END", "label_a": "role"}, None),
     "v_reviews": ("conversations", {
         "repo": "'r' || (conv_id % 40)", "number": "conv_id", "kind": "CASE WHEN role = 'assistant' THEN 'review' ELSE 'comment' END",
         "state": "CASE WHEN role <> 'assistant' THEN NULL WHEN turn % 4 = 1 THEN 'APPROVED' ELSE 'COMMENTED' END", "body": "text",

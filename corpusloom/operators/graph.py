@@ -72,6 +72,20 @@ def related_files(targets: DataFrame, files: DataFrame) -> DataFrame:
     return near.unionByName(tests)
 
 
+def related_groups(files: DataFrame) -> DataFrame:
+    """(repo, relation, name, path, is_test, n): the related files of every file as groups of ``n`` members, by directory and
+    by stem where one of them is a test. A group of any size has one row per member, never its pairs."""
+    test = F.col("path").rlike(r"\.(test|spec)\.[^/]*$")
+    keys = F.array(
+        F.struct(F.lit("same_directory").alias("relation"), T.dirname(F.col("path")).alias("name")),
+        F.struct(F.lit("test").alias("relation"), T.file_stem(F.col("path")).alias("name")),
+    )
+    members = files.select("repo", "path", test.alias("is_test"), F.explode(keys).alias("k")).select("repo", "k.relation", "k.name", "path", "is_test")
+    groups = members.groupBy("repo", "relation", "name").agg(F.count("*").alias("n"), F.bool_or("is_test").alias("tested"))
+    kept = groups.filter((F.col("n") > 1) & ((F.col("relation") == "same_directory") | F.col("tested"))).drop("tested")
+    return members.join(kept, ["repo", "relation", "name"])
+
+
 def key_files(files: DataFrame, entry_points: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     """The k files to read first per repo: entry points, then most imported, then largest."""
     marks = entry_points.select("repo", "path", F.lit(1).alias("is_entry")).distinct()
