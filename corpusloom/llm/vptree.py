@@ -1,7 +1,8 @@
 """Nearest neighbours by cosine with a vantage-point tree per shard.
 
-Distinct vectors are dealt into shards of bounded size by a hash, queries into blocks; every shard meets every block in
-a task of its own. There the shard's tree is built: a node has a vantage vector and the median distance to it, which
+Distinct vectors are dealt into shards of bounded size by a hash. A shard's rows and all queries are sorted into one
+task; there the shard's tree is built once, and the queries stream past it (past a million queries, the shard meets
+them in groups of that size). A node has a vantage vector and the median distance to it, which
 splits the rest into an inner and an outer half, down to leaves. On unit vectors the chord is a metric that orders
 like the cosine, so a half whose bound by the triangle inequality lies beyond the k-th distance found can't hold a
 nearer vector. ``factor`` relaxes that: halves are visited while their bound is at most ``factor`` times that
@@ -18,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusloom.llm.common import stored
+from corpusloom.llm.common import partitions, stored
 from corpusloom.llm.vectors import matrix, smallest_ids, unit, valid
 
 FACTOR = 0.7
-SHARD, QUERY_BLOCK, LEAF = 8192, 1024, 256
+SHARD, QUERIES, LEAF = 8192, 1 << 20, 256
 #: Neighbours kept beyond k until they are ranked by the exact measure.
 SPARE = 4
 
@@ -95,37 +96,52 @@ def chord(a, b):
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, factor: float = FACTOR) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest other rows found for each row where ``is_query`` holds."""
 
-    def search(left, right):
+    def search(frames):
         import numpy as np
         import pandas as pd
 
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(left) and len(right):
-            points, queries = matrix(left["v"]), matrix(right["v"])
-            units, directions = unit(points), unit(queries)
-            # The query's own class may be among the nearest with no other row.
-            _, rows = Tree(units).search(directions, k + 1 + SPARE, factor)
-            ids = left["ids"].tolist()
-            for query, own, found in zip(directions, right["query_id"].tolist(), rows, strict=True):
-                found = found[found >= 0]
-                score = np.einsum("ij,j->i", units[found], query)
-                each = sorted((-s, i) for s, r in zip(score.tolist(), found.tolist(), strict=True) for i in ids[r] if i != own)[:k]
-                out["query_id"] += [own] * len(each)
-                out["vec_id"] += [i for _, i in each]
-                out["score"] += [-s for s, _ in each]
-        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        now, held, tree, ids = None, [], None, []
+        for frame in frames:
+            out = {"query_id": [], "vec_id": [], "score": []}
+            for key, part in frame.groupby(["shard", "part"], sort=False):
+                if key != now:
+                    now, held, tree = key, [], None
+                points = part[part["kind"] == 0]
+                if len(points):
+                    held.append(points)
+                asked = part[part["kind"] == 1]
+                if not len(asked) or not held:
+                    continue
+                if tree is None:
+                    points = pd.concat(held)
+                    tree, ids, held = Tree(unit(matrix(points["v"]))), points["ids"].tolist(), [points.iloc[:0]]
+                directions = unit(matrix(asked["v"]))
+                # The query's own class may be among the nearest with no other row.
+                _, rows = tree.search(directions, k + 1 + SPARE, factor)
+                for query, own, found in zip(directions, asked["query_id"].tolist(), rows, strict=True):
+                    found = found[found >= 0]
+                    score = np.einsum("ij,j->i", tree.units[found], query)
+                    each = sorted((-s, i) for s, r in zip(score.tolist(), found.tolist(), strict=True) for i in ids[r] if i != own)[:k]
+                    out["query_id"] += [own] * len(each)
+                    out["vec_id"] += [i for _, i in each]
+                    out["score"] += [-s for s, _ in each]
+            yield pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     rows = valid(vectors)
     classes = stored(smallest_ids(rows, k + 1), "vector-classes")
     queries = stored(rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "v"), "vector-queries")
     shards = -(-classes.count() // SHARD) or 1
-    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    parts = -(-queries.count() // QUERIES) or 1
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = classes.select("v", "ids", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"))
-    right = queries.select("v", "query_id", every(shards).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(
-        lambda a, b: search(a, b), "query_id bigint, vec_id bigint, score double"
+    left = classes.select(
+        F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), every(parts).alias("part"), F.lit(0).alias("kind"), "v", "ids", F.lit(0).cast("bigint").alias("query_id")
     )
+    right = queries.select(
+        every(shards).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "v",
+        F.array().cast("array<bigint>").alias("ids"), "query_id",
+    )
+    met = left.unionByName(right).repartition(partitions(vectors.sparkSession), "shard", "part").sortWithinPartitions("shard", "part", "kind")
+    found = met.mapInPandas(search, "query_id bigint, vec_id bigint, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -39,7 +39,7 @@ def cosines(rows):
 def test_nearest_is_exact_at_factor_one(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(vptree, "SHARD", 90)
-        monkeypatch.setattr(vptree, "QUERY_BLOCK", 4)
+        monkeypatch.setattr(vptree, "QUERIES", 9)
     ids, values = cosines(usable(vectors()))
     got = vptree.nearest(frame(spark, vectors()), F.col("vec_id") % 20 == 0, k=5, factor=1.0).collect()
     found = {}
@@ -64,6 +64,21 @@ def test_tree_prunes_and_keeps_recall():
     assert (np.sort(near, 1) <= np.sort(exact, 1)[:, -1:] + 1e-7).mean() >= 0.95
 
 
+def test_recall_over_a_hundred_shards(spark, monkeypatch):
+    monkeypatch.setattr(vptree, "SHARD", 60)
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(6000, 24)).astype(np.float32)
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(points)]
+    got = vptree.nearest(frame(spark, rows), F.col("vec_id") % 50 == 0, k=5).collect()
+    units = points.astype(float) / np.linalg.norm(points.astype(float), axis=1)[:, None]
+    hits = 0
+    for q in range(0, 6000, 50):
+        score = units @ units[q]
+        score[q] = -2
+        hits += len(set(np.argsort(-score)[:5].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert len(got) == 600 and hits >= 0.95 * 600
+
+
 def test_few_candidates_and_empty_table(spark):
     got = vptree.nearest(frame(spark, [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0])]), F.col("vec_id") == 0).collect()
     assert [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1), (2, 2)]
