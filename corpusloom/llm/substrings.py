@@ -1,12 +1,11 @@
 """Removal of word passages that an earlier document has, by prefix-partitioned suffix trees.
 
-A suffix stands here for the window of words that begins at its position; a passage is repeated if its window is an
-internal node of the suffix tree of all documents. The tree is never built whole: suffixes are dealt out by
-prefixes of varying length (range bounds from a sample, so that each group has about the same number and fits in
-memory), and within a group they are sorted. Sorted suffixes with the common prefixes of neighbours are that
-group's suffix tree: its internal nodes of window depth are the runs of neighbours that share a window. Bounds
-reach into the document id, so a window in very many documents is split as well; the runs at a group's ends are
-joined with the other groups' by their words.
+Suffixes are the words of a document from each position on, as deep as the window asks (deeper branches change nothing of
+which words go). The tree over them is never built whole: prefixes of varying length, sized by a bounded sample, split
+the suffixes into groups that fit in memory. A prefix that begins too many suffixes goes on to its next word; where it
+can't, because all words of the window are the same, the group is split by document. Each group's suffixes are sorted,
+which is the order of its subtree's leaves: an internal node of window depth is a run of leaves that share all words,
+and its smallest document is the run's first. Nodes of a group that is split by document are joined by their words.
 
 Most windows are unique, and sending them all would cost many times the input. So suffixes are sent only where a
 repeat is possible: equal windows have the same minimizer (the run of some of their words with the least hash), so a window can only be repeated if its minimizer is one in more than one document too. That filter never loses a
@@ -39,6 +38,8 @@ ROWS_AT_ONCE = 256
 #: Null doc_ids are numbered downwards from here.
 LAST_ID = (1 << 63) - 1
 POSITION_BITS = 40
+#: Groups per partition, and what their prefixes are sized by: so many documents, and suffixes of them, at most about.
+GROUPS, SAMPLE_DOCS, SAMPLE = 8, 1000, 65_536
 POSITION = (1 << POSITION_BITS) - 1
 
 
@@ -226,8 +227,54 @@ def place(text: bytes, copies, tags) -> tuple[bool, int]:
     return copies.is_valid and tag in copies.as_py(), tags.as_py().index(tag) if tags.is_valid else 0
 
 
-def suffixes(texts: DataFrame, window: int) -> DataFrame:
-    """(words, doc, ref) of the windows that may be repeated; ``ref`` is the position with the text's number above."""
+class Prefixes:
+    """Groups of suffixes by prefixes of varying length, so that each has about the same share of a sample."""
+
+    def __init__(self, sample: list[bytes], groups: int, window: int):
+        self.window = window
+        #: prefix: (first group, groups, whether longer prefixes follow)
+        self.nodes: dict[bytes, tuple[int, int, bool]] = {}
+        #: Groups of suffixes that share all words, dealt out by document.
+        self.split: set[int] = set()
+        self.groups = 0
+        self.limit = max(1, len(sample) // groups)
+        self.add((), sorted(tuple(s.split(b" ")) for s in sample), max(1, groups // 4))
+
+    def add(self, prefix: tuple[bytes, ...], suffixes: list[tuple[bytes, ...]], least: int = 1) -> None:
+        depth = len(prefix)
+        inner = depth < self.window and (len(suffixes) > self.limit or not depth)
+        children: dict[bytes, list] = {}
+        if inner:
+            for s in suffixes:
+                children.setdefault(s[depth], []).append(s)
+            children = {w: some for w, some in children.items() if 4 * len(some) > self.limit}
+        rest = len(suffixes) - sum(map(len, children.values()))
+        # What follows no longer prefix is dealt out by its next word, a full window by its document.
+        n = max(least, -(-rest // self.limit)) if inner or depth == self.window else 1
+        self.nodes[b" ".join(prefix)] = (self.groups, n, inner)
+        if depth == self.window and n > 1:
+            self.split.update(range(self.groups, self.groups + n))
+        self.groups += n
+        for word, some in children.items():
+            self.add((*prefix, word), some)
+
+    def group(self, joined: bytes, begin: list[int], at: int, doc: int) -> int:
+        """The group of the suffix at a position; ``begin`` has the starts of words in ``joined``."""
+        first, n, inner = self.nodes[b""]
+        a, depth = begin[at], 0
+        while inner:
+            end = begin[at + depth + 1] - 1
+            node = self.nodes.get(joined[a:end])
+            if node is None:
+                return first + zlib.crc32(joined[begin[at + depth] : end]) % n
+            first, n, inner = node
+            depth += 1
+        return first + (doc * 0x9E3779B1 >> 7) % n if n > 1 else first
+
+
+def suffixes(texts: DataFrame, window: int, prefixes: Prefixes | None = None) -> DataFrame:
+    """(part, words, doc, ref) of the suffixes that may be repeated, with their group; ``ref`` is the position with the
+    text's number above."""
 
     def send(batches):
         import numpy as np
@@ -237,9 +284,9 @@ def suffixes(texts: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(k, ROWS_AT_ONCE)
-                words, docs, refs = [], [], []
+                words, docs, refs, groups = [], [], [], []
                 for doc, text, hits, copies, tags in zip(*(part.column(c) for c in ("doc", "text", "positions", "copies", "tags")), strict=True):
-                    data, hits = text.as_py(), hits.values.to_numpy()
+                    data, hits, own = text.as_py(), hits.values.to_numpy(), doc.as_py()
                     starts, ends = hasher.words(data)
                     is_copy, number = place(data, copies, tags)
                     if is_copy or len(starts) < window:
@@ -250,33 +297,46 @@ def suffixes(texts: DataFrame, window: int) -> DataFrame:
                     at = np.flatnonzero(shared[least])
                     if len(at):
                         joined = b" ".join(data.split())
-                        begin = np.concatenate([[0], np.cumsum(ends - starts + 1)])
-                        words += [joined[a:b] for a, b in zip(begin[at].tolist(), (begin[at + window] - 1).tolist(), strict=True)]
-                        docs.append(np.full(len(at), doc.as_py(), np.int64))
+                        begin = np.concatenate([[0], np.cumsum(ends - starts + 1)]).tolist()
+                        places = at.tolist()
+                        words += [joined[begin[i] : begin[i + window] - 1] for i in places]
+                        groups += [prefixes.group(joined, begin, i, own) for i in places] if prefixes else [0] * len(places)
+                        docs.append(np.full(len(at), own, np.int64))
                         refs.append((number << POSITION_BITS) | at)
                 if words:
-                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.concatenate(docs)), pa.array(np.concatenate(refs))], names=["words", "doc", "ref"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(groups, pa.int32()), pa.array(words, pa.binary()), pa.array(np.concatenate(docs)), pa.array(np.concatenate(refs))],
+                        names=["part", "words", "doc", "ref"],
+                    )
 
     picked = texts.filter("positions is not null and text is not null")
-    return picked.select("doc", "text", "positions", "copies", "tags").mapInArrow(send, "words binary, doc bigint, ref bigint")
+    return picked.select("doc", "text", "positions", "copies", "tags").mapInArrow(send, "part int, words binary, doc bigint, ref bigint")
 
 
-def repeats(sent: DataFrame) -> DataFrame:
-    """(doc, ref) of the suffixes whose window starts in a document with a smaller id.
+def sized_prefixes(rows: DataFrame, known: DataFrame, window: int) -> Prefixes:
+    """Prefixes sized by the suffixes of a bounded sample of documents. The groups they make differ in size from sample
+    to sample; what is found in them doesn't."""
+    every = max(1, rows.count() // SAMPLE_DOCS)
+    some = rows.drop("others").filter(F.pmod(F.xxhash64("doc"), F.lit(every)) == 0).join(known, "doc")
+    drawn = suffixes(some, window).filter(F.pmod(F.xxhash64("words", "doc", "ref"), F.lit(8)) == 0).select("words").limit(SAMPLE)
+    return Prefixes([bytes(r["words"]) for r in drawn.collect()], GROUPS * partitions(rows.sparkSession), window)
 
-    Groups come sorted by words and document, so the first row of a run has its smallest document; all rows of later
-    documents are settled by it. The first document of a group's first and last run may still be a later one of
-    another group's: only its rows are joined, by their words, with the other groups'.
+
+def repeats(sent: DataFrame, split: set[int]) -> DataFrame:
+    """(doc, ref) of the suffixes below an internal node of window depth that has a smaller document.
+
+    The leaves of a group's subtree come in order, by words and document, so the first of a node's leaves has its
+    smallest document. In groups that are split by document, that one may still be a later one of another part's:
+    its leaves are joined with the other parts' by their words.
     """
+    split_groups = sorted(split)
 
     def nodes(batches):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        last = None  # words and smallest document of the run that goes on
-        open_ = []  # that document's rows
-        first_over = False
+        last = None  # group, words and smallest document of the node that goes on
 
         def rows(words, doc, ref):
             return pa.RecordBatch.from_arrays([words, pa.array(doc), pa.array(ref)], names=["words", "doc", "ref"])
@@ -284,35 +344,25 @@ def repeats(sent: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words, doc, ref = batch.column("words"), batch.column("doc").to_numpy(), batch.column("ref").to_numpy()
+            part, words, doc, ref = batch.column("part").to_numpy(), batch.column("words"), batch.column("doc").to_numpy(), batch.column("ref").to_numpy()
             new = np.ones(len(doc), bool)
-            new[1:] = pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
-            new[0] = last is None or words[0].as_py() != last[0]
-            start = np.flatnonzero(new)
-            low = np.concatenate([[last[1] if last else 0], doc[start]])[np.cumsum(new)]
+            new[1:] = (part[1:] != part[:-1]) | pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
+            new[0] = last is None or (int(part[0]), words[0].as_py()) != last[:2]
+            low = np.concatenate([[last[2] if last else 0], doc[np.flatnonzero(new)]])[np.cumsum(new)]
             later = doc > low
             if later.any():
                 yield rows(pa.nulls(int(later.sum()), pa.binary()), doc[later], ref[later])
-            for k, (a, b) in enumerate(zip([0, *start], [*start, len(doc)], strict=True)):
-                if k:  # a run begins at a: the one before is over
-                    if open_ and not first_over:
-                        yield from open_
-                        first_over = True
-                    open_ = []
-                if 0 < k < len(start) and first_over:
-                    continue  # a run inside the group needs no other
-                least = np.flatnonzero(~later[a:b]) + a
-                if len(least):
-                    open_.append(rows(words.take(pa.array(least)), doc[least], ref[least]))
-            last = words[len(words) - 1].as_py(), low[-1]
-        yield from open_
-
-    groups = sent.repartitionByRange(partitions(sent.sparkSession), "words", "doc").sortWithinPartitions("words", "doc")
-    found = stored(groups.mapInArrow(nodes, "words binary, doc bigint, ref bigint"), "suffix-runs")
-    ends = found.filter("words is not null")
-    least = ends.groupBy("words").agg(F.min("doc").alias("least"))
+            open_ = np.flatnonzero(~later & np.isin(part, split_groups)) if split_groups else []
+            if len(open_):
+                yield rows(words.take(pa.array(open_)), doc[open_], ref[open_])
+            last = int(part[-1]), words[len(words) - 1].as_py(), low[-1]
+
+    groups = sent.repartition(partitions(sent.sparkSession), "part").sortWithinPartitions("part", "words", "doc")
+    found = stored(groups.mapInArrow(nodes, "words binary, doc bigint, ref bigint"), "suffix-nodes")
+    parts = found.filter("words is not null")
+    least = parts.groupBy("words").agg(F.min("doc").alias("least"))
     return found.filter("words is null").select("doc", "ref").unionByName(
-        ends.join(least, "words").filter("doc > least").select("doc", "ref")
+        parts.join(least, "words").filter("doc > least").select("doc", "ref")
     )
 
 
@@ -324,7 +374,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None
     rows = keyed(docs, keep)
     texts = rows.repartition(partitions(rows.sparkSession), "doc")
     known = stored(hints(rows, window), "repeat-hints")
-    later = repeats(suffixes(texts.drop("others").join(known, "doc"), window))
+    prefixes = sized_prefixes(rows, known, window)
+    later = repeats(suffixes(texts.drop("others").join(known, "doc"), window, prefixes), prefixes.split)
     covered = later.groupBy("doc").agg(F.collect_list("ref").alias("covered"))
     marked = texts.join(known.drop("positions"), "doc", "left").join(covered, "doc", "left")
 

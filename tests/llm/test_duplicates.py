@@ -145,6 +145,40 @@ def test_substrings_with_passages_in_very_many_documents(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_prefixes_keep_equal_suffixes_together():
+    rng = random.Random(12)
+    pool = [cases.sentence(rng, 60, 12) for _ in range(40)]
+    hot = "h1 h2 h3 h4 h5 h6"
+    suffixes = [b" ".join(t.encode().split()[k : k + 6]) for t in pool for k in range(55)] + [hot.encode()] * 900
+    made = substrings.Prefixes(rng.sample(suffixes, 1500), 40, 6)
+    assert len({p.count(b" ") for p in made.nodes if p}) >= 2  # prefixes of several lengths
+    group = {}
+    for doc, text in enumerate([*pool, *[hot] * 500]):
+        words = text.encode().split()
+        begin = [0]
+        for w in words:
+            begin.append(begin[-1] + len(w) + 1)
+        for at in range(len(words) - 5):
+            found = made.group(b" ".join(words), begin, at, doc)
+            assert 0 <= found < made.groups
+            group.setdefault(tuple(words[at : at + 6]), set()).add(found)
+    for key, groups in group.items():
+        assert len(groups) == 1 or groups <= made.split, key
+    assert len(group[tuple(hot.encode().split())]) > 5
+    sizes = [sum(found in groups for groups in group.values()) for found in range(made.groups)]
+    assert max(sizes) < 0.2 * sum(sizes)
+    assert substrings.Prefixes([], 32, 13).group(b"a b c d", [0, 2, 4, 6, 8], 1, 5) < 8
+
+
+@pytest.mark.parametrize("sample", [0, 40, 5000])
+def test_substrings_don_t_depend_on_the_sample(spark, monkeypatch, sample):
+    monkeypatch.setattr(substrings, "SAMPLE", sample)
+    rng = random.Random(sample)
+    passage = cases.sentence(rng, 25)
+    texts = [f"{cases.sentence(rng, 8)} {passage if k % 2 else ''} {cases.sentence(rng, 20, 4)}" for k in range(120)]
+    assert repeats_found(cases.plain(spark, texts).repartition(5)) == repeats_brute(list(enumerate(texts)), 13)
+
+
 def test_empty_tables(spark):
     assert simhash.near_duplicates(cases.empty(spark)).count() == 0
     assert substrings.remove_repeats(cases.empty(spark)).count() == 0
