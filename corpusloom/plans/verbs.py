@@ -102,11 +102,7 @@ def update_context(docs: DataFrame, files: DataFrame, baseline: DataFrame) -> tu
 def verify_docs(docs: DataFrame, files: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(checks, quality per document); documents below 0.80 with a failed check need a fix."""
     counts = SU.family_total(SU.endpoint_counts(files, "verify"), "endpoints")
-    with_npm = dependencies.filter((F.col("kind") == "npm") & (F.col("path") == "package.json")).select("repo")
-    checks = V.union_checks(
-        V.check_file_refs(docs, files), V.check_ref_anchors(docs, files), V.check_endpoint_counts(docs, counts),
-        V.check_versions(docs, V.declared_versions(dependencies), with_npm))
-    quality = V.quality_score(checks, V.section_coverage(docs, V.repo_features(files)), V.anchor_count(docs))
+    checks, quality = V.verified(docs, files, counts, dependencies)
     return checks, quality.withColumn("needs_fix", (F.col("failed") > 0) & (F.col("accuracy") < 0.80))
 
 

@@ -211,3 +211,18 @@ def test_only_cited_contents_are_hashed(spark):
         for k in hashed:  # below the hash, contents stand on the left of a semi-join
             below = next(line for line in plan[k + 1 :] if "Join" in line)
             assert "LeftSemi" in below and depth(below) > depth(plan[k])
+
+
+def test_documents_are_read_once_to_verify_them(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([("r", "d", "## Usage\n3 endpoints, Express 4, src/a.js\n<!-- docs:refs:src/a.js,gone/ -->"), ("r", "none", "")], "repo string, doc string, content string").write.parquet(path)
+    files = files_frame(spark, [("r", "src/a.js", "x\n"), ("r", "package.json", "{}")])
+    deps = spark.createDataFrame([("r", "package.json", "npm", "express", "^5.0.0", False)], "repo string, path string, kind string, dep string, version string, is_dev boolean")
+    checks, quality = verbs.verify_docs(spark.read.parquet(path), files, deps)
+    for df in (checks, quality):
+        assert df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert {(r["type"], r["claim"], r["actual"], r["passed"]) for r in checks.collect()} == {
+        ("file_exists", "src/a.js", "exists", True), ("ref_anchor", "src/a.js", "exists", True), ("ref_anchor", "gone", "missing", False),
+        ("endpoint_count", "3 endpoints", "0", True), ("dep_version", "express 4", "5", False)}
+    found = {r["doc"]: (r["checks"], r["passed"], r["refs"], r["needs_fix"]) for r in quality.collect()}
+    assert found == {"d": (5, 3, 1, True), "none": (0, 0, 0, False)}
