@@ -83,6 +83,18 @@ def _(t):
     return t.spark.read.schema("window_start timestamp, repo string, n bigint").parquet(path)
 
 
+@query("st2_activity_panes", """
+    WITH d AS (SELECT 'r' || (user_id % 40) AS repo, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n FROM events GROUP BY 1, 2
+      HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR)
+    SELECT repo, day, CAST(sum(n) OVER (PARTITION BY repo ORDER BY day RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM d""")
+def _(t):
+    """Daily counts in append mode, whose state expires, and the 30 days up to each of them from the written table."""
+    path, mark = scratch_path(t.spark, "days"), scratch_path(t.spark, "mark")
+    commits = event_stream(t).select("ts", F.concat(F.lit("r"), (F.col("user_id") % 40).cast("string")).alias("repo"))
+    finish(J.start_append(J.activity_days_stream(commits), path, mark))
+    return J.trailing_activity(t.spark.read.schema("day timestamp, repo string, n bigint").parquet(path))
+
+
 @query("st3_staleness_stream", """SELECT repo, doc, section, status, n_refs, n_changed FROM v_section_status s WHERE EXISTS (
     SELECT 1 FROM v_section_refs r JOIN v_hashes h ON h.repo = r.repo AND h.path = r.path WHERE r.repo = s.repo AND r.doc = s.doc AND r.section = s.section)""")
 def _(t):

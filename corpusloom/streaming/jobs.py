@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -35,6 +36,19 @@ def activity_30d_stream(commits: DataFrame, window: str = "30 days", slide: str
     return counted.select(F.col("w.start").alias("window_start"), "repo", "n")
 
 
+def activity_days_stream(commits: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """Commits per repo and finished day, for append mode: a day leaves the state once the watermark has passed it."""
+    counted = commits.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day").alias("w"), "repo").agg(F.count("*").alias("n"))
+    return counted.select(F.col("w.start").alias("day"), "repo", "n")
+
+
+def trailing_activity(days: DataFrame, span_days: int = 30) -> DataFrame:
+    """(repo, day, n): commits of the ``span_days`` days up to each day that has any, by a range frame over daily counts."""
+    number = F.unix_date(F.to_date("day"))
+    frame = W.partitionBy("repo").orderBy(number).rangeBetween(1 - span_days, 0)
+    return days.select("repo", "day", F.sum("n").over(frame).alias("n"))
+
+
 def response_cache_stream(responses: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
     """Responses (repo, key, ts) that had to be fetched: the first per key, then the first once the stored one is too old.
 

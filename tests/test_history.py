@@ -270,6 +270,17 @@ def test_late_events_are_dropped_by_the_stream(spark, tmp_path):
     assert rows == {DAY: 2, DAY + dt.timedelta(days=1): 1, DAY + dt.timedelta(days=2): 1}
 
 
+def test_daily_counts_leave_the_state_and_add_up(spark, tmp_path):
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    for days in ([0, 0, 1], [1, 30], [31, 5], [90]):  # the second day 5 comes too late
+        spark.createDataFrame([(DAY + dt.timedelta(days=d, hours=1), "r") for d in days], "ts timestamp, repo string").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("ts timestamp, repo string").parquet(source)
+        J.start_append(J.activity_days_stream(stream), out, mark).awaitTermination()
+    days = spark.read.schema("day timestamp, repo string, n bigint").parquet(out)
+    assert {(r["day"] - DAY).days: r["n"] for r in days.collect()} == {0: 2, 1: 2, 30: 1, 31: 1}
+    assert {(r["day"] - DAY).days: r["n"] for r in J.trailing_activity(days).collect()} == {0: 2, 1: 4, 30: 3, 31: 2}
+
+
 def test_response_cache_expires(spark, tmp_path):
     source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     schema = "ts timestamp, repo string, key string"
