@@ -27,7 +27,7 @@ from corpusloom.llm.common import components, local_components, require, stored
 from corpusloom.llm.vectors import matrix, unit, valid
 
 #: Rows of a cell at best, of a block at most about, and pivots at most.
-CELL, BLOCK, PIVOTS = 8192, 4096, 1024
+CELL, BLOCK, PIVOTS = 16_384, 16_384, 1024
 #: Rounding of angles near 0; bounds are widened by it.
 SLACK = 1e-6
 

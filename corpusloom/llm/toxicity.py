@@ -280,7 +280,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         known.filter(F.col("toxic") == kind).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(n).drop("h")
         for kind, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))
     ]
-    rows = docs.select("doc_id", "text").join(F.broadcast(few[0].unionByName(few[1])), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(few[0].unionByName(few[1])), "doc_id")
+    # Of rows that share an id the least text is learned from, so that reruns learn the same.
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = stored(rows, "toxicity-sample")
     counts = stored(stem_counts(rows.filter("toxic = 1")).withColumnRenamed("n", "t").join(
         stem_counts(rows.filter("toxic = 0")).withColumnRenamed("n", "c"), "stem", "full"
