@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import require, stored
-from corpusloom.llm.tokens import BYTE_CHARS
+from corpusloom.llm.tokens import BYTE_CHARS, same_merges
 from corpusloom.runtime import scratch_path
 
 #: Cuts that each of a worker's two memos holds (about 350 bytes each), their longest length, and characters of text handled at once.
@@ -41,8 +41,6 @@ B_BITS = 15
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 CUTS = re.compile(rf"(?<=[0-9{LATIN}.,;:!?])(?=[ \n][{LATIN}])")
 PLAIN = re.compile(rf"[ \n][0-9{LATIN}.,;:!?]+")
-#: How byte-level models split plain cuts.
-SPLIT = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
 
 @lru_cache(maxsize=1)
@@ -59,7 +57,6 @@ def tokenizers(a_path: str, b_path: str):
     a.no_padding()
     a.encode_special_tokens = True
     b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-    fast = same_merges(a)
     if a.get_vocab_size() >= 1 << (31 - B_BITS) or b.get_piece_size() > 1 << B_BITS:
         raise ValueError("the ids of the two tokenizers don't fit one 31-bit number")
     byte_of = {chr(BYTE_CHARS.get(k, k)): k for k in range(256)}
@@ -68,24 +65,7 @@ def tokenizers(a_path: str, b_path: str):
         bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode()
         for i, p in ((i, b.id_to_piece(i)) for i in range(b.get_piece_size()))
     ]
-    return a, b, a_bytes, b_bytes, fast(a_bytes) if fast else None
-
-
-def same_merges(a):
-    """For a byte-level BPE whose ids are numbered as its merges: a faster encoder with the same merges, for plain cuts.
-
-    Cuts of Latin letters, digits and common signs need no Unicode tables to be split, so both give the same ids there.
-    """
-    import json
-
-    import tiktoken
-
-    model = json.loads(a.to_str())["model"]
-    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    if any(model["vocab"].get("".join(m)) != 256 + k for k, m in enumerate(merges)):
-        return None
-    n = 256 + len(merges)
-    return lambda data: tiktoken.Encoding("merges", pat_str=SPLIT, mergeable_ranks={data[i]: i for i in range(n)}, special_tokens={}).encode_ordinary
+    return a, b, a_bytes, b_bytes, same_merges(a_path)
 
 
 @lru_cache(maxsize=1)

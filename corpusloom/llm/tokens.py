@@ -43,6 +43,29 @@ def library(path: str):
     return tokenizer
 
 
+#: How byte-level models split plain cuts.
+SPLIT = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+
+
+@lru_cache(maxsize=2)
+def same_merges(path: str):
+    """For a byte-level BPE whose ids are numbered as its merges: a faster encoder with the merges of the same file, for
+    Latin letters, digits and common signs. Those need no Unicode tables to be split, so both give the same ids there.
+    None for other models."""
+    import json
+
+    import tiktoken
+
+    tokenizer = library(path)
+    model = json.loads(tokenizer.to_str())["model"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(model["vocab"].get("".join(m)) != 256 + k for k, m in enumerate(merges)):
+        return None
+    byte_of = {chr(BYTE_CHARS.get(k, k)): k for k in range(256)}
+    ranks = {bytes(byte_of[c] for c in tokenizer.id_to_token(i)): i for i in range(256 + len(merges))}
+    return tiktoken.Encoding("merges", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Memo(dict):
     """Encodes what is missing, and keeps it while there is room."""
 
@@ -67,6 +90,7 @@ class Encoder:
         self.tokenizer = library(path)
         self.model = self.tokenizer.model
         self.words = words
+        self.fast = None if words else same_merges(path)
         # In lower case, since an added token may be sought in the normalised text.
         self.added = [token.content.lower() for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.shown = Memo(lambda c: c.encode().decode("latin-1").translate(BYTE_CHARS), 10_000)
@@ -79,6 +103,8 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, piece: str) -> bytes:
+        if self.fast:
+            return array("I", self.fast(piece)).tobytes()
         shown = "".join(map(self.shown.__getitem__, piece))
         return array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
 
