@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.scan import PATTERNS
+from catalog.surface import IMPORT_EDGES_SQL
+from corpusloom import fixed_values as fv
 from corpusloom.functions import text as T
 from corpusloom.operators import filters as P
 from corpusloom.operators import graph as G
 from corpusloom.operators import history as H
 from corpusloom.operators import secrets as S
+from corpusloom.plans import verbs
 from corpusloom.runtime import scratch_path
 from corpusloom.sources import files as SF
 from corpusloom.sources import history as SH
@@ -75,3 +78,25 @@ def _(t):
 def _(t):
     """Every file with the groups it is in: files of one group are related, without writing out the pairs."""
     return G.related_groups(t.files)
+
+
+TAKES_PART = "path NOT LIKE '%.test.%' AND (path LIKE 'src/%' OR path LIKE 'app/%' OR path LIKE 'internal/%')"
+SCANNED_EDGES = IMPORT_EDGES_SQL.replace("FROM v_code_lines)", f"FROM v_code_lines WHERE {TAKES_PART})").replace("FROM v_code WHERE", f"FROM v_code WHERE {TAKES_PART} AND")
+SCANNED_SECRETS = " UNION ALL ".join(
+    "SELECT repo FROM v_code_lines WHERE {} AND regexp_matches(line, '{}')".format(TAKES_PART, p.regex.replace("'", "''")) for p in fv.SECRET_PATTERNS)
+
+
+@query("c1_context_facts", f"""
+    SELECT f.repo, f.files, coalesce(s.n, 0) AS secrets, coalesce(e.n, 0) AS imports, coalesce(e.own, 0) AS internal, f.cached FROM
+      (SELECT c.repo, count(*) AS files, count(*) FILTER (WHERE m.sha256 = sha256(c.content)) AS cached FROM v_code c LEFT JOIN v_manifest m ON m.repo = c.repo AND m.path = c.path
+       WHERE c.{TAKES_PART.replace("(path", "(c.path").replace("OR path", "OR c.path")} GROUP BY c.repo) f
+      LEFT JOIN (SELECT repo, count(*) AS n FROM ({SCANNED_SECRETS}) GROUP BY repo) s ON s.repo = f.repo
+      LEFT JOIN (SELECT repo, count(*) AS n, count(*) FILTER (WHERE is_internal) AS own FROM ({SCANNED_EDGES}) GROUP BY repo) e ON e.repo = f.repo""")
+def _(t):
+    """The facts of a context that its totals leave out: secrets, imports and what is cached."""
+    context = verbs.generate_context(t.code, t.manifest)
+    count = lambda df, *cols: df.groupBy("repo").agg(*cols)
+    edges = count(context.imports, F.count("*").alias("imports"), F.count_if("is_internal").alias("internal"))
+    cached = count(context.states, F.count_if(F.col("state") == "cached").alias("cached"))
+    found = context.summary.select("repo", "files", F.col("secrets").cast("bigint").alias("secrets")).join(edges, "repo", "left").join(cached, "repo")
+    return found.fillna(0, ["imports", "internal"])

@@ -49,32 +49,39 @@ def prefixes(items: Column, least: int, sign: str, before: Column) -> Column:
     return F.transform(counts, lambda n: F.concat(before, F.array_join(F.slice(items, F.lit(1), n), sign)))
 
 
-def nearest_root(dirs: DataFrame, roots: DataFrame, inverse: bool = False) -> DataFrame:
-    """For each (repo, dir) the columns of the root in it or its nearest ancestor; ``inverse``: the nearest that is none."""
-    own = roots.select("repo", F.col("dir").alias("root"), F.struct(*[c for c in roots.columns if c not in ("repo", "dir")], F.lit(True).alias("found")).alias("r"))
+MARKS = ("package.json", "go.mod", "Cargo.toml", "lib.rs", "main.rs", "__init__.py")
+
+
+def directory_marks(files: DataFrame) -> DataFrame:
+    """(repo, root, npm, go, cargo, crate, init): what each directory with a manifest or a module file is the root of."""
+    base, text = F.col("base"), F.col("content")
+    name = (
+        F.when(base == "package.json", F.get_json_object(text, "$.name")).when(base == "go.mod", F.regexp_extract(text, r"(?m)^\s*module\s+\"?([^\s\"]+)", 1))
+        .when(base == "Cargo.toml", F.translate(F.regexp_extract(text, r"(?ms)^\[package\][^\[]*?^name\s*=\s*[\"']([^\"'\n]+)", 1), "-", "_"))
+    )
+    marks = files.withColumn("base", T.basename(F.col("path"))).filter(F.col("base").isin(*MARKS)).select(
+        "repo", folder(F.col("path")).alias("root"), "base", F.nullif(name, F.lit("")).alias("name"))
+    named = lambda kind: F.min(F.when(base == kind, F.col("name")))
+    return marks.groupBy("repo", "root").agg(
+        named("package.json").alias("npm"), named("go.mod").alias("go"), named("Cargo.toml").alias("cargo"),
+        F.bool_or(base.isin("lib.rs", "main.rs")).alias("crate"), F.bool_or(base == "__init__.py").alias("init"))
+
+
+def roots_of(dirs: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo, dir, npm, go, rs, py): the nearest roots in or above each directory, as structs of root and name. ``py`` is the
+    nearest directory that is no package."""
     above = F.concat(prefixes(parts(F.col("dir"), "/"), 1, "/", F.lit("")), F.array(F.lit("")))
-    each = dirs.select("repo", "dir", F.posexplode(above).alias("up", "root"))
+    each = dirs.select("repo", "dir", F.posexplode(above).alias("up", "root")).withColumn("salt", F.pmod(F.xxhash64("dir"), F.lit(SALT)))
     # Every directory of a repo looks for its root.
-    met = each.withColumn("salt", F.pmod(F.xxhash64("dir"), F.lit(SALT))).join(
-        own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>"))), ["repo", "root", "salt"], "left" if inverse else "inner")
-    if inverse:
-        met = met.filter("r IS NULL")
-    return met.groupBy("repo", "dir").agg(F.min_by(F.struct("root", "r"), "up").alias("x")).select("repo", "dir", "x.root", "x.r.*")
-
-
-def module_roots(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(npm packages, Go modules, Rust crates, Python packages) as (repo, dir, name)."""
-    base, dir_ = T.basename(F.col("path")), folder(F.col("path"))
-    named = lambda kind, name: files.filter(base == kind).select("repo", dir_.alias("dir"), name.alias("name")).filter("name <> ''").groupBy(
-        "repo", "dir").agg(F.min("name").alias("name"))
-    text = F.col("content")
-    npm = named("package.json", F.get_json_object(text, "$.name"))
-    go = named("go.mod", F.regexp_extract(text, r"(?m)^\s*module\s+\"?([^\s\"]+)", 1))
-    cargo = named("Cargo.toml", F.translate(F.regexp_extract(text, r"(?ms)^\[package\][^\[]*?^name\s*=\s*[\"']([^\"'\n]+)", 1), "-", "_"))
-    crates = files.filter(base.isin("lib.rs", "main.rs")).select("repo", dir_.alias("dir")).distinct()
-    crates = crates.withColumn("above", F.regexp_replace("dir", r"(^|/)src$", "")).join(
-        cargo.select("repo", F.col("dir").alias("above"), "name"), ["repo", "above"], "left").select("repo", "dir", "name")
-    return npm, go, crates, files.filter(base == "__init__.py").select("repo", dir_.alias("dir")).distinct()
+    marks = directory_marks(files).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>")))
+    met = each.join(marks, ["repo", "root", "salt"], "left")
+    nearest = lambda value, is_it: F.min_by(value, F.when(is_it, F.col("up")))
+    named = lambda kind: nearest(F.struct("root", F.col(kind).alias("name")), F.col(kind).isNotNull()).alias(kind)
+    found = met.groupBy("repo", "dir").agg(
+        named("npm"), named("go"), nearest(F.col("root"), F.col("crate")).alias("crate"), nearest(F.col("cargo"), F.col("cargo").isNotNull()).alias("cargo"),
+        nearest(F.struct("root"), ~F.coalesce("init", F.lit(False))).alias("py"))
+    crate = F.when(F.col("crate").isNotNull(), F.struct(F.col("crate").alias("root"), F.col("cargo").alias("name")))
+    return found.select("repo", "dir", "npm", "go", crate.alias("rs"), "py")
 
 
 def below(path: Column, root: Column) -> Column:
@@ -172,14 +179,3 @@ def resolved_imports(files: DataFrame, candidate: Column) -> DataFrame:
         F.min_by("file", F.when(F.col("file").isNotNull(), F.col("at"))).alias("file"))
     internal = C.is_internal_import(F.col("target")) | F.col("file").isNotNull()
     return found.select("repo", "src", F.coalesce("file", "target").alias("dst"), internal.alias("is_internal")).distinct()
-
-
-def roots_of(dirs: DataFrame, files: DataFrame) -> DataFrame:
-    """(repo, dir, npm, go, rs, py): the roots above each directory, as structs of root and name."""
-    npm, go, crates, packages = module_roots(files)
-    out = dirs
-    for kind, roots in (("npm", npm), ("go", go), ("rs", crates)):
-        near = nearest_root(dirs, roots).select("repo", "dir", F.struct("root", "name").alias(kind))
-        out = out.join(near, ["repo", "dir"], "left")
-    plain = nearest_root(dirs, packages, inverse=True).select("repo", "dir", F.struct("root").alias("py"))
-    return out.join(plain, ["repo", "dir"], "left")
