@@ -50,6 +50,35 @@ def test_kernel_is_the_normalised_number_of_shared_grams():
     assert np.allclose(model.kernel([a, b]), [[1, want], [want, 1]], atol=1e-5)
 
 
+def test_language_scores_are_kernel_ridge_regression(spark):
+    """Where every training row is a landmark, the Nyström map is exact: compare with the dual solution over all kernels."""
+    import zlib
+
+    import numpy as np
+
+    rng = random.Random(6)
+    vocabulary = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(60)] for lang, letters in (("a", "abcdefgh"), ("b", "efghijkl"), ("c", "ijklabmn"))}
+    text = lambda lang: " ".join(rng.choice(vocabulary[lang]) for _ in range(rng.randrange(3, 25)))
+    docs = [(k, text(lang), lang, "s", 1) + ("x",) * len(cases.CLASHES) for k in range(150) for lang in ["abc"[k % 3]]]
+    model = langid.fit(cases.documents(spark, docs))
+    train = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 5]
+    sets = [set(langid.grams(d[1]).tolist()) for d in train]
+    assert max(sum(d[2] == lang for d in train) for lang in "abc") <= langid.LANDMARKS_PER_LANGUAGE
+    known = set().union(*sets)
+    kernel = lambda x, y: len(x & y) / max(1.0, (len(x) * len(y)) ** 0.5)
+    among = np.array([[kernel(x, y) for y in sets] for x in sets])
+    n = len(train)
+    centring = np.eye(n) - 1 / n
+    wanted = np.where(np.array([d[2] for d in train])[:, None] == np.array(["a", "b", "c"])[None, :], 1.0, -1.0)
+    offset = wanted.mean(axis=0)
+    alpha = np.linalg.solve(centring @ among @ centring + langid.RIDGE * n / 100 * np.eye(n), wanted - offset)
+    assert model.languages == ["a", "b", "c"]
+    for probe in [text(lang) for lang in "abc" for _ in range(15)]:
+        k = np.array([kernel(set(langid.grams(probe).tolist()) & known, x) for x in sets])
+        want = (k - among.mean(axis=0)) @ centring @ alpha + offset
+        assert np.allclose(model.kernel([probe]) @ model.weights + model.bias, want, atol=5e-3)
+
+
 @there
 def test_toxicity_of_held_out_texts(spark):
     docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
