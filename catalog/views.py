@@ -12,13 +12,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import spread_small_scan
 
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-# Tables whose rows hold long texts: scanning one is work for many tasks.
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
-
 COMPUTED_TEXT = {"v_code"}
 
 K = "cast(floor(doc_id / 20) as bigint)"
@@ -382,8 +378,7 @@ class Tables:
 
     def base(self, name: str) -> DataFrame:
         if name not in self._tables:
-            table = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-            self._tables[name] = spread_small_scan(table, TEXT_KEYS[name]) if name in TEXT_KEYS else table
+            self._tables[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         return self._tables[name]
 
     def simple(self, name: str) -> DataFrame:

@@ -32,10 +32,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     is judged by its own links, and of several rows of the smallest id the least (fingerprint, then text) stays."""
     found = stored(simhash.near_duplicates(docs).withColumn("keeps", F.col("doc_id").eqNullSafe(F.col("component_id"))), "groups")
     rows_of = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("keeps").alias("keeps")).filter("keeps")
-    once = docs.join(rows_of.filter("n = 1 AND doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    ids = lambda where: rows_of.filter(where).select("doc_id")
+    once = docs.join(ids("n = 1 AND doc_id IS NOT NULL"), "doc_id", "left_semi").select(*docs.columns)
     # The few rows of shared or missing ids are fingerprinted again, with their columns.
-    shared = rows_of.filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("own"))
-    again = simhash.fingerprints(docs.join(shared, F.col("doc_id").eqNullSafe(F.col("own")), "left_semi"), keep=docs.columns)
+    shared = docs.join(ids("n > 1 AND doc_id IS NOT NULL"), "doc_id", "left_semi").select(*docs.columns)
+    again = simhash.fingerprints(shared.unionByName(docs.filter("doc_id IS NULL")), keep=docs.columns)
     roots = found.filter("keeps").select("doc_id", "fp", "root").distinct()
     again = again.join(roots.withColumnRenamed("doc_id", "own"), (F.col("own").eqNullSafe(F.col("doc_id"))) & (roots["fp"] == again["fp"])).select("root", again["fp"], "others")
     first = again.groupBy("root").agg(F.min(F.struct("fp", F.col("others.text").alias("text"), "others")).alias("x"))

@@ -39,16 +39,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan over all cores where its files give fewer tasks than there are cores.
-
-    Only small inputs in few files are affected: a large table has more input splits than cores and is returned
-    as it is, so its texts are never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def ordered_sum(
     df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str, coarse: Column, descending: bool = False
 ) -> DataFrame:
