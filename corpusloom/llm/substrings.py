@@ -249,8 +249,9 @@ class Prefixes:
                 children.setdefault(s[depth], []).append(s)
             children = {w: some for w, some in children.items() if 4 * len(some) > self.limit}
         rest = len(suffixes) - sum(map(len, children.values()))
-        # What follows no longer prefix is dealt out by its next word, a full window by its document.
-        n = max(least, -(-rest // self.limit)) if inner or depth == self.window else 1
+        # What follows no longer prefix is dealt out by its next word, a full window by its document; the latter only
+        # from half a partition's share on, since each part leaves rows to be joined.
+        n = max(least, -(-rest // self.limit)) if inner else -(-rest // (GROUPS // 2 * self.limit)) if depth == self.window else 1
         self.nodes[b" ".join(prefix)] = (self.groups, n, inner)
         if depth == self.window and n > 1:
             self.split.update(range(self.groups, self.groups + n))

@@ -149,7 +149,7 @@ def test_prefixes_keep_equal_suffixes_together():
     rng = random.Random(12)
     pool = [cases.sentence(rng, 60, 12) for _ in range(40)]
     hot = "h1 h2 h3 h4 h5 h6"
-    suffixes = [b" ".join(t.encode().split()[k : k + 6]) for t in pool for k in range(55)] + [hot.encode()] * 900
+    suffixes = [b" ".join(t.encode().split()[k : k + 6]) for t in pool for k in range(55)] + [hot.encode()] * 6000
     made = substrings.Prefixes(rng.sample(suffixes, 1500), 40, 6)
     assert len({p.count(b" ") for p in made.nodes if p}) >= 2  # prefixes of several lengths
     group = {}
