@@ -43,10 +43,8 @@ def _(t):
 
 
 def event_stream(t):
-    """The events file as a stream, read through its directory."""
-    schema = t.base("events").schema
-    raw = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
-    return raw.select(
+    """The events table as a stream."""
+    return t.stream("events").select(
         F.col("user_id").cast("string").alias("anonymous_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("command"),
         (F.col("user_id") % 2 == 0).alias("enabled"), (F.col("user_id") % 5 == 0).alias("do_not_track"), "event_id", "user_id")
 
@@ -101,10 +99,8 @@ def _(t):
     """Every file arrives as a change, so the stream writes the status of each section that cites an existing file."""
     status, saved, mark, docs = (scratch_path(t.spark, n) for n in ("status", "baseline", "mark", "docs"))
     t.docs.write.parquet(docs)
-    schema = t.base("documents").schema
-    raw = t.spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(t.dir)
     names = {c: e for c, e in SIMPLE["v_files"][1].items() if c in ("repo", "path", "content")}
-    changes = raw.select(*[F.expr(e).alias(c) for c, e in names.items()])
+    changes = t.stream("documents").select(*[F.expr(e).alias(c) for c, e in names.items()])
     finish(J.staleness_stream(
         changes, t.spark.read.schema("repo string, doc string, content string").parquet(docs), lambda: t.files, lambda: t.baseline2, status, saved, mark))
     schema = "repo string, doc string, section string, status string, n_refs bigint, n_changed bigint, batch_id bigint"

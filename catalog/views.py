@@ -381,6 +381,11 @@ class Tables:
             self._tables[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         return self._tables[name]
 
+    def stream(self, name: str) -> DataFrame:
+        """A table as a stream, whether it is one file or a folder of files. The pattern names it alone; without one, a
+        stream takes its path for a folder."""
+        return self.spark.readStream.schema(self.base(name).schema).parquet(f"{self.dir}/{name}.parque[t]")
+
     def simple(self, name: str) -> DataFrame:
         table, cols, where = SIMPLE[name]
         df = self.base(table)
