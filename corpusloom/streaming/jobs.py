@@ -49,31 +49,50 @@ def trailing_activity(days: DataFrame, span_days: int = 30) -> DataFrame:
     return days.select("repo", "day", F.sum("n").over(frame).alias("n"))
 
 
-def response_cache_stream(responses: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
+#: Keys of the response cache share the state of a bucket, so that one call of the Python step serves many keys.
+CACHE_BUCKETS = 4096
+
+
+def response_cache_stream(responses: DataFrame, ttl_seconds: int = 3600, buckets: int = CACHE_BUCKETS) -> DataFrame:
     """Responses (repo, key, ts) that had to be fetched: the first per key, then the first once the stored one is too old.
 
-    The state of a key is one number, the time of its stored response, and it leaves with the watermark. Only the
-    key columns and the time enter the Python step; rows older than the watermark are dropped before it.
+    Keys are dealt into ``buckets`` by their hash. The state of a bucket is its keys with the times of their stored
+    responses; a key leaves it once the watermark has passed the end of its stored response, and rows older than the watermark
+    are dropped before, so such a key would be fetched anyway. Only the key columns and the time enter the Python step, and
+    a call holds the rows that one batch has for one bucket. Rows without a time are left out.
     """
     ttl = ttl_seconds * 1_000_000
 
-    def fetch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def fetch(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        stored = state.get[0] if state.exists else None
-        kept = []
-        for us in np.sort(np.concatenate([b["us"].to_numpy() for b in batches])):
-            if stored is None or us - stored > ttl:
-                stored = int(us)
-                kept.append(stored)
-        state.update((stored,))
-        state.setTimeoutTimestamp((stored + ttl) // 1000 + 1)
-        yield pd.DataFrame({"repo": key[0], "key": key[1], "us": kept})
+        kept = pd.DataFrame(dict(zip(["repo", "key", "us"], state.get, strict=True))) if state.exists else pd.DataFrame({"repo": [], "key": [], "us": []})
+        rows = pd.concat([b[["repo", "key", "us"]] for b in batches], ignore_index=True).sort_values("us", kind="stable", ignore_index=True)
+        both = pd.concat([kept.astype({"us": "int64"}), rows.astype({"us": "int64"})], ignore_index=True)
+        codes = both.groupby(["repo", "key"], sort=False, dropna=False).ngroup().to_numpy()
+        stored = dict(zip(codes[: len(kept)].tolist(), kept["us"].tolist(), strict=True))
+        fetched = np.zeros(len(rows), dtype=bool)
+        for k, (code, us) in enumerate(zip(codes[len(kept) :].tolist(), rows["us"].tolist(), strict=True)):
+            last = stored.get(code)
+            if last is None or us - last > ttl:
+                stored[code] = us
+                fetched[k] = True
+        names = both.iloc[np.unique(codes, return_index=True)[1]]
+        names = [[None if pd.isna(x) else x for x in names[c]] for c in ("repo", "key")]
+        passed = state.getCurrentWatermarkMs() * 1000
+        live = [code for code, us in stored.items() if us + ttl >= passed]
+        if live:
+            state.update(([names[0][c] for c in live], [names[1][c] for c in live], [stored[c] for c in live]))
+            state.setTimeoutTimestamp(max((max(stored[c] for c in live) + ttl) // 1000, state.getCurrentWatermarkMs()) + 1)
+        elif state.exists:
+            state.remove()
+        yield rows[fetched]
 
     narrow = responses.withWatermark("ts", f"{ttl_seconds} seconds").select("repo", "key", "ts", F.unix_micros("ts").alias("us"))
-    fetched = narrow.groupBy("repo", "key").applyInPandasWithState(
-        fetch, "repo string, key string, us bigint", "stored bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = narrow.filter("us IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64("repo", "key"), F.lit(buckets)))
+    fetched = dealt.groupBy("bucket").applyInPandasWithState(
+        fetch, "repo string, key string, us bigint", "repos array<string>, keys array<string>, stored array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
     return fetched.select("repo", "key", F.timestamp_micros("us").alias("ts"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import __spark_entry__ as entry
+from corpusloom.streaming import jobs as J
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -27,3 +28,17 @@ def test_event_stream_reads_a_folder_of_files(spark, tmp_path):
     events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     found = entry.queries()["st4_response_cache_stream"](spark, str(tmp_path)).collect()
     assert sorted((r["key"], (r["ts"] - DAY).total_seconds() / 60) for r in found) == sorted((f"view-{u}", u + m) for u in range(3) for m in (0, 63))
+
+
+def test_response_cache_calls_python_once_per_bucket(spark, tmp_path):
+    """Keys of one bucket, null ones too, keep stored responses of their own over batches; a state that ran out is fetched again."""
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    schema = "ts timestamp, repo string, key string"
+    keys = [("r", "a"), ("r", "b"), ("q", "a"), (None, "a"), ("r", None)]
+    for minutes in ([0, 10, 61], [50, 121], [200], [10, 420]):
+        rows = [(DAY + dt.timedelta(minutes=m + k), *key) for m in minutes for k, key in enumerate(keys)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        J.start_append(J.response_cache_stream(stream, buckets=2), out, mark).awaitTermination()
+    found = {(r["repo"], r["key"], (r["ts"] - DAY).total_seconds() / 60) for r in spark.read.schema("repo string, key string, ts timestamp").parquet(out).collect()}
+    assert found == {(*key, m + k) for k, key in enumerate(keys) for m in (0, 61, 200, 420)}
