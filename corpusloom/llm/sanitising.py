@@ -97,10 +97,32 @@ def before_each(values: Column, zero: Column, merge: Callable[[Column, Column],
 
 
 HIT = "struct<hit:string,start:bigint,end:bigint,before:string,after:string>"
+#: Matches and the texts behind them that can stand within ``REACH`` characters: an identifier has at least four.
+STEPS = REACH // 4 + 2
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All matches with their places and up to ``REACH`` characters to the neighbouring matches on both sides."""
+def surroundings(zipped: Column) -> tuple[Column, Column]:
+    """Arrays of the texts before and after each match, up to a character beyond ``REACH``: that one tells whether the
+    word at the border goes on. Other matches in them are blanks, so words behind a match are in reach too."""
+    blank = lambda x: F.repeat(F.lit(" "), F.coalesce(F.char_length(x["1"]), F.lit(0)))
+    last = lambda x: F.substring(x, -REACH - 1, REACH + 1)
+    first = lambda x: F.substring(x, 1, REACH + 1)
+    ahead = F.transform(zipped, lambda x: last(F.concat(last(x["0"]), blank(x))))
+    behind = F.transform(zipped, lambda x: first(F.concat(blank(x), first(F.coalesce(x["2"], F.lit(""))))))
+
+    def before(ahead: Column) -> Column:
+        near = lambda k: F.slice(ahead, F.greatest(k - STEPS, F.lit(0)) + 1, F.least(k, F.lit(STEPS)))
+        return F.transform(zipped, lambda x, k: last(F.concat(F.array_join(near(k), ""), last(x["0"]))))
+
+    def after(behind: Column) -> Column:
+        near = lambda k: F.slice(behind, k + 2, F.lit(STEPS))
+        return F.transform(zipped, lambda x, k: first(F.concat(first(F.coalesce(x["2"], F.lit(""))), F.array_join(near(k), ""))))
+
+    return let(ahead, before), let(behind, after)
+
+
+def matches(text: Column, pattern: str, around: bool = False) -> Column:
+    """All matches with their places and, ``around`` given, the texts on both sides as ``surroundings`` has them."""
 
     def length(x: Column) -> Column:
         return F.coalesce(F.char_length(x), F.lit(0)).cast("bigint")
@@ -108,14 +130,16 @@ def matches(text: Column, pattern: str) -> Column:
     def placed(zipped: Column) -> Column:
         sizes = F.transform(zipped, lambda x: length(x["0"]) + length(x["1"]))
         starts = before_each(sizes, F.lit(0).cast("bigint"), lambda a, b: a + b)
-        return F.transform(F.filter(F.arrays_zip(zipped.alias("x"), starts.alias("at")), lambda y: y["x"]["1"].isNotNull()), hit)
+        sides = surroundings(zipped) if around else (F.transform(zipped, lambda _: F.lit("")),) * 2
+        rows = F.arrays_zip(zipped.alias("x"), starts.alias("at"), sides[0].alias("before"), sides[1].alias("after"))
+        return F.transform(F.filter(rows, lambda y: y["x"]["1"].isNotNull()), hit)
 
     def hit(y: Column) -> Column:
         x = y["x"]
         start = y["at"] + length(x["0"])
         return F.struct(
             x["1"].alias("hit"), start.alias("start"), (start + length(x["1"])).alias("end"),
-            F.substring(x["0"], -REACH, REACH).alias("before"), F.substring(x["2"], 1, REACH).alias("after"),
+            y["before"].alias("before"), y["after"].alias("after"),
         ).cast(HIT)
 
     def zipped(parts: Column) -> Column:
@@ -164,7 +188,7 @@ def personal_data(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     others = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), others.alias("others"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
-    marks = F.when(F.size("base") > 0, matches(F.col("text"), ANY)).otherwise(F.array().cast(f"array<{HIT}>"))
+    marks = F.when(F.size("base") > 0, matches(F.col("text"), ANY, around=True)).otherwise(F.array().cast(f"array<{HIT}>"))
     marked = stored(rows.select(F.expr("uuid()").alias("rid"), "doc_id", "others", "base", marks.alias("marks")), "identifiers")
     near = words_near(marked)
     told = disclosed(marked, near, docs.select(text.alias("text")))
@@ -189,8 +213,8 @@ def words_near(marked: DataFrame) -> DataFrame:
     shifted = lambda by: F.transform("w", lambda x, k: F.lower(F.get(F.col("w"), k + by)["hit"]))
     zipped = F.arrays_zip("w", shifted(-1).alias("left"), shifted(1).alias("right"))
     each = each.filter(size > 0).select("rid", "kind", "entity", "s", F.explode(zipped).alias("x"))
-    # A word at the far border of a context may be cut.
-    cut = (F.char_length("s.text") == REACH) & F.when(F.col("s.after"), F.col("x.w.end") == REACH).otherwise(F.col("x.w.start") == 0)
+    # A word that takes the character beyond the reach is not within it, whether it is cut there or not.
+    cut = (F.char_length("s.text") == REACH + 1) & F.when(F.col("s.after"), F.col("x.w.end") == REACH + 1).otherwise(F.col("x.w.start") == 0)
     word = F.lower("x.w.hit")
     return each.filter(~cut).select(
         "rid", "kind", "entity", word.alias("word"), (F.col("s.at") + F.col("x.w.start")).alias("start"),

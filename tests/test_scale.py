@@ -42,3 +42,13 @@ def test_response_cache_calls_python_once_per_bucket(spark, tmp_path):
         J.start_append(J.response_cache_stream(stream, buckets=2), out, mark).awaitTermination()
     found = {(r["repo"], r["key"], (r["ts"] - DAY).total_seconds() / 60) for r in spark.read.schema("repo string, key string, ts timestamp").parquet(out).collect()}
     assert found == {(*key, m + k) for k, key in enumerate(keys) for m in (0, 61, 200, 420)}
+
+
+def test_words_behind_another_identifier_are_in_reach(spark):
+    """The word stands within 200 characters of the email, with an address of another kind in between."""
+    from corpusloom.llm import sanitising as S
+
+    texts = [f"{x} zebra {x * 2} 1.2.3.{k} a@b.cc" for k, x in enumerate(("aa", "bb", "cc", "dd"))] + [f"{x} mail {x}@y.zz" for x in ("ee", "ff", "gg", "hh")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: [texts[r["doc_id"]][t["start"] : t["end"]] for t in r["terms"]] for r in S.personal_data(docs).collect()}
+    assert all(("zebra" in found[k]) == (k < 4) for k in range(8))
