@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,19 @@ from corpusloom.functions import text as T
 STORE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?/+"
 
 
+@contextmanager
+def short_listings(spark: SparkSession) -> Iterator[None]:
+    """Spark lists a folder of many folders in up to 10,000 tasks, and does so for every such folder. Here a listing has
+    a few tasks for each core."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def read_corpus(spark: SparkSession, roots: str | list[str], path_glob: str | None = None) -> DataFrame:
     """Files of checked-out repositories: ``<root>/<repo>/<path>``, read recursively.
 
@@ -25,7 +40,8 @@ def read_corpus(spark: SparkSession, roots: str | list[str], path_glob: str | No
     if path_glob:
         reader = reader.option("pathGlobFilter", path_glob)
     names = [roots] if isinstance(roots, str) else list(roots)
-    raw = reader.load(names)
+    with short_listings(spark):
+        raw = reader.load(names)
     full = F.regexp_replace("path", STORE, "/")
     relative = full
     for root in (re.sub(STORE, "/", name).rstrip("/") + "/" for name in names):

@@ -52,3 +52,17 @@ def test_words_behind_another_identifier_are_in_reach(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     found = {r["doc_id"]: [texts[r["doc_id"]][t["start"] : t["end"]] for t in r["terms"]] for r in S.personal_data(docs).collect()}
     assert all(("zebra" in found[k]) == (k < 4) for k in range(8))
+
+
+def test_corpus_is_listed_in_few_tasks(spark, tmp_path):
+    """More folders than are listed in one go: the number of listing tasks is held down, and the setting is as before."""
+    from corpusloom.sources import files as SF
+
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    with SF.short_listings(spark):
+        assert int(spark.conf.get(name)) <= 4 * spark.sparkContext.defaultParallelism
+    for k in range(40):
+        (tmp_path / "r" / f"d{k}").mkdir(parents=True)
+        (tmp_path / "r" / f"d{k}" / "a.txt").write_text("x\n")
+    assert SF.read_corpus(spark, str(tmp_path), "*.txt").count() == 40 and spark.conf.get(name) == before
