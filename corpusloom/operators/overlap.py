@@ -27,9 +27,10 @@ def most_shared(left: DataFrame, right: DataFrame, hot_pairs: int = HOT_PAIRS) -
     shares rare members too the best one there, its complete overlap would be larger still, so the better of both
     ways is the best of all.
     """
-    left, right = left.distinct(), right.distinct()
-    hot = cut_lineage(hot_members(left, right, hot_pairs))
-    a, b = marked(left, hot, "id"), marked(right, hot, "number")
+    right = cut_lineage(right.distinct())
+    # Only members that both sides have can be shared; the others go before any other step sends or sorts them.
+    left = cut_lineage(left.join(right.select("grp", "member").distinct(), ["grp", "member"], "left_semi").select(*left.columns).distinct())
+    a, b = marked(left, right, hot_pairs)
     common_a = a.filter("hot").groupBy("grp", "id", "at").agg(F.sort_array(F.collect_list("member")).alias("common"))
     common_b = b.filter("hot").groupBy("grp", "number", "at").agg(F.sort_array(F.collect_list("member")).alias("common"))
     rare = a.filter("NOT hot").select("grp", "member", "id", F.col("at").alias("since")).join(b.filter("NOT hot").drop("hot"), ["grp", "member"])
@@ -43,16 +44,14 @@ def most_shared(left: DataFrame, right: DataFrame, hot_pairs: int = HOT_PAIRS) -
     return top_per_group(every, ["grp", "id"], [F.desc("overlap"), F.col("at"), F.col("number")], 1).drop("at")
 
 
-def hot_members(left: DataFrame, right: DataFrame, hot_pairs: int) -> DataFrame:
+def marked(left: DataFrame, right: DataFrame, hot_pairs: int) -> tuple[DataFrame, DataFrame]:
+    """Both with a column ``hot``. A hot member has over ``2 * sqrt(hot_pairs)`` rows, so there is at most one for so many
+    rows (2,048 by default), and the list of them goes to every task."""
     count = lambda df, name: df.groupBy("grp", "member").agg(F.count("*").alias(name))
-    return count(left, "a").join(count(right, "b"), ["grp", "member"]).filter(F.col("a") * F.col("b") > hot_pairs).select("grp", "member")
-
-
-def marked(sets: DataFrame, hot: DataFrame, id_: str) -> DataFrame:
-    """``sets`` with a column ``hot``; the rows of a hot member are dealt into ``SALT`` parts for the join."""
-    salted = sets.withColumn("salt", F.pmod(F.xxhash64(id_), F.lit(SALT)))
-    every = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>"))).withColumn("found", F.lit(True))
-    return salted.join(every, ["grp", "member", "salt"], "left").withColumn("hot", F.col("found").isNotNull()).drop("salt", "found")
+    hot = count(left, "a").join(count(right, "b"), ["grp", "member"]).filter(F.col("a") * F.col("b") > hot_pairs)
+    hot = F.broadcast(cut_lineage(hot.select("grp", "member")).withColumn("found", F.lit(True)))
+    flag = lambda df: df.join(hot, ["grp", "member"], "left").withColumn("hot", F.col("found").isNotNull()).drop("found")
+    return flag(left), flag(right)
 
 
 def shared_hot(left: DataFrame, right: DataFrame) -> DataFrame:
