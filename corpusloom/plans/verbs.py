@@ -19,6 +19,7 @@ from corpusloom.operators import snapshots as SN
 from corpusloom.operators import surface as SU
 from corpusloom.operators import verification as V
 from corpusloom.operators import workspace as WS
+from corpusloom.runtime import cut_lineage
 from corpusloom.sources import tables as ST
 from corpusloom.sources.files import dependency_rows, read_manifests
 
@@ -109,7 +110,7 @@ def verify_docs(docs: DataFrame, files: DataFrame, dependencies: DataFrame) -> t
 def decision_records(commits: DataFrame, commit_files: DataFrame, prs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """One numbered record per decision group with its commits, paths and pull requests counted. Unless ``groups`` are
     given, related decisions are one group."""
-    decided = H.decisions(commits)
+    decided = cut_lineage(H.decisions(commits).select("repo", "hash", "ts", "subject", "reason"))
     groups = H.related_decisions(decided, commit_files) if groups is None else groups
     records = H.number_decisions(groups)
     context = H.decision_context(decided, commit_files, prs).select("repo", "hash", "pr")
