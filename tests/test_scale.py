@@ -66,3 +66,17 @@ def test_corpus_is_listed_in_few_tasks(spark, tmp_path):
         (tmp_path / "r" / f"d{k}").mkdir(parents=True)
         (tmp_path / "r" / f"d{k}" / "a.txt").write_text("x\n")
     assert SF.read_corpus(spark, str(tmp_path), "*.txt").count() == 40 and spark.conf.get(name) == before
+
+
+def test_members_of_one_side_go_before_anything_else(spark, monkeypatch):
+    """The rows that are cut and sent on are those of members that both sides have."""
+    from corpusloom.operators import overlap as O
+
+    cut = []
+    monkeypatch.setattr(O, "cut_lineage", lambda df: cut.append(df.count()) or df)
+    left = spark.createDataFrame([("g", f"c{k}", k, m) for k in range(20) for m in (f"own{k}", "both", "hot")], "grp string, id string, at int, member string")
+    right = spark.createDataFrame([("g", n, 30 - n, m) for n in range(1, 4) for m in ("both", "hot", f"other{n}")], "grp string, number bigint, at int, member string")
+    left, right = (df.withColumn("at", df["at"].cast("timestamp")) for df in (left, right))
+    found = {r["id"]: (r["number"], r["overlap"]) for r in O.most_shared(left, right, hot_pairs=59).collect()}
+    assert found == {f"c{k}": (3, 2) for k in range(20)}
+    assert max(cut) == 40
