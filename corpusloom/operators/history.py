@@ -10,7 +10,7 @@ from corpusloom.functions import claims as CL
 from corpusloom.functions import text as T
 from corpusloom.operators.filters import non_merge
 from corpusloom.operators.overlap import HOT_PAIRS, most_shared
-from corpusloom.runtime import cut_lineage, ordered_lag, ordered_sum, top_per_group
+from corpusloom.runtime import cut_lineage, ordered_sum, top_per_group
 
 
 def newest_first() -> list[Column]:
@@ -112,7 +112,17 @@ def decision_sessions(decided: DataFrame, gap_days: int = 3) -> DataFrame:
     before = F.lag("last").over(order)
     opens = before.isNull() | (F.col("first") > before + F.make_interval(days=F.lit(gap_days)))
     numbered = days.withColumn("_new", opens.cast("bigint")).select("repo", "_day", F.sum("_new").over(order).alias("session"))
-    return base.join(numbered, ["repo", "_day"]).drop("_day")
+    return base.join(numbered, ["_day", "repo"]).select("repo", "hash", "ts", "subject", "reason", "session")
+
+
+def stored_sessions(decided: DataFrame, gap_days: int) -> DataFrame:
+    """The sessions, stored. They read the decisions twice, so these are stored first and found once."""
+    return cut_lineage(decision_sessions(cut_lineage(decided.select("repo", "hash", "ts", "subject", "reason")), gap_days))
+
+
+def touched_paths(sessions: DataFrame, commit_files: DataFrame) -> DataFrame:
+    """(repo, path, session), each once. The hash leads the join's keys: a sort that begins with it seldom compares the rest."""
+    return commit_files.join(sessions.select("hash", "repo", "session"), ["hash", "repo"]).select("repo", "path", "session").distinct()
 
 
 def connected_labels(edges: DataFrame) -> DataFrame:
@@ -146,12 +156,12 @@ def group_decisions(decided: DataFrame, commit_files: DataFrame, gap_days: int =
 
     Sessions sharing a path are linked through the smallest of them, which keeps the link table linear.
     """
-    sessions = cut_lineage(decision_sessions(decided, gap_days))
-    touched = commit_files.join(sessions.select("repo", "hash", "session"), ["repo", "hash"]).select("repo", "path", "session").distinct()
+    sessions = stored_sessions(decided, gap_days)
+    touched = touched_paths(sessions, commit_files)
     hub = touched.groupBy("repo", "path").agg(F.min("session").alias("v"))
     links = touched.join(hub, ["repo", "path"]).select("repo", F.col("session").alias("u"), "v").filter("u <> v").distinct()
     labels = connected_labels(links).withColumnRenamed("node", "session")
-    return sessions.join(labels, ["repo", "session"], "left").select(
+    return sessions.join(labels, ["session", "repo"], "left").select(
         "repo", "hash", "ts", "subject", "reason", "session", F.coalesce("label", "session").alias("decision_group"))
 
 
@@ -159,10 +169,14 @@ SIGNS = 16
 
 
 def subject_signs(sessions: DataFrame) -> DataFrame:
-    """(repo, session, signs): MinHash values of the words in the subjects of each session."""
+    """(repo, session, signs): MinHash values of the words in the subjects of each session. Each different word is hashed once,
+    in a step of its own: of a ``distinct`` right below the minimum the optimizer makes one aggregate that hashes every row's words."""
     words = sessions.select("repo", "session", F.explode(F.array_distinct(F.split(F.lower("subject"), " "))).alias("word")).distinct()
-    least = [F.min(F.conv(F.substring(F.md5(F.concat(F.lit(f"{k}:"), "word").cast("binary")), 1, 15), 16, 10).cast("bigint")).alias(f"s{k}") for k in range(SIGNS)]
-    return words.groupBy("repo", "session").agg(*least).select("repo", "session", F.array(*[f"s{k}" for k in range(SIGNS)]).alias("signs"))
+    sign = [F.conv(F.substring(F.md5(F.concat(F.lit(f"{k}:"), "word").cast("binary")), 1, 15), 16, 10).cast("bigint").alias(f"s{k}") for k in range(SIGNS)]
+    signed = words.select("word").distinct().select("word", *sign)
+    least = [F.min(f"s{k}").alias(f"s{k}") for k in range(SIGNS)]
+    return words.join(signed, "word").groupBy("repo", "session").agg(*least).select(
+        "repo", "session", F.array(*[f"s{k}" for k in range(SIGNS)]).alias("signs"))
 
 
 def session_links(sessions: DataFrame, commit_files: DataFrame, band_days: int = 30, subject_weight: int = 500) -> DataFrame:
@@ -170,14 +184,16 @@ def session_links(sessions: DataFrame, commit_files: DataFrame, band_days: int =
 
     A file weighs 1000 / (sessions that touch it - 1): one that only these two touch weighs 1000, one that all touch next to
     nothing. Subjects add ``subject_weight`` times their estimated similarity. A file links each session to the next one
-    at it only, so links grow with the rows; the next one is found in buckets, whatever the number of sessions.
+    at it only, so links grow with the rows. One window per file counts its sessions and finds the next one: sessions of a repo
+    are days apart, so a window has at most a row for every few days of its history, however many commits there are.
     """
-    touched = commit_files.join(sessions.select("repo", "hash", "session"), ["repo", "hash"]).select("repo", "path", "session").distinct()
-    counts = touched.groupBy("repo", "path").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = touched.join(counts, ["repo", "path"])
-    pairs = ordered_lag(shared, ["repo", "path"], ["session"], ["session"], F.floor(F.col("session") / 1024)).filter("prev_session IS NOT NULL")
-    weights = pairs.groupBy("repo", F.col("session").alias("u"), F.col("prev_session").alias("v")).agg(F.sum(F.expr("1000 DIV (n - 1)")).alias("files"))
-    starts = sessions.groupBy("repo", "session").agg(F.min("ts").alias("since")).join(subject_signs(sessions), ["repo", "session"], "left")
+    touched = touched_paths(sessions, commit_files).filter(F.col("path").isNotNull())
+    order = W.partitionBy("path", "repo").orderBy("session")
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    pairs = touched.select("repo", F.col("session").alias("u"), F.lag("session").over(order).alias("v"), F.count("*").over(whole).alias("n"))
+    weights = pairs.filter("v IS NOT NULL").groupBy("repo", "u", "v").agg(F.sum(F.expr("1000 DIV (n - 1)")).alias("files"))
+    starts = cut_lineage(
+        sessions.groupBy("repo", "session").agg(F.min("ts").alias("since")).join(subject_signs(sessions), ["session", "repo"], "left"))
     side = lambda name: starts.select("repo", F.col("session").alias(name), F.struct("since", "signs").alias(f"_{name}"))
     near = weights.join(side("u"), ["repo", "u"]).join(side("v"), ["repo", "v"]).filter(
         F.col("_u.since") <= F.col("_v.since") + F.make_interval(days=F.lit(band_days)))
@@ -188,19 +204,20 @@ def session_links(sessions: DataFrame, commit_files: DataFrame, band_days: int =
 def related_decisions(decided: DataFrame, commit_files: DataFrame, gap_days: int = 3, band_days: int = 30, bound: int = 1000) -> DataFrame:
     """Decisions grouped by closeness in time, rare shared files and like subjects: sessions linked by ``bound`` or more,
     directly or through others, are one group, named by its smallest session."""
-    sessions = cut_lineage(decision_sessions(decided, gap_days))
+    sessions = stored_sessions(decided, gap_days)
     links = session_links(sessions, commit_files, band_days).filter(F.col("weight") >= bound).select("repo", "u", "v")
     labels = connected_labels(links).withColumnRenamed("node", "session")
-    return sessions.join(labels, ["repo", "session"], "left").select(
+    return sessions.join(labels, ["session", "repo"], "left").select(
         "repo", "hash", "ts", "subject", "reason", "session", F.coalesce("label", "session").alias("decision_group"))
 
 
 def number_decisions(groups: DataFrame) -> DataFrame:
-    """One numbered record per decision group, by date: ADR-0001 and its file name."""
-    firsts = groups.groupBy("repo", "decision_group").agg(
+    """One numbered record per decision group, by date: ADR-0001 and its file name. The records are stored, as numbering reads
+    them twice."""
+    firsts = cut_lineage(groups.groupBy("decision_group", "repo").agg(
         F.min("ts").alias("first_ts"), F.min_by(F.struct("subject", "reason"), F.struct("ts", "hash")).alias("f"),
         F.count("*").alias("commits"),
-    )
+    ))
     numbered = ordered_sum(
         firsts, ["repo"], [F.col("first_ts"), F.col("decision_group")], F.lit(1), "n",
         F.date_trunc("day", F.col("first_ts")))

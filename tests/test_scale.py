@@ -80,3 +80,89 @@ def test_members_of_one_side_go_before_anything_else(spark, monkeypatch):
     found = {r["id"]: (r["number"], r["overlap"]) for r in O.most_shared(left, right, hot_pairs=59).collect()}
     assert found == {f"c{k}": (3, 2) for k in range(20)}
     assert max(cut) == 40
+
+
+def history_frames(spark, path):
+    """300 decisions a day apart or five, of three repositories, some of them twice; a third touches a file of no name."""
+    at = "timestamp '2024-01-01' + make_interval(0, 0, 0, id + CASE WHEN id % 7 < 3 THEN 0 ELSE 5 * (id DIV 7) END)"
+    decided = spark.range(300).selectExpr(
+        "'r' || id % 3 AS repo", "'h' || id AS hash", f"CASE WHEN id % 50 = 49 THEN NULL ELSE {at} END AS ts", "'change part ' || id % 11 || ' Part' AS subject", "'x' AS reason")
+    decided = decided.unionByName(decided.filter("hash LIKE '%1'"))
+    files = spark.range(1200).selectExpr(
+        "CASE WHEN id % 90 = 7 THEN NULL ELSE 'r' || (id % 300) % 3 END AS repo", "'h' || id % 300 AS hash",
+        "CASE WHEN id % 3 = 0 AND id % 4 = 1 THEN NULL WHEN id % 10 = 0 THEN 'hot' ELSE 'f' || (id * 7) % 60 END AS path")
+    files.write.parquet(path)
+    return decided, spark.read.parquet(path)
+
+
+def analysed(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_session_links_agree_with_a_plain_search(spark, tmp_path):
+    """Files that many sessions touch, files without a name and rows that come twice."""
+    from collections import defaultdict
+
+    from corpusloom.operators import history as H
+
+    decided, files = history_frames(spark, str(tmp_path / "files"))
+    sessions = H.decision_sessions(decided)
+    rows = sessions.collect()
+    of, since = defaultdict(set), {}
+    for r in rows:
+        of[r["repo"], r["hash"]].add(r["session"])
+        key = r["repo"], r["session"]
+        since[key] = min(since.get(key, r["ts"]), r["ts"])
+    at = defaultdict(set)
+    for r in files.collect():
+        if r["path"] is not None:
+            at[r["repo"], r["path"]] |= of.get((r["repo"], r["hash"]), set())
+    want = defaultdict(int)
+    for (repo, _), found in at.items():
+        order = sorted(found)
+        for v, u in zip(order, order[1:]):
+            if since[repo, u] <= since[repo, v] + dt.timedelta(days=30):
+                want[repo, u, v] += 1000 // (len(order) - 1)
+    links = H.session_links(sessions, files, subject_weight=0)
+    assert {(r["repo"], r["u"], r["v"]): r["weight"] for r in links.collect()} == want and len(want) > 20
+
+
+def test_signs_of_subjects_are_least_values_of_their_words(spark, tmp_path):
+    import hashlib
+
+    from corpusloom.operators import history as H
+
+    sessions = H.decision_sessions(history_frames(spark, str(tmp_path / "files"))[0])
+    words = {}
+    for r in sessions.collect():
+        words.setdefault((r["repo"], r["session"]), set()).update(r["subject"].lower().split(" "))
+    sign = lambda k, w: int(hashlib.md5(f"{k}:{w}".encode()).hexdigest()[:15], 16)
+    signs = H.subject_signs(sessions)
+    assert {(r["repo"], r["session"]): r["signs"] for r in signs.collect()} == {s: [min(sign(k, w) for w in ws) for k in range(H.SIGNS)] for s, ws in words.items()}
+    # Words are hashed where each different one is a single row.
+    hashed = [line for line in analysed(signs).splitlines() if "md5(" in line]
+    assert hashed and all("Aggregate [word#" in line for line in hashed)
+
+
+def test_files_of_commits_are_read_once_for_links(spark, tmp_path):
+    from corpusloom.operators import history as H
+
+    decided, files = history_frames(spark, str(tmp_path / "files"))
+    assert analysed(H.session_links(H.decision_sessions(decided), files)).count("Relation [") == 1
+
+
+def test_decisions_and_groups_are_found_once(spark, tmp_path, monkeypatch):
+    """Sessions are made from stored decisions, and records are numbered from stored ones."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import history as H
+
+    decided, files = history_frames(spark, str(tmp_path / "files"))
+    decided.write.parquet(str(tmp_path / "decided"))
+    decided = spark.read.parquet(str(tmp_path / "decided"))
+    cut, plain = [], H.cut_lineage
+    monkeypatch.setattr(H, "cut_lineage", lambda df: cut.append(analysed(df).count("Relation [")) or plain(df))
+    groups = H.related_decisions(decided, files)
+    assert sum(cut) == 2 and max(cut) == 1  # the decisions, and the files for the links
+    assert analysed(H.number_decisions(decided.withColumn("decision_group", F.lit(1)))).count("Relation [") == 0
+    assert H.number_decisions(groups).agg(F.sum("commits")).first()[0] == groups.count() == decided.filter("ts IS NOT NULL").count()
