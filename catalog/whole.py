@@ -40,11 +40,10 @@ def _(t):
     """A folder per repository and a file per document, written as text and read as a checked-out corpus."""
     root = scratch_path(t.spark, "corpus")
     files = t.documents.select(F.col("source").alias("repo"), F.col("doc_id").alias("doc"), F.col("text").alias("value"))
-    # All tasks write, however few repositories there are, and each moves its own files to their place.
-    files.repartition("repo", "doc").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("repo", "doc").text(root)
+    SF.write_corpus(files, root)
     found = SF.read_corpus(t.spark, root, "*.txt")
     return found.select(
-        F.regexp_extract("repo", r"^repo=(.*)$", 1).alias("repo"), F.regexp_extract("path", r"^doc=([0-9]+)/", 1).alias("doc"), "n_bytes",
+        F.regexp_extract("repo", r"^repo=(.*)$", 1).alias("repo"), F.regexp_extract("path", r"^doc=([0-9]+)[./]", 1).alias("doc"), "n_bytes",
         F.col("n_lines").cast("bigint").alias("n_lines"), T.content_hash(F.col("content")).alias("sha256"), "language")
 
 

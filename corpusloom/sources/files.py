@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import groupby
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,10 @@ from corpusloom.functions import text as T
 STORE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?/+"
 
 
+#: Tasks for each core that read files, at most. A file counts as 4 MB where Spark deals files out, so that a task has few.
+FILE_TASKS = 32
+
+
 @contextmanager
 def short_listings(spark: SparkSession) -> Iterator[None]:
     """Spark lists a folder of many folders in up to 10,000 tasks, and does so for every such folder. Here a listing has
@@ -41,7 +48,7 @@ def read_corpus(spark: SparkSession, roots: str | list[str], path_glob: str | No
         reader = reader.option("pathGlobFilter", path_glob)
     names = [roots] if isinstance(roots, str) else list(roots)
     with short_listings(spark):
-        raw = reader.load(names)
+        raw = reader.load(names).coalesce(FILE_TASKS * spark.sparkContext.defaultParallelism)
     full = F.regexp_replace("path", STORE, "/")
     relative = full
     for root in (re.sub(STORE, "/", name).rstrip("/") + "/" for name in names):
@@ -59,6 +66,62 @@ def read_corpus(spark: SparkSession, roots: str | list[str], path_glob: str | No
     )
 
 
+#: What Spark's writers put in place of a null or empty value, and the characters they escape in the name of a folder.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+ESCAPED = re.compile(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""")
+
+
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """The plain path of a folder on a local or mounted disk; None for a folder in any other store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    uri = store.makeQualified(place).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def write_corpus(files: DataFrame, root: str) -> None:
+    """Texts (repo, doc, value) as files for :func:`read_corpus`: a folder ``repo=<repo>`` for each repository, a file for
+    each document in it. Values of one document follow one another in its file, and each ends with a line end.
+
+    On a local or mounted disk Hadoop starts a process (``chmod``) for every file, checksum and folder that it makes, unless
+    its native library is there, which PySpark lacks. So tasks write ``doc=<doc>.txt`` themselves there, each file under a
+    name of the task's own first. In other stores Spark's writer makes a folder ``doc=<doc>`` with a file.
+    """
+    name = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(NO_VALUE)).alias(c)
+    dealt = files.select(name("repo"), name("doc"), "value").repartition("repo", "doc")
+    folder = mounted(files.sparkSession, root)
+    if folder is None:
+        dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("repo", "doc").text(root)
+        return
+
+    def write(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        attempt, made = TaskContext.get().taskAttemptId(), 0
+        escaped = lambda text: ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", text)
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (doc, repo), lines in groupby(rows, itemgetter(0, 1)):
+            inside, named = f"{folder}/repo={escaped(repo)}", f"doc={escaped(doc)}.txt"
+            own = f"{inside}/.{named}.{attempt}"
+            try:
+                file = open(own, "wb")
+            except FileNotFoundError:
+                os.makedirs(inside, exist_ok=True)
+                file = open(own, "wb")
+            with file:
+                for line in lines:
+                    file.write((line[2] or b"") + b"\n")
+            os.replace(own, f"{inside}/{named}")
+            made += 1
+        yield pa.RecordBatch.from_pydict({"files": [made]})
+
+    os.makedirs(folder, exist_ok=True)
+    # By document first: tasks that make files in one folder at the same time wait for one another.
+    ordered = dealt.select("doc", "repo", F.col("value").cast("binary")).sortWithinPartitions("doc", "repo")
+    ordered.mapInArrow(write, "files bigint").agg(F.sum("files")).collect()
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """The compacted ``files`` table."""
     return spark.read.schema(schemas.FILES).parquet(path)

@@ -68,6 +68,80 @@ def test_corpus_is_listed_in_few_tasks(spark, tmp_path):
     assert SF.read_corpus(spark, str(tmp_path), "*.txt").count() == 40 and spark.conf.get(name) == before
 
 
+ODD_FILES = [
+    (1, "a:b/c", "x"), (1, "a:b/c", "more"), (2, "a b", "two\n"), (3, "", ""), (4, None, None), (None, "a b", "no id"), (-5, "..", "up"),
+    (6, ".{été}[日]^?*'\"#\\%=", "é\r\n\nz"), (7, "_\x01\x7f~", "t"), (8, "same", "first"), (9, "same", "second")]
+
+
+def read_as_corpus(spark, folder):
+    rows = [(doc, repo, "en", text, 1) for doc, repo, text in ODD_FILES]
+    spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string, n_chars bigint").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    return sorted(tuple(r) for r in entry.queries()["s1_read_corpus_files"](spark, str(folder)).collect())
+
+
+def corpus_rows():
+    """What the files hold: names as Spark's writer escapes them, nothing for an id that isn't a number."""
+    import hashlib
+    import re
+
+    files = {}
+    for doc, repo, text in ODD_FILES:
+        files.setdefault((doc, repo), []).append((text or "") + "\n")
+    escaped = lambda name: re.sub(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", name or "__HIVE_DEFAULT_PARTITION__")
+    plain = lambda doc: str(doc) if doc is not None and doc >= 0 else ""
+    found = [(escaped(repo), plain(doc), "".join(texts)) for (doc, repo), texts in files.items()]
+    return sorted((repo, doc, len(b := text.encode()), text.count("\n"), hashlib.sha256(b).hexdigest(), "txt") for repo, doc, text in found)
+
+
+def test_corpus_files_are_written_without_a_folder_or_checksum_each(spark, tmp_path, monkeypatch):
+    """On a local disk a document is one file and nothing else: odd names, repeated ids, nulls and empty texts too."""
+    import catalog.whole
+
+    root = tmp_path / "made" / "corpus"
+    monkeypatch.setattr(catalog.whole, "scratch_path", lambda session, name: f"file://{root}")
+    assert read_as_corpus(spark, tmp_path) == corpus_rows()
+    made = [p for p in root.rglob("*") if p.is_file()]
+    assert len(made) == len({x[:2] for x in ODD_FILES}) and all(p.parent.parent == root and p.suffix == ".txt" for p in made)
+
+
+def test_corpus_files_in_another_store_are_the_same_rows(spark, tmp_path, monkeypatch):
+    """A store that isn't a mounted disk is written by Spark's writer."""
+    import catalog.whole
+    from corpusloom.sources import files as SF
+
+    (tmp_path / "made").mkdir()
+    conf, name = spark.sparkContext._jsc.hadoopConfiguration(), "fs.viewfs.mounttable.corpus.link./made"
+    conf.set(name, f"file://{tmp_path}/made")
+    try:
+        monkeypatch.setattr(catalog.whole, "scratch_path", lambda session, name: "viewfs://corpus/made/one")
+        assert SF.mounted(spark, "viewfs://corpus/made/one") is None and SF.mounted(spark, f"{tmp_path}/a b%20") == f"{tmp_path}/a b%20"
+        assert read_as_corpus(spark, tmp_path) == corpus_rows()
+    finally:
+        conf.unset(name)
+
+
+def test_an_empty_table_is_an_empty_corpus(spark, tmp_path):
+    documents(spark, 0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert entry.queries()["s1_read_corpus_files"](spark, str(tmp_path)).count() == 0
+
+
+def test_corpus_is_read_in_few_tasks(spark, tmp_path):
+    """Many files: few tasks read them, all of them."""
+    from corpusloom.sources import files as SF
+
+    (tmp_path / "r").mkdir()
+    most = SF.FILE_TASKS * spark.sparkContext.defaultParallelism
+    for k in range(most + 10):
+        (tmp_path / "r" / f"{k}.txt").write_text("x\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        found = SF.read_corpus(spark, str(tmp_path), "*.txt")
+        assert found.rdd.getNumPartitions() == most and found.count() == most + 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_members_of_one_side_go_before_anything_else(spark, monkeypatch):
     """The rows that are cut and sent on are those of members that both sides have."""
     from corpusloom.operators import overlap as O
